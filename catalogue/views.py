@@ -3,13 +3,19 @@
 An order plays the isolate, its customer the person, its lines the drugs. The raw view has
 the column layout the cleaning plan expects; missing values are planted by key arithmetic
 because the tables hold none.
+
+The functions are memoised: a DataFrame is only a plan, so queries sharing a view share its
+analysed plan and not any data.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilar.functions import nulls as nl
 from vigilar.plans.surveillance import Settings, analysis_table, clean_isolates, status_long
 from vigilar.sources.tables import literal_table, load_table
 
@@ -31,18 +37,22 @@ THRESHOLDS = [
 ]
 
 
+@cache
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return load_table(spark, f"{sf_dir}/{name}.parquet")
 
 
+@cache
 def breakpoints(spark: SparkSession) -> DataFrame:
     return literal_table(spark, THRESHOLDS, "ATB string, annee int, seuil double")
 
 
+@cache
 def travel(spark: SparkSession) -> DataFrame:
     return literal_table(spark, TRAVEL, "voyage string, Freq int, continent string, voyage_01 string")
 
 
+@cache
 def drug_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diameters and recorded calls, one row per order.
 
@@ -70,6 +80,7 @@ def _void_every(c, key: str, n: int):
     return F.when(F.col(key) % n != 0, c)
 
 
+@cache
 def raw_isolates(spark: SparkSession, sf_dir: str, drugs: bool = True) -> DataFrame:
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
@@ -83,30 +94,25 @@ def raw_isolates(spark: SparkSession, sf_dir: str, drugs: bool = True) -> DataFr
     priority, pick = F.col("o_orderpriority"), cust % 10
     received = F.date_add(day, (key % 30 - 2).cast("int"))
     born = F.date_sub(day, (cust * 37 % 30000 - 200).cast("int"))
-    species = (
-        F.when(priority == "1-URGENT", "Shigella sonnei").when(priority == "2-HIGH", "Shigella flexneri 2a")
-        .when(priority == "3-MEDIUM", "Shigella dysenteriae").when(priority == "5-LOW", "Shigella flexneri")
-        .when(key % 3 == 0, "Shigella Rough").when(key % 3 == 1, "Shigella boydii")
-        .otherwise("non agglutinable"))
+    def pick_from(index, *values):
+        return F.get(F.array(*[F.lit(x).cast("string") for x in values]), index.cast("int"))
+
+    fourth = pick_from(key % 3, "Shigella Rough", "Shigella boydii", "non agglutinable")
+    level = F.substring(priority, 1, 1).cast("int")
+    species = F.when(level == 4, fourth).otherwise(pick_from(
+        level - 1, "Shigella sonnei", "Shigella flexneri 2a", "Shigella dysenteriae", None, "Shigella flexneri"))
     free = (F.when(key % 29 == 0, "97-10607").when(key % 31 == 0, "type 1c").when(key % 37 == 0, "Ewing")
             .otherwise("Shigella sonnei g"))
-    serotype = (F.when(key % 5 == 0, "1b").when(key % 5 == 1, "2a").when(key % 5 == 2, "3a")
-                .when(key % 5 == 3, "4c"))
-    sex = F.when(F.col("o_orderstatus") == "F", "F").when(F.col("o_orderstatus") == "O", "M").otherwise("I")
-    segment = F.col("c_mktsegment")
-    origin = (F.when(segment == "BUILDING", "Selles").when(segment == "AUTOMOBILE", "Sang")
-              .when(segment == "FURNITURE", "Biopsie rectale").when(segment == "HOUSEHOLD", "Autre"))
-    lab_kind = F.col("n_nationkey") % 6
-    lab = (F.when(lab_kind == 0, F.concat(F.lit("CHU "), "n_name"))
-           .when(lab_kind == 1, F.concat(F.lit("Institut "), "n_name"))
-           .when(lab_kind == 2, F.concat(F.lit("Labo "), "n_name"))
-           .when(lab_kind == 3, F.concat(F.lit("Clinique hospitaliere "), "n_name"))
-           .when(lab_kind == 4, F.concat(F.lit("LIP "), "n_name")))
-    trip = (F.when(pick == 0, "Inde (Goa)").when(pick == 1, "Pas de voyage").when(pick == 2, "Maroc")
-            .when(pick == 3, "Espagne").when(pick == 4, "Non precise").when(pick == 5, "Non renseigné")
-            .when(pick == 6, "Thailande").when(pick < 9, "pas de voyage"))
+    serotype = pick_from(key % 5, "1b", "2a", "3a", "4c")
+    sex = nl.lookup("o_orderstatus", {"F": "F", "O": "M", "P": "I"})
+    origin = nl.lookup("c_mktsegment", {"BUILDING": "Selles", "AUTOMOBILE": "Sang", "FURNITURE": "Biopsie rectale",
+                                        "HOUSEHOLD": "Autre"})
+    kind = pick_from(F.col("n_nationkey") % 6, "CHU ", "Institut ", "Labo ", "Clinique hospitaliere ", "LIP ")
+    lab = F.concat(kind, "n_name")
+    trip = pick_from(pick, "Inde (Goa)", "Pas de voyage", "Maroc", "Espagne", "Non precise", "Non renseigné",
+                     "Thailande", "pas de voyage", "pas de voyage")
     mainland = F.col("r_name") == "EUROPE"
-    department = F.when(key % 4 == 0, F.lit("96")).when(key % 4 == 1, "978").when(key % 4 == 2, "75")
+    department = pick_from(key % 4, "96", "978", "75")
     out = base.select(
         key.cast("string").alias("num_CNR"), key.alias("row_id"), cust.alias("person"),
         _void_every(day, "o_orderkey", 17).alias("Date_prel"),
@@ -123,19 +129,23 @@ def raw_isolates(spark: SparkSession, sf_dir: str, drugs: bool = True) -> DataFr
     return out
 
 
+@cache
 def cleaned(spark: SparkSession, sf_dir: str, drugs: bool = True) -> DataFrame:
     return clean_isolates(raw_isolates(spark, sf_dir, drugs), breakpoints(spark), settings=SETTINGS)
 
 
+@cache
 def isolates(spark: SparkSession, sf_dir: str, drugs: bool = True) -> DataFrame:
     """The analysis table. Without drugs the order lines are not read."""
     return analysis_table(cleaned(spark, sf_dir, drugs), travel(spark), SETTINGS)
 
 
+@cache
 def long_isolates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status_long(isolates(spark, sf_dir), "row_id")
 
 
+@cache
 def results_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long diameters and recorded calls: (row_id, year, ATB, diam, SIR)."""
     raw = raw_isolates(spark, sf_dir)
@@ -145,6 +155,7 @@ def results_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("row_id", "year", F.inline(packed))
 
 
+@cache
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with 0/1 outcomes; categorical covariates lang, source and length class."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")

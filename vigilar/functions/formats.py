@@ -1,4 +1,4 @@
-"""Presentation text. Percentages are rounded half to even on exact integers,
+"""Presentation text. Percentages are rounded half to even in decimal arithmetic,
 so the printed digit never depends on floating-point noise."""
 
 from __future__ import annotations
@@ -9,22 +9,16 @@ from pyspark.sql import functions as F
 from .nulls import col
 
 
-def scaled_percent(n: Column | str, total: Column | str, digits: int) -> Column:
-    """100 * n / total in units of 10**-digits, as an integer rounded half to even.
-
-    Null when the total is null or 0.
-    """
-    num = col(n).cast("decimal(38,0)") * F.lit(10 ** (2 + digits)).cast("decimal(10,0)")
-    den = F.nullif(col(total).cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
-    rest = num % den
-    quotient = ((num - rest) / den).cast("decimal(20,0)").cast("long")
-    twice = rest * 2
-    up = (twice > den) | ((twice == den) & (quotient % 2 == 1))
-    return quotient + up.cast("long")
+def decimal_percent(n: Column | str, total: Column | str, digits: int) -> Column:
+    """100 * n / total rounded half to even in decimal arithmetic; null when the total is
+    null or 0. Sixteen decimals are carried before rounding."""
+    num = col(n).cast("decimal(18,0)") * F.lit(100).cast("decimal(3,0)")
+    den = F.nullif(col(total).cast("decimal(18,0)"), F.lit(0).cast("decimal(18,0)"))
+    return F.bround(num / den, digits)
 
 
 def percent(n: Column | str, total: Column | str, digits: int = 1) -> Column:
-    return scaled_percent(n, total, digits) / F.lit(float(10**digits))
+    return decimal_percent(n, total, digits).cast("double")
 
 
 def trim_zeros(text: Column) -> Column:
@@ -33,10 +27,7 @@ def trim_zeros(text: Column) -> Column:
 
 
 def percent_text(n: Column | str, total: Column | str, digits: int = 1) -> Column:
-    scaled = scaled_percent(n, total, digits)
-    unit = 10**digits
-    text = F.format_string(f"%d.%0{digits}d", F.expr("0") + F.floor(scaled / unit), scaled % unit)
-    return F.when(scaled.isNotNull(), trim_zeros(text))
+    return trim_zeros(decimal_percent(n, total, digits).cast("string"))
 
 
 def number_text(c: Column | str, digits: int) -> Column:
@@ -47,9 +38,8 @@ def number_text(c: Column | str, digits: int) -> Column:
 
 def format_n_pct(n: Column | str, total: Column | str, digits: int = 1) -> Column:
     """``12 (34.5)``; only the count when there is no percentage."""
-    pct = percent_text(n, total, digits)
-    count = col(n).cast("string")
-    return F.when(pct.isNull(), count).otherwise(F.concat(count, F.lit(" ("), pct, F.lit(")")))
+    share = F.concat(F.lit(" ("), percent_text(n, total, digits), F.lit(")"))
+    return F.concat(col(n).cast("string"), F.coalesce(share, F.lit("")))
 
 
 def format_ci(value: Column | str, low: Column | str, high: Column | str, digits: int = 2,

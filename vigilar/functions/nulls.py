@@ -84,3 +84,13 @@ def ratio(a: Column | str, b: Column | str) -> Column:
 def number(c: Column | str) -> Column:
     """Text to double; unreadable text gives null. A decimal comma is accepted."""
     return F.replace(F.trim(col(c).cast("string")), F.lit(","), F.lit(".")).try_cast("double")
+
+
+def lookup(c: Column | str, mapping) -> Column:
+    """Value of a small given map, null when the key is not in it.
+
+    The map is a literal, so the generated code stays short however many entries it has;
+    long CASE chains push a stage past the size the JVM compiles.
+    """
+    pairs = [F.lit(x) for kv in mapping.items() for x in kv]
+    return F.try_element_at(F.create_map(*pairs), col(c))

@@ -180,9 +180,10 @@ def freq_table(df: DataFrame, variable: str, na_policy: str = "always",
     if na_policy == "no":
         counts = counts.where(F.col("level").isNotNull())
     known = F.sum(F.when(F.col("level").isNotNull(), F.col("freq"))).over(Window.partitionBy(F.lit(1)))
+    counts = counts.withColumn("__known", known)
     return counts.select(
         F.lit(variable).alias("variable"), "level", "freq",
-        F.when(F.col("level").isNotNull(), percent("freq", known, 1)).alias("percent"),
+        F.when(F.col("level").isNotNull(), percent("freq", "__known", 1)).alias("percent"),
     )
 
 

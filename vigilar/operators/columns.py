@@ -69,14 +69,13 @@ _KEEP = object()
 
 
 def recode(c: Column | str, mapping: Mapping, default=_KEEP) -> Column:
-    """Value map. Unmatched values stay, or take ``default``; null stays null."""
+    """Value map (to non-null values). Unmatched values stay, or take ``default``; null stays null."""
     c = nl.col(c)
-    out = None
-    for old, new in mapping.items():
-        out = (F if out is None else out).when(c == F.lit(old), F.lit(new))
-    if default is _KEEP:
-        return out.otherwise(c)
-    return out.when(c.isNotNull(), F.lit(default))
+    found = nl.lookup(c, mapping)
+    if default is None:
+        return found
+    other = c if default is _KEEP else F.when(c.isNotNull(), F.lit(default))
+    return F.coalesce(found, other)
 
 
 def recode_by_table(df: DataFrame, column: str, table: DataFrame, old: str, new: str) -> DataFrame:

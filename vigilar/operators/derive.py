@@ -39,26 +39,30 @@ def void_codes(df: DataFrame, column: str, codes: Sequence) -> DataFrame:
 
 
 def normalise_label(df: DataFrame, label: str, free_text: str, genus: str, pattern: str,
-                    overrides: Sequence[tuple[str, str]], synonyms: Mapping[str, str],
-                    synonym_pattern: tuple[str, str], names: tuple[str, str]) -> DataFrame:
+                    overrides: Sequence[tuple[str, str]], synonyms: Sequence[tuple[str, str]],
+                    names: tuple[str, str]) -> DataFrame:
     """Genus and species from a free-text label.
 
     The free result stands in for a missing label; the species is the first of the ordered
-    alternatives found; override texts in the free result win, in the given order;
-    synonyms are folded last.
+    alternatives found; override texts in the free result win, in the given order; synonym
+    patterns are folded last.
+
+    Each step uses its input once: a filter on the species is pushed below these steps with
+    the whole expression, which must not grow with every reference.
     """
-    text = F.coalesce(F.col(label), F.col(free_text))
-    species = F.lower(nl.extract(text, pattern))
-    forced = case_when(*[(nl.matches(free_text, pat), value) for pat, value in overrides], default=species)
-    tidy = tx.replace_all(recode(forced, synonyms), *synonym_pattern, ignore_case=True)
-    return df.withColumns({label: text, names[0]: nl.extract(text, genus), names[1]: tidy})
+    out = df.withColumn(label, F.coalesce(F.col(label), F.col(free_text)))
+    species = case_when(*[(nl.matches(free_text, pat), value) for pat, value in overrides],
+                        default=F.lower(nl.extract(label, pattern)))
+    for synonym, value in synonyms:
+        species = F.regexp_replace(species, synonym, value)
+    return out.withColumns({names[0]: nl.extract(label, genus), names[1]: species})
 
 
 def split_uninformative(df: DataFrame, column: str, values: Sequence[str], side: str) -> DataFrame:
     """Move values that name no category to a side column and void them in the main one."""
-    vague = nl.in_set(column, values)
-    return df.withColumns({side: F.when(vague, F.col(column)),
-                           column: F.when(~vague, F.col(column))})
+    vague = {v: v for v in values}
+    informative = tx.replace_all(column, "^(?:" + "|".join(values) + ")$", "")
+    return df.withColumns({side: nl.lookup(column, vague), column: F.nullif(informative, F.lit(""))})
 
 
 def zero_as_missing(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -81,22 +85,31 @@ def class_resistance(df: DataFrame, cols: Sequence[str], name: str) -> DataFrame
 
 def normalise_travel(df: DataFrame, column: str, focus: str, no_travel: tuple[str, str]) -> DataFrame:
     """Lower case, one spelling of the focus country and of "no travel", no accents."""
-    low = F.lower(column)
-    one = F.when(nl.matches(low, focus), F.lit(focus)).otherwise(low)
-    return df.withColumn(column, tx.fold_accents(tx.replace_all(one, *no_travel)))
+    out = df.withColumn(column, F.lower(column))
+    out = out.withColumn(column, F.when(F.contains(column, F.lit(focus)), F.lit(focus)).otherwise(F.col(column)))
+    return out.withColumn(column, tx.fold_accents(F.replace(F.col(column), *[F.lit(t) for t in no_travel])))
+
+
+def _by_value(groups: Mapping[str, Sequence[str]]) -> dict[str, str]:
+    """Value -> group; a value listed twice belongs to the first group."""
+    out: dict[str, str] = {}
+    for group, values in groups.items():
+        for value in values:
+            out.setdefault(value, group)
+    return out
 
 
 def group_values(df: DataFrame, column: str, groups: Mapping[str, Sequence[str]], name: str) -> DataFrame:
     """Group name of the lists holding the value, else the value itself."""
-    branches = [(nl.in_set(column, values), group) for group, values in groups.items()]
-    return df.withColumn(name, case_when(*branches, default=F.col(column)))
+    return df.withColumn(name, F.coalesce(nl.lookup(column, _by_value(groups)), F.col(column)))
 
 
 def classify_first_match(df: DataFrame, column: str, rules: Sequence[tuple[str, Sequence[str]]],
                          default: str, name: str | None = None) -> DataFrame:
     """Class of the first rule with a matching pattern; other known texts take the default."""
+    # one alternation per class; a group keeps inline flags to its own pattern
     branches = [
-        (reduce(or_, [nl.matches(column, p) for p in patterns]), label) for label, patterns in rules
+        (nl.matches(column, "|".join(f"(?:{p})" for p in patterns)), label) for label, patterns in rules
     ]
     branches.append((F.col(column).isNotNull(), default))
     return df.withColumn(name or column, case_when(*branches))
@@ -110,12 +123,14 @@ def resolve_geography(df: DataFrame, department: str, patient: str, laboratory:
     from the laboratory postcode; an obsolete code is replaced by it and one code is folded
     into another.
     """
-    code = tx.part(F.coalesce(F.col(patient), F.col(laboratory)), 1, 3)
-    recorded = F.when(nl.same(mainland, False), F.coalesce(F.col(department), code)).otherwise(
-        F.col(department))
-    current = F.when(nl.same(recorded, obsolete), code).otherwise(recorded)
-    folded = F.when(nl.same(current, merged[0]), F.lit(merged[1])).otherwise(current)
-    return df.withColumn(name, F.when(F.col(patient).isNotNull(), code).otherwise(folded))
+    out = df.withColumn("__code", tx.part(F.coalesce(F.col(patient), F.col(laboratory)), 1, 3))
+    code = F.col("__code")
+    out = out.withColumn("__dep", F.when(nl.same(mainland, False), F.coalesce(F.col(department), code))
+                         .otherwise(F.col(department)))
+    out = out.withColumn("__dep", F.when(F.col("__dep") == obsolete, code).otherwise(F.col("__dep")))
+    folded = F.when(F.col("__dep") == merged[0], F.lit(merged[1])).otherwise(F.col("__dep"))
+    return out.withColumn(name, F.when(F.col(patient).isNotNull(), code).otherwise(folded)).drop(
+        "__code", "__dep")
 
 
 def missing_policies(df: DataFrame, column: str, unknown: Column, missing: str) -> DataFrame:
@@ -131,12 +146,12 @@ def nested_exposure(df: DataFrame, base: str, focus: Column, name: str, focus_la
 
     Makes ``name``, ``name_NA`` and ``name_m`` from ``base``, ``base_NA`` and ``base_m``.
     """
-    is_focus = F.coalesce(focus, F.lit(False))
-    return df.withColumns({
-        f"{name}{p}": F.when(is_focus, F.lit(focus_label)).otherwise(
+    out = df.withColumn("__focus", F.coalesce(focus, F.lit(False)))
+    return out.withColumns({
+        f"{name}{p}": F.when(F.col("__focus"), F.lit(focus_label)).otherwise(
             recode(F.col(f"{base}{p}").cast("string"), labels, default=None))
         for p in ("", "_NA", "_m")
-    })
+    }).drop("__focus")
 
 
 def focus_flag(df: DataFrame, column: str, focus: str, name: str) -> DataFrame:
@@ -222,10 +237,9 @@ def flag_duplicates(df: DataFrame, person: str, same_cols: Sequence[str], row_id
 def specimen_groups(df: DataFrame, column: str, groups: Mapping[str, Sequence[str]],
                     undetermined: str = "undetermined", fallback: str = "unlisted") -> DataFrame:
     """Count and share per specimen group; unknown specimens are undetermined."""
-    low = F.lower(column)
-    branches = [(nl.in_set(low, values), g) for g, values in groups.items()]
-    branches.append((low.isNull(), undetermined))
-    labelled = df.select(case_when(*branches, default=fallback).alias("specimen"))
+    group = nl.lookup(F.lower(column), _by_value(groups))
+    other = F.when(F.col(column).isNull(), undetermined).otherwise(fallback)
+    labelled = df.select(F.coalesce(group, other).alias("specimen"))
     return share(collapse(labelled, ["specimen"]), "n", [F.lit(1)])
 
 

@@ -57,9 +57,15 @@ def _lines(counts: DataFrame, specs: Sequence[VariableSpec], cells: Sequence[str
 
 
 def _text(cell: str) -> Column:
-    known = F.sum(F.when(F.col("level").isNotNull(), F.col(cell))).over(Window.partitionBy("variable"))
     return F.when(F.col("level").isNull(), F.col(cell).cast("string")).otherwise(
-        format_n_pct(cell, known, 1))
+        format_n_pct(cell, f"__k_{cell}", 1))
+
+
+def _with_known(lines: DataFrame, cells: Sequence[str]) -> DataFrame:
+    """Totals over the known levels of each variable, one window for all cells."""
+    block = Window.partitionBy("variable")
+    return lines.withColumns({
+        f"__k_{c}": F.sum(F.when(F.col("level").isNotNull(), F.col(c))).over(block) for c in cells})
 
 
 def describe(df: DataFrame, specs: Sequence[VariableSpec], name: str = "freq",
@@ -69,11 +75,10 @@ def describe(df: DataFrame, specs: Sequence[VariableSpec], name: str = "freq",
     Percentages are over known values; the null line reads "missing" and has none.
     """
     counts = long_counts(df, [s.name for s in specs], weight=weight)
-    lines = _lines(counts, specs, ["n"])
-    known = F.sum(F.when(F.col("level").isNotNull(), F.col("n"))).over(Window.partitionBy("variable"))
+    lines = _with_known(_lines(counts, specs, ["n"]), ["n"])
     return lines.select(
         "variable", F.coalesce("level", F.lit(MISSING)).alias("level"), "n",
-        F.when(F.col("level").isNotNull(), percent("n", known, 1)).alias("percent"),
+        F.when(F.col("level").isNotNull(), percent("n", "__k_n", 1)).alias("percent"),
         _text("n").alias(name),
     )
 
@@ -98,7 +103,7 @@ def describe_by(df: DataFrame, specs: Sequence[VariableSpec], groups: Mapping[st
         patterns.select("__n", *[F.col(c).alias(f"__g_{c}") for c in flags], F.inline(packed))
         .groupBy("variable", "level").agg(*cells.values())
     )
-    lines = _lines(counts, specs, list(groups))
+    lines = _with_known(_lines(counts, specs, list(groups)), list(groups))
     return lines.select("variable", F.coalesce("level", F.lit(MISSING)).alias("level"),
                         *[_text(g).alias(g) for g in groups])
 
@@ -170,11 +175,11 @@ def age_sex_table(df: DataFrame, species: str, species_kept: Sequence[str], age_
         patterns.select(species, age_sex, "__w", F.inline(packed))
         .groupBy(species, "drug", "status", age_sex).agg(F.sum("__w").alias("n"))
     )
-    total = F.sum("n").over(Window.partitionBy(species, "drug", "status"))
+    counts = counts.withColumn("__total", F.sum("n").over(Window.partitionBy(species, "drug", "status")))
     letter = F.when(F.col("status") == 0, "S").when(F.col("status") == 1, "R").otherwise("NA")
     cells = counts.select(
         F.col(species).alias("species"), F.concat("drug", F.lit("_"), letter).alias("ATB"),
-        F.coalesce(age_sex, F.lit("unknown")).alias("__class"), format_n_pct("n", total, 1).alias("text"))
+        F.coalesce(age_sex, F.lit("unknown")).alias("__class"), format_n_pct("n", "__total", 1).alias("text"))
     table = to_wide(cells, ["species", "ATB"], "__class", [*age_sex_levels, "unknown"], "text", missing="0(0)")
     if not with_p:
         return table

@@ -294,7 +294,8 @@ def deletion_tests(frame: ModelFrame, variables: Sequence[str]) -> tuple[Fit, li
     for v, smaller in zip(variables, fits[1:]):
         df = len(full.columns) - len(smaller.columns)
         lr = max(smaller.deviance - full.deviance, 0.0)
-        rows.append((v, df, lr, float(chi2_tail(np.array([lr]), np.array([df]))[0])))
+        p = float(chi2_tail(np.array([lr]), np.array([df]))[0]) if df else 1.0
+        rows.append((v, df, lr, p))
     return full, rows
 
 

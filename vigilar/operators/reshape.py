@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import nulls as nl
+
 
 def to_long(df: DataFrame, ids: Sequence[str], values: Sequence[str], key: str = "ATB",
             value: str = "status", keep_null: bool = True) -> DataFrame:
@@ -80,5 +82,4 @@ def group_function(counts: DataFrame, keys: Sequence[str],
 
 def map_values(names: Mapping[str, str], column: str):
     """Value map as a literal lookup: unmatched values stay."""
-    pairs = [F.lit(x) for kv in names.items() for x in kv]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(column)), F.col(column))
+    return F.coalesce(nl.lookup(column, names), F.col(column))

@@ -26,8 +26,7 @@ GENUS_PATTERN = "[Ss]higella"
 SPECIES_PATTERN = ("sonnei|nst|non.s.rotypable|[rR]ough|flexneri|non.agglutinable|dysenteriae|boydii|"
                    "autoagglutinable|sp")
 SPECIES_OVERRIDES = (("97-10607", "dysenteriae"), ("1c", "flexneri"), ("Ewing", "boydii"))
-SPECIES_SYNONYMS = {"non agglutinable": "nst"}
-SPECIES_SYNONYM_PATTERN = ("non s.rotypable", "nst")
+SPECIES_SYNONYMS = (("^non agglutinable$", "nst"), ("(?i)non s.rotypable", "nst"))
 UNINFORMATIVE_SPECIES = ("nst", "rough", "autoagglutinable", "sp")
 SUBTYPED_SPECIES = "flexneri"
 SUBTYPES = ("1b", "2a", "3a")

@@ -53,7 +53,7 @@ def clean_isolates(raw: DataFrame, breakpoints: DataFrame, corrections: DataFram
     out = derive.age_at_event(raw, "Date_prel", "Date_rec", "DN")
     out = derive.normalise_label(
         out, "espece", "Resultats", fv.GENUS_PATTERN, fv.SPECIES_PATTERN, fv.SPECIES_OVERRIDES,
-        fv.SPECIES_SYNONYMS, fv.SPECIES_SYNONYM_PATTERN, ("espece2", "espece3"))
+        fv.SPECIES_SYNONYMS, ("espece2", "espece3"))
     out = derive.split_uninformative(out, "espece3", fv.UNINFORMATIVE_SPECIES, "info_espece_autre")
     out = derive.void_codes(cols.drop_columns(out, ["Resultats"]), "sexe", [fv.UNKNOWN_SEX])
     out = derive.effective_year(out, "Date_prel", "Date_rec", "year")
@@ -61,12 +61,15 @@ def clean_isolates(raw: DataFrame, breakpoints: DataFrame, corrections: DataFram
         out = apply_corrections(out, corrections, "num_CNR", settings.corrected)
     drugs = _measured(out)
     called = [d for d in drugs if f"{d}_SIR" in out.columns]
-    out = derive.zero_as_missing(out, [f"{d}_d" for d in drugs])
-    out = interpret.interpret_wide(out, breakpoints, called, drop_null_year=settings.drop_null_year)
-    out = interpret.harmonise_calls(out, [f"{d}_SIR" for d in called])
+    if drugs:
+        out = derive.zero_as_missing(out, [f"{d}_d" for d in drugs])
+    if called:
+        out = interpret.interpret_wide(out, breakpoints, called, drop_null_year=settings.drop_null_year)
+        out = interpret.harmonise_calls(out, [f"{d}_SIR" for d in called])
     merged = {
         name: [m for m in members if f"{m}_SIR" in out.columns] for name, members in fv.MERGED_DRUGS.items()}
-    out = derive.merge_equivalent(out, {k: m for k, m in merged.items() if m})
+    if any(merged.values()):
+        out = derive.merge_equivalent(out, {k: m for k, m in merged.items() if m})
     out = derive.normalise_travel(out, "voyage", fv.FOCUS_COUNTRY, fv.NO_TRAVEL_TEXT)
     out = derive.group_values(out, "voyage", fv.COUNTRY_GROUPS, "voyage_continent")
     out = derive.classify_first_match(out, "labo", fv.SETTING_RULES, fv.SETTING_DEFAULT)
@@ -78,8 +81,11 @@ def analysis_table(cleaned: DataFrame, travel: DataFrame, settings: Settings = S
     out = cleaned.where(F.col("year_real") >= settings.first_year)
     out = derive.sanitise_age(out)
     late = [c for c in (f"{settings.late_drug}_d", f"{settings.late_drug}_SIR") if c in out.columns]
-    out = cols.conditional_void(out, F.col("Date_rec") < F.lit(settings.late_start).cast("date"), late)
-    out = interpret.binary_status(out, cols.cols_matching(out, "_SIR", suffix=True))
+    if late:
+        out = cols.conditional_void(out, F.col("Date_rec") < F.lit(settings.late_start).cast("date"), late)
+    calls = cols.cols_matching(out, "_SIR", suffix=True)
+    if calls:
+        out = interpret.binary_status(out, calls)
     members = [f"{m}_SIR" for m in fv.CLASS_MEMBERS if f"{m}_SIR" in out.columns]
     if members:
         out = derive.class_resistance(out, members, f"{fv.CLASS_NAME}_SIR")
