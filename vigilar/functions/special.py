@@ -16,8 +16,6 @@ from pyspark.sql import types as T
 
 from .nulls import col
 
-_erfc = np.vectorize(math.erfc, otypes=[float])
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
 Z975 = 1.959963984540054  # 97.5 % point of the standard normal
 CHI2_95_1 = Z975**2  # 95 % point of chi-square with 1 df
 _LIMITS = T.StructType(
@@ -25,6 +23,19 @@ _LIMITS = T.StructType(
 )
 
 
+def _each(fn, x) -> np.ndarray:
+    x = np.asarray(x, float)
+    return np.array([fn(v) for v in x.ravel()], float).reshape(x.shape)
+
+
+def _erfc(x) -> np.ndarray:
+    return _each(math.erfc, x)
+
+
+def log_gamma(x) -> np.ndarray:
+    return _each(math.lgamma, x)
+
+
 def chi2_tail(x: np.ndarray, df: np.ndarray) -> np.ndarray:
     """P(X > x) for integer df, by the positive-term recurrence of Q(df/2, x/2)."""
     x, df = np.broadcast_arrays(np.asarray(x, float), np.asarray(df, float))
@@ -41,7 +52,7 @@ def chi2_tail(x: np.ndarray, df: np.ndarray) -> np.ndarray:
         if not todo.any():
             break
         with np.errstate(invalid="ignore"):
-            term = np.exp(a * log_h - h - _lgamma(a + 1.0))
+            term = np.exp(a * log_h - h - log_gamma(a + 1.0))
         q = np.where(todo, q + np.where(h > 0, term, 0.0), q)
         a = np.where(todo, a + 1.0, a)
     out[ok] = np.minimum(q, 1.0)
@@ -75,14 +86,14 @@ def _log_beta_front(a, b, x):
 
 def _log_beta_small(a, b):
     lo, hi = np.minimum(a, b), np.maximum(a, b)
-    plain = _lgamma(lo) + _lgamma(hi) - _lgamma(lo + hi)
+    plain = log_gamma(lo) + log_gamma(hi) - log_gamma(lo + hi)
     safe = np.maximum(hi, 10.0)
     # lgamma(hi) - lgamma(lo + hi) for hi >> lo, without subtracting two huge numbers
     diff = (
         (hi - 0.5) * np.log1p(-lo / (lo + hi)) - lo * np.log(lo + hi) + lo
         + _stirling_rest(safe) - _stirling_rest(safe + lo)
     )
-    return np.where(hi >= 10, _lgamma(lo) + diff, plain)
+    return np.where(hi >= 10, log_gamma(lo) + diff, plain)
 
 
 def _beta_fraction(a, b, x, steps=20000):

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import nulls as nl
 from ..functions.levels import Levels
-from ..functions.special import chi2_sf
+from ..functions.special import chi2_sf, log_gamma
 from .aggregate import collapse, contingency
 
 PEARSON, CORRECTED, FISHER = "chisq", "chisq corr", "fisher"
@@ -68,8 +68,10 @@ def fisher_r_by_2(events: np.ndarray, others: np.ndarray, max_states: int = MAX_
     """Exact two-sided p of an r x 2 table: total probability of all tables with the same
     margins that are no more likely than the observed one.
 
-    Rows are added one by one; partial tables with the same running total and the same
-    probability are merged. Beyond ``max_states`` partial tables the result is nan.
+    Rows are added one by one; partial tables with the same running total and probability
+    are merged. A partial table is settled early when even its likeliest completion counts
+    (all its completions count, their total is a binomial coefficient) or when it is already
+    too likely (none counts). Beyond ``max_states`` partial tables the result is nan.
     """
     events, others = np.asarray(events, float), np.asarray(others, float)
     used = events + others > 0
@@ -78,35 +80,48 @@ def fisher_r_by_2(events: np.ndarray, others: np.ndarray, max_states: int = MAX_
         return math.nan
     if events.sum() > others.sum():
         events, others = others, events
-    sizes = np.sort(events + others)
+    sizes = np.sort(events + others)[::-1]
     target = int(events.sum())
-    lg = np.vectorize(math.lgamma, otypes=[float])
 
     def log_choose(n, k):
-        return lg(n + 1.0) - lg(k + 1.0) - lg(n - k + 1.0)
-
-    observed = log_choose(events + others, events).sum()
-    rest = sizes.sum()
-    total, value, weight = np.zeros(1), np.zeros(1), np.ones(1)
-    for size in sizes:
-        rest -= size
-        if len(total) * (min(size, target) + 1) > 20 * max_states:
+        return log_gamma(n + 1.0) - log_gamma(k + 1.0) - log_gamma(n - k + 1.0)
+
+    limit = log_choose(events + others, events).sum() + 1e-7
+    scale = log_choose(np.array([sizes.sum()]), np.array([float(target)]))[0]
+    total, value, weight, settled = np.zeros(1), np.zeros(1), np.ones(1), 0.0
+    for i, size in enumerate(sizes):
+        rest = sizes[i + 1:]
+        room = rest.sum()
+        most = int(min(size, target))
+        if len(total) * (most + 1) > 20 * max_states:
             return math.nan
-        k = np.arange(0, min(size, target) + 1)
+        k = np.arange(0, most + 1)
         new_total = (total[:, None] + k[None, :]).ravel()
-        new_value = (value[:, None] + log_choose(size, k)[None, :]).ravel()
+        new_value = (value[:, None] + log_choose(size, k.astype(float))[None, :]).ravel()
         new_weight = np.repeat(weight, len(k))
-        fits = (new_total <= target) & (new_total + rest >= target)
-        key = pd.DataFrame({"t": new_total[fits], "v": np.round(new_value[fits], 9)})
-        merged = key.assign(x=new_value[fits], w=new_weight[fits]).groupby(["t", "v"], sort=False).agg(
-            x=("x", "first"), w=("w", "sum"))
+        open_ = (new_total <= target) & (new_total + room >= target) & (new_value <= limit)
+        total, value, weight = new_total[open_], new_value[open_], new_weight[open_]
+        if not len(total):
+            break
+        left = target - np.arange(0, target + 1)
+        fits = (left <= room).nonzero()[0]
+        likeliest = np.full(target + 1, np.inf)
+        likeliest[fits] = [sum(log_choose(rest, rest * (t / room))) if room else 0.0 for t in left[fits]]
+        ways = np.full(target + 1, -np.inf)
+        ways[fits] = log_choose(np.full(len(fits), room), left[fits].astype(float))
+        where = total.astype(int)
+        all_count = value + likeliest[where] <= limit
+        settled += float((weight * np.exp(value + ways[where] - scale))[all_count].sum())
+        total, value, weight = total[~all_count], value[~all_count], weight[~all_count]
+        merged = pd.DataFrame({"t": total, "v": np.round(value, 9), "x": value, "w": weight}).groupby(
+            ["t", "v"], sort=False).agg(x=("x", "first"), w=("w", "sum"))
         if len(merged) > max_states:
             return math.nan
         total = merged.index.get_level_values("t").to_numpy(float)
         value, weight = merged["x"].to_numpy(), merged["w"].to_numpy()
-    scale = log_choose(np.array([sizes.sum()]), np.array([float(target)]))[0]
-    prob = np.exp(value - scale) * weight
-    return float(min(1.0, prob[value <= observed + 1e-7].sum()))
+        if not len(total):
+            break
+    return float(min(1.0, settled))
 
 
 @F.pandas_udf(T.DoubleType())

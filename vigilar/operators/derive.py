@@ -269,8 +269,7 @@ def censor_mic(df: DataFrame, column: str, name: str | None = None, censor: str
         c = F.when(nl.same(c, cap_text), F.lit(str(cap))).otherwise(c)
     value = F.when(nl.matches(c, censor), F.lit(float(censor))).otherwise(nl.number(c))
     if cap is not None:
-        value = F.least(value, F.lit(float(cap)))
-        value = F.when(c.isNotNull(), value)
+        value = F.when(value > cap, F.lit(float(cap))).otherwise(value)
     return df.withColumn(name or column, value)
 
 
