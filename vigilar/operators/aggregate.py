@@ -24,6 +24,12 @@ def collapse(df: DataFrame, cols: Sequence[str], n: str = "n", weight: str | Non
     return df.groupBy(*cols).agg(size.alias(n))
 
 
+def patterns_of(df: DataFrame, cols: Sequence[str], n: str, weight: str | None = None) -> DataFrame:
+    """Combinations with counts; an input that already carries counts is only projected."""
+    cols = list(dict.fromkeys(cols))
+    return collapse(df, cols, n) if weight is None else df.select(*cols, F.col(weight).alias(n))
+
+
 def count_by(df: DataFrame, *keys: str, n: str = "n") -> DataFrame:
     """Group counts; null is a group of its own."""
     return collapse(df, keys, n)
@@ -134,7 +140,7 @@ def long_counts(df: DataFrame, variables: Sequence[str], by: Sequence[str] = (),
 
     Variables and groups are collapsed to combinations first; only those are unpivoted.
     """
-    patterns = collapse(df, [*by, *variables], "__n", weight)
+    patterns = patterns_of(df, [*by, *variables], "__n", weight)
     packed = F.array(*[
         F.struct(F.lit(v).alias("variable"), F.col(v).cast("string").alias("level")) for v in variables
     ])

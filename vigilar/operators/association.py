@@ -14,11 +14,11 @@ from pyspark.sql import types as T
 from ..functions import nulls as nl
 from ..functions.levels import Levels
 from ..functions.special import chi2_sf, log_gamma
-from .aggregate import collapse, contingency
+from .aggregate import collapse, contingency, patterns_of
 
 PEARSON, CORRECTED, FISHER = "chisq", "chisq corr", "fisher"
 MAX_FISHER_LEVELS = 64
-MAX_FISHER_STATES = 2_000_000
+MAX_FISHER_STATES = 200_000
 
 
 def chi_square(df: DataFrame, x: str, y: str, yates: bool = False, by: Sequence[str] = (),
@@ -133,15 +133,17 @@ def _fisher_udf(events: pd.Series, others: pd.Series) -> pd.Series:
 def _level_cells(df: DataFrame, variables: Sequence[str], outcomes: Mapping[str, str],
                  by: Sequence[str], weight: str | None) -> DataFrame:
     """(by, outcome, variable, level, n1, n0) for every pair, from one collapsed pass."""
-    patterns = collapse(df, list(dict.fromkeys([*by, *outcomes.values(), *variables])), "__n", weight)
+    patterns = patterns_of(df, [*by, *outcomes.values(), *variables], "__n", weight)
     levels = F.array(*[
         F.struct(F.lit(v).alias("variable"), F.col(v).cast("string").alias("level")) for v in variables])
     flags = {o: F.col(f"__o_{o}") for o in outcomes}
     long = patterns.select(*by, "__n", *[F.col(c).cast("int").alias(f"__o_{o}") for o, c in outcomes.items()],
-                           F.inline(levels)).where(F.col("level").isNotNull())
-    sums = []
+                           F.inline(levels))
+    # null levels are left out inside the sums: a filter on the level would be pushed below the
+    # collapse and stop other branches from sharing its exchange
+    known, sums = F.col("level").isNotNull(), []
     for o, flag in flags.items():
-        sums += [F.coalesce(F.sum(F.when(flag == s, F.col("__n"))), F.lit(0)).alias(f"__{o}_{s}")
+        sums += [F.coalesce(F.sum(F.when(known & (flag == s), F.col("__n"))), F.lit(0)).alias(f"__{o}_{s}")
                  for s in (0, 1)]
     counted = long.groupBy(*by, "variable", "level").agg(*sums)
     cells = F.array(*[

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import nulls as nl
 from ..functions.formats import format_n_pct, percent
 from ..functions.levels import Levels
-from .aggregate import collapse, long_counts
+from .aggregate import collapse, long_counts, patterns_of
 from .association import association
 from .reshape import to_wide
 
@@ -92,7 +92,7 @@ def describe_by(df: DataFrame, specs: Sequence[VariableSpec], groups: Mapping[st
     """
     variables = [s.name for s in specs]
     flags = sorted({c for c, _ in groups.values()})
-    patterns = collapse(df, list(dict.fromkeys([*flags, *variables])), "__n", weight)
+    patterns = patterns_of(df, [*flags, *variables], "__n", weight)
     packed = F.array(*[
         F.struct(F.lit(v).alias("variable"), F.col(v).cast("string").alias("level")) for v in variables])
     cells = {

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import nulls as nl
 from ..functions.formats import number_text, percent
 from ..functions.special import exact_limits
-from .aggregate import collapse
+from .aggregate import patterns_of
 from .columns import case_when
 from .reshape import map_values, to_wide
 
@@ -31,7 +31,7 @@ def with_exact_interval(df: DataFrame, resistant: str = "n_resistant", tested: s
 def level_counts(df: DataFrame, variables: Sequence[str], status: str,
                  weight: str | None = None) -> DataFrame:
     """(variable, level, n_tested, n_resistant) for known levels of all variables, one pass."""
-    patterns = collapse(df, [status, *[v for v in variables if v != status]], "__n", weight)
+    patterns = patterns_of(df, [status, *variables], "__n", weight)
     packed = F.array(*[
         F.struct(F.lit(v).alias("variable"), F.col(v).cast("string").alias("level")) for v in variables])
     event = F.when(F.col("__status") == 1, F.col("__n")).otherwise(0)

@@ -76,15 +76,13 @@ def load_breakpoints(spark: SparkSession, path: str, drugs: Sequence[str],
 def stage(df: DataFrame, path: str, by: str | None = "year_real") -> DataFrame:
     """Write a cleaned table once and go on from the written copy.
 
-    Rows are spread by the partition column and a hash of the row, so one busy year is
-    written by many tasks and each task opens few files.
+    Rows are rebalanced by the partition column: run-time re-planning splits a busy year over
+    as many tasks and files as its size needs and packs quiet years together.
     """
     if by is None:
         df.write.mode("overwrite").parquet(path)
     else:
-        spread = F.pmod(F.xxhash64(*df.columns), F.lit(16))
-        (df.withColumn("__spread", spread).repartition(by, "__spread").drop("__spread")
-           .write.mode("overwrite").partitionBy(by).parquet(path))
+        df.hint("rebalance", F.col(by)).write.mode("overwrite").partitionBy(by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
