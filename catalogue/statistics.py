@@ -156,8 +156,8 @@ def univariate_logit(spark, sf):
 
 
 @query(f"""WITH {s.OUT}, k AS (SELECT size, sum(quality) AS a, count(*) - sum(quality) AS b FROM outc GROUP BY size)
-  SELECT 'size' AS variable, 'long' AS reference, 'short' AS level, round(x.a * y.b / CAST(x.b * y.a AS DOUBLE), 6) AS odds_ratio,
-  round(sqrt(1.0 / x.a + 1.0 / x.b + 1.0 / y.a + 1.0 / y.b), 6) AS se FROM k x, k y WHERE x.size = 'short' AND y.size = 'long'""")
+  SELECT 'size' AS variable, 'long' AS reference, 'short' AS level, round(CASE WHEN least(x.a, x.b, y.a, y.b) > 0 THEN x.a * y.b / CAST(x.b * y.a AS DOUBLE) END, 6) AS odds_ratio,
+  round(CASE WHEN least(x.a, x.b, y.a, y.b) > 0 THEN sqrt(1.0 / x.a + 1.0 / x.b + 1.0 / y.a + 1.0 / y.b) END, 6) AS se FROM k x, k y WHERE x.size = 'short' AND y.size = 'long'""")
 def univariate_logit_documents(spark, sf):
     out = logit.univariate_logit(v.labelled_documents(spark, sf), "quality", ["size"])
     return _rounded(out, "odds_ratio", "se").select("variable", "reference", "level", "odds_ratio", "se")

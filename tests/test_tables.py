@@ -111,3 +111,13 @@ def test_invariants_after_cleaning(spark):
     zeros = table.agg(*[F.count_if(F.col(f"{d}_d") == 0).alias(d) for d in v.DRUGS.values()]).first()
     assert not any(zeros)
     assert table.where("year_real < 1995").count() == 0 and table.where("age < 0").count() == 0
+
+
+@pytest.mark.parametrize("name", ["describe_by_with_tests", "age_sex_table_with_tests"])
+def test_table_and_tests_share_one_pass(spark, name):
+    import __spark_entry__ as contract
+    df = contract.queries()[name](spark, SF)
+    df.collect()
+    final = plan(df).split("== Initial Plan ==")[0]
+    assert sum("FileScan" in line and "l_orderkey" in line for line in final.splitlines()) == 1
+    assert "ReusedExchange" in final

@@ -189,7 +189,7 @@ def association(df: DataFrame, variables: Sequence[str], outcomes: Mapping[str,
         "test": F.when(F.col("min_expected") > 5, PEARSON).when(F.col("min_expected") > 3, CORRECTED)
                  .otherwise(FISHER)})
     square = (F.col("n_levels") == 2) & (F.col("test") == CORRECTED)
-    testable = (F.col("df") > 0) & (F.col("__c1") > 0) & (F.col("__c0") > 0)
+    testable = (F.col("__c1") > 0) & (F.col("__c0") > 0)
     stat = F.when(square, shrunk * shrunk * F.col("__inv")).otherwise(F.col("__plain"))
     out = out.withColumn("statistic", F.when(testable & (F.col("test") != FISHER), stat))
     exact = F.when(F.col("test") == FISHER, F.col("__cells"))

@@ -167,7 +167,8 @@ def age_sex_table(df: DataFrame, species: str, species_kept: Sequence[str], age_
                   with_p: bool = True) -> DataFrame:
     """Per species and drug status: ``n (pct)`` by age-and-sex class, percentage within the
     status, empty cells ``0(0)``; the p-value stands on the S line."""
-    some = df.where(F.col(species).isin(list(species_kept)))
+    # the explicit null test is what the join with the tests infers; both sides then share one scan
+    some = df.where(F.col(species).isNotNull() & F.col(species).isin(list(species_kept)))
     patterns = collapse(some, [species, age_sex, *drugs.values()], "__w")
     packed = F.array(*[
         F.struct(F.lit(d).alias("drug"), F.col(c).alias("status")) for d, c in drugs.items()])
