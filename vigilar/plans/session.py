@@ -8,4 +8,6 @@ SESSION_SETTINGS = {
     # The JVM does not compile methods above 8000 bytes of bytecode. Wide cleaning stages can
     # exceed that in one fused method; above this limit Spark generates them split instead.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # no stack-trace capture for every column expression while a plan is put together
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
