@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import near_dedup
+from . import language, near_dedup
 from .registry import query
 from .shared import documents
 
@@ -11,3 +11,13 @@ from .shared import documents
 def op7_near_dedup(spark, sf_dir):
     """Near-duplicate groups of all documents."""
     return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
+@query()
+def op10_language_id(spark, sf_dir):
+    """Language of every whole document, learned from three quarters of them."""
+    docs = documents(spark, sf_dir)
+    apart = language.held_out("doc_id", 4, 2)
+    net = language.fit_languages(docs, ~apart)
+    found = language.identify_languages(docs.select("doc_id", "text"), net)
+    return found.select("doc_id", apart.alias("held_out"), "lang_pred", "score")
