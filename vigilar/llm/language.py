@@ -22,7 +22,7 @@ SAMPLE_DOCS = 1200  # labelled documents per language that the fit looks at, on
 SAMPLE_WINDOWS = 3  # windows of each of them, spread evenly
 EPOCHS = 14
 BATCH = 128
-CHUNK = 96  # windows classified at once
+CHUNK = 32  # windows classified at once
 
 # byte classes: 0 padding, 1 digits, 2 blanks, 3 other ASCII, 4..29 letters without case, then the bytes from 128 on
 CLASSES = 30 + 128
@@ -42,26 +42,38 @@ class Network:
     out: np.ndarray
     out_bias: np.ndarray
 
-    def pooled(self, x: np.ndarray, places: bool = False):
-        """Largest response of every filter in every window, with its place if asked for."""
+    def pair_tables(self) -> dict[int, list[tuple[int, np.ndarray]]]:
+        """Per width the responses to byte pairs (and a last single byte) by place, so a filter reads few tables."""
+        out = {}
+        for w, table in self.conv.items():
+            pairs = [(j, (table[j][:, None] + table[j + 1][None]).reshape(-1, FILTERS)) for j in range(0, w - 1, 2)]
+            out[w] = pairs + ([(w - 1, table[w - 1])] if w % 2 else [])
+        return out
+
+    def pooled(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Largest response of every filter in every window (a column of ``x``), and its place."""
         best, where = [], []
         for w in WIDTHS:
-            table = self.conv[w]
-            n = x.shape[1] - w + 1
-            r = table[0][x[:, :n]]
+            n = len(x) - w + 1
+            r = self.conv[w][0].take(x[:n], axis=0)
             for j in range(1, w):
-                r += table[j][x[:, j:j + n]]
-            if places:
-                at = r.argmax(axis=1)
-                where.append(at)
-                best.append(np.take_along_axis(r, at[:, None, :], 1)[:, 0])
-            else:
-                best.append(r.max(axis=1))
+                r += self.conv[w][j].take(x[j:j + n], axis=0)
+            at = r.argmax(axis=0)
+            where.append(at)
+            best.append(np.take_along_axis(r, at[None], 0)[0])
         return np.concatenate(best, axis=1), where
 
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
-        best, _ = self.pooled(x)
-        return softmax(np.maximum(best + self.bias, 0) @ self.out + self.out_bias)
+    def probabilities(self, x: np.ndarray, tables: dict[int, list[tuple[int, np.ndarray]]]) -> np.ndarray:
+        """Of every window, a column of ``x``."""
+        pair, best = x[:-1] * CLASSES + x[1:], []
+        for w in WIDTHS:
+            n = len(x) - w + 1
+            r = None
+            for j, table in tables[w]:
+                part = table.take((pair if len(table) > CLASSES else x)[j:j + n], axis=0, mode="clip")
+                r = part if r is None else np.add(r, part, out=r)
+            best.append(r.max(axis=0))
+        return softmax(np.maximum(np.concatenate(best, axis=1) + self.bias, 0) @ self.out + self.out_bias)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -90,8 +102,8 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], seed: int = 5) ->
         order = rng.permutation(len(x))
         for at in range(0, len(order), BATCH):
             rows = order[at:at + BATCH]
-            xb, step = x[rows], step + 1
-            best, where = net.pooled(xb, places=True)
+            xb, step = np.ascontiguousarray(x[rows].T), step + 1
+            best, where = net.pooled(xb)
             hidden = np.maximum(best + net.bias, 0)
             wrong = softmax(hidden @ net.out + net.out_bias)
             wrong[np.arange(len(rows)), y[rows]] -= 1
@@ -102,7 +114,7 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], seed: int = 5) ->
                 g = np.zeros_like(net.conv[w])
                 part = back[:, i * FILTERS:(i + 1) * FILTERS]
                 for j in range(w):
-                    seen = np.take_along_axis(xb, where[i] + j, 1)
+                    seen = np.take_along_axis(xb, (where[i] + j).T, 0).T
                     np.add.at(g[j], (seen, np.arange(FILTERS)[None, :]), part)
                 grads.append(g)
             grads += [back.sum(axis=0), hidden.T @ wrong, wrong.sum(axis=0)]
@@ -148,7 +160,7 @@ def fit_languages(docs: DataFrame, learn: Column, key: str = "doc_id", text: str
     return train(x, y, languages)
 
 
-def _row_scores(net: Network, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def _row_scores(net: Network, tables: dict, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Mean window probabilities of each row, weighted by the bytes a window holds."""
     sizes = np.diff(offsets)
     counts = np.maximum(1, -(-sizes // WINDOW))
@@ -159,12 +171,12 @@ def _row_scores(net: Network, buf: np.ndarray, offsets: np.ndarray) -> np.ndarra
     first = offsets[:-1][row_of] + index * WINDOW
     filled = np.clip(offsets[1:][row_of] - first, 0, WINDOW)
     classes = np.concatenate([_CLASS[buf], np.zeros(WINDOW, np.int16)])
-    step = np.arange(WINDOW)
+    step = np.arange(WINDOW)[:, None]
     for at in range(0, len(first), CHUNK):
         part = slice(at, at + CHUNK)
-        x = classes[first[part, None] + step]
-        x[step >= filled[part, None]] = 0
-        np.add.at(total, row_of[part], net.probabilities(x) * np.maximum(1, filled[part, None]))
+        x = classes[first[None, part] + step].astype(np.int32)
+        x[step >= filled[None, part]] = 0
+        np.add.at(total, row_of[part], net.probabilities(x, tables) * np.maximum(1, filled[part, None]))
     return total / total.sum(axis=1, keepdims=True)
 
 
@@ -178,12 +190,13 @@ def identify_languages(docs: DataFrame, net: Network | None, key: str = "doc_id"
     held = docs.select(F.struct(*rest).alias("row"), F.when(F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)), F.col(text)).alias("text"))
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = net.pair_tables()
         for batch in batches:
             names, scores = [], []
             buf, offsets = text_bytes(batch.column(1))
             missing = batch.column(1).is_null().to_numpy(zero_copy_only=False)
             for i, j in row_slices(offsets, 1 << 18):
-                p = _row_scores(net, buf[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+                p = _row_scores(net, tables, buf[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
                 names += [net.languages[k] for k in p.argmax(axis=1)]
                 scores.append(p.max(axis=1))
             scores = np.where(missing, 0.0, np.concatenate(scores)) if scores else np.zeros(0)
