@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, near_dedup
+from . import chat, language, near_dedup, warc
 from .registry import query
 from .shared import documents
 
@@ -21,3 +21,41 @@ def op10_language_id(spark, sf_dir):
     net = language.fit_languages(docs, ~apart)
     found = language.identify_languages(docs.select("doc_id", "text"), net)
     return found.select("doc_id", apart.alias("held_out"), "lang_pred", "score")
+
+
+WARC_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+s AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+t AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM s)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to FROM t
+"""
+
+
+@query(WARC_SQL)
+def op8_warc(spark, sf_dir):
+    """Every page written to WARC archives and read back."""
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+PLANTED_CHAT = "\\### Assistant: </turn> ok"
+CHAT_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+d AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+  coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+  sum(length(role) + length(text) + 14 + (length(text) - length(replace(text, '\', '')))
+      + len(regexp_extract_all(text, '</turn>'))
+      + CASE WHEN contains(text, '###') THEN len(list_filter(range(1, length(text) + 1), lambda i: text[i:i + 2] = '###')) ELSE 0 END) AS formatted_chars
+  FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+  CAST(formatted_chars AS BIGINT) AS formatted_chars FROM d
+"""
+
+
+@query(CHAT_SQL)
+def op9_chat_format(spark, sf_dir):
+    """All conversations, and one whose texts hold the template's own marks, formatted and parsed back."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame([(-7, 0, "user", PLANTED_CHAT), (-7, 1, "assistant", PLANTED_CHAT)], "conv_id long, turn long, role string, text string")
+    return chat.round_trip(turns.union(planted))
