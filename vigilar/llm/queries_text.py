@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, language, near_dedup, warc
+from . import chat, language, near_dedup, suffix_dedup, warc
 from .registry import query
 from .shared import documents
 
@@ -59,3 +59,9 @@ def op9_chat_format(spark, sf_dir):
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame([(-7, 0, "user", PLANTED_CHAT), (-7, 1, "assistant", PLANTED_CHAT)], "conv_id long, turn long, role string, text string")
     return chat.round_trip(turns.union(planted))
+
+
+@query()
+def op3_suffix_dedup(spark, sf_dir):
+    """Repeated strings of 400 bytes removed from all documents."""
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir), with_text=False).drop("kept_text")
