@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, language, near_dedup, suffix_dedup, warc
+from . import chat, decontaminate, language, near_dedup, suffix_dedup, warc
 from .registry import query
 from .shared import documents
 
@@ -65,3 +65,9 @@ def op9_chat_format(spark, sf_dir):
 def op3_suffix_dedup(spark, sf_dir):
     """Repeated strings of 400 bytes removed from all documents."""
     return suffix_dedup.remove_repeats(documents(spark, sf_dir), with_text=False).drop("kept_text")
+
+
+@query()
+def op4_decontaminate(spark, sf_dir):
+    """All documents that hold an item of the benchmark, with the item."""
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -83,11 +83,28 @@ def _pieces(buf: np.ndarray) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def word_hashes(buf: np.ndarray, offsets: np.ndarray, code: np.ndarray = BYTE_CODE) \
+def _stripped(inner: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    some = np.cumsum(inner)
+    some = np.concatenate([[0], some])
+    full = some[e] > some[s]
+    s, e = s[full], e[full]
+    loose = np.flatnonzero(~inner[s])
+    while len(loose):
+        s[loose] += 1
+        loose = loose[~inner[s[loose]]]
+    loose = np.flatnonzero(~inner[e - 1])
+    while len(loose):
+        e[loose] -= 1
+        loose = loose[~inner[e[loose] - 1]]
+    return s, e
+
+
+def word_hashes(buf: np.ndarray, offsets: np.ndarray, code: np.ndarray = BYTE_CODE, core: np.ndarray | None = None) \
         -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end) of every word and the word index at which each row starts.
 
-    ``offsets`` are the rows' bounds in ``buf``. A word is a longest run of bytes that are no blanks, within a row.
+    ``offsets`` are the rows' bounds in ``buf``. A word is a longest run of bytes that are no blanks, within a row. With
+    ``core`` (a flag per byte value) words lose other bytes at both ends, and words without core bytes are left out.
     """
     hashes, starts, ends = [], [], []
     for lo, hi in _pieces(buf):
@@ -101,6 +118,8 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray, code: np.ndarray = BYTE_CO
         stop = solid.copy()
         stop[:-1] &= ~solid[1:] | begin[1:]
         s, e = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+        if core is not None:
+            s, e = _stripped(core[part], s, e)
         base, inverse = powers(n + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(code[part] * base[:n], out=sums[1:])
