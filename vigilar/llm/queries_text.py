@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, near_dedup, suffix_dedup, warc
+from . import chat, decontaminate, language, near_dedup, suffix_dedup, toxicity, warc
 from .registry import query
 from .shared import documents
 
@@ -71,3 +71,12 @@ def op3_suffix_dedup(spark, sf_dir):
 def op4_decontaminate(spark, sf_dir):
     """All documents that hold an item of the benchmark, with the item."""
     return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query()
+def op2_toxicity(spark, sf_dir):
+    """Toxicity of every whole document, learned from four fifths of the labels."""
+    docs = documents(spark, sf_dir)
+    apart = language.held_out("doc_id", 5, 0)
+    index = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~apart)
+    return toxicity.toxicity(docs, index).select("doc_id", apart.alias("held_out"), "score", "predicted", "nearest")
