@@ -130,9 +130,8 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     prefix = placed.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) \
         .select("node", "component", "n", "s", "place")
     x, y = prefix.alias("x"), prefix.alias("y")
-    # what is left behind both places bounds the intersection: 100 * i >= percent * (n + m - i)
-    room = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + 1 \
-        + F.least(F.col("x.place"), F.col("y.place")) - 1
+    # at the first shingle that a pair shares, what is left behind both places bounds the rest of the intersection
+    room = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + 1
     return x.join(y, F.col("x.s") == F.col("y.s")).filter(
         (F.col("x.component") < F.col("y.component")) & _close_sizes(F.col("x.n"), F.col("y.n"), percent)
         & ((100 + percent) * room >= percent * (F.col("x.n") + F.col("y.n")))) \
