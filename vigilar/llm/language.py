@@ -133,7 +133,8 @@ def labelled_windows(docs: DataFrame, learn: Column, key: str, text: str, lang:
         .select(F.col(key), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rates = usable.groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("rate"))
     place = F.pmod(F.xxhash64(key, "text"), F.lit(1_000_000)) / 1e6
-    chosen = usable.join(rates, "lang").filter(place < F.col("rate")).select("lang", "text")
+    # one row per language, no more than the network has outputs
+    chosen = usable.join(F.broadcast(rates), "lang").filter(place < F.col("rate")).select("lang", "text")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
