@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import gzip
-import io
 import json
+import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +35,7 @@ HEADERS = {
 SCHEMA = ("record_type string, record_id string, target_uri string, record_date string, refers_to string, payload_digest string, "
           "payload_bytes long, page long, payload binary")
 NUMBERS = ("payload_bytes", "page")
+_COLUMN_OF = {h.lower(): c for c, h in HEADERS.items()}
 
 
 def _store(path: str) -> tuple[pafs.FileSystem, str]:
@@ -58,6 +60,22 @@ def record_bytes(headers: dict[str, object], block: bytes) -> bytes:
     return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def gzip_member(raw: bytes) -> bytes:
+    """A gzip member of its own whose extra field "sl" holds its compressed and plain length, so readers can jump over it."""
+    pack = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = pack.compress(raw) + pack.flush()
+    head = b"\x1f\x8b\x08\x04" + b"\0" * 4 + b"\0\xff" + struct.pack("<H", 12) + b"sl" + struct.pack("<H", 8)
+    return head + struct.pack("<II", len(head) + 8 + len(body) + 8, len(raw) & 0xFFFFFFFF) + body \
+        + struct.pack("<II", zlib.crc32(raw), len(raw) & 0xFFFFFFFF)
+
+
+def skip_length(data: bytes, at: int) -> int | None:
+    """Compressed length of the gzip member at ``at`` from its "sl" field."""
+    if data[at:at + 4] == b"\x1f\x8b\x08\x04" and data[at + 12:at + 14] == b"sl":
+        return struct.unpack_from("<I", data, at + 16)[0]
+    return None
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: list
@@ -68,7 +86,7 @@ class WarcWriter(DataSourceArrowWriter):
     executor leaves behind are never read."""
 
     def __init__(self, options: dict[str, str]):
-        self.path, self.gzip = options["path"], options.get("compression", "none") == "gzip"
+        self.path, self.gzip = options["path"], options.get("compression", "gzip") == "gzip"
         self.split = int(options.get("splitBytes", 8 << 20))
         self.roll = int(options.get("fileBytes", 1 << 30))
 
@@ -92,7 +110,7 @@ class WarcWriter(DataSourceArrowWriter):
                     block = http + (payload or b"")
                 headers["Content-Type"] = "application/http; msgtype=response"
                 raw = record_bytes(headers, block)
-                raw = gzip.compress(raw, 6, mtime=0) if self.gzip else raw
+                raw = gzip_member(raw) if self.gzip else raw
                 if at - splits[-1] >= self.split:
                     splits.append(at)
                 out.write(raw)
@@ -161,9 +179,14 @@ class WarcReader(DataSourceReader):
         name, start, end = partition.value
         store, folder = _store(self.path)
         with store.open_input_file(f"{folder}/{name}") as raw:
+            known = name.endswith(".gz") and skip_length(raw.read_at(32, start), 0)
             raw.seek(start)
-            rows = self._rows(io.BytesIO(gzip.decompress(raw.read(end - start))), None) if name.endswith(".gz") \
-                else self._rows(io.BufferedReader(raw, 1 << 16) if isinstance(raw, io.RawIOBase) else raw, end)
+            if not name.endswith(".gz"):
+                rows = self._rows(raw, end)
+            elif not known:  # of another writer
+                rows = self._rows(gzip.GzipFile(fileobj=raw), None)
+            else:
+                rows = self._member_rows(raw.read_at(end - start, start))
             held, size = [], 0
             for row in rows:
                 held.append(row)
@@ -178,9 +201,50 @@ class WarcReader(DataSourceReader):
         kinds = {**{c: pa.int64() if c in NUMBERS else pa.string() for c in HEADERS}, "payload": pa.binary()}
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds[c]) for c in kinds], list(kinds))
 
+    @staticmethod
+    def _headers(head: bytes) -> tuple[dict, int]:
+        lines = head.decode("utf-8", "replace").split("\r\n")
+        if not lines[0].startswith("WARC/"):
+            raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
+        row, length = dict.fromkeys([*HEADERS, "payload"]), 0
+        for line in lines[1:]:
+            k, _, v = line.partition(":")
+            k, v = k.strip().lower(), v.strip()
+            if k == "content-length":
+                length = int(v)
+            elif k in _COLUMN_OF:
+                row[_COLUMN_OF[k]] = int(v) if _COLUMN_OF[k] in NUMBERS else _plain(v)
+        return row, length
+
+    @staticmethod
+    def _payload(block: bytes) -> bytes:
+        """What follows the HTTP header of a record's block."""
+        return block.split(b"\r\n\r\n", 1)[1] if b"\r\n\r\n" in block else block
+
+    def _member_rows(self, data: bytes) -> Iterator[dict]:
+        """Records of members with known lengths: the headers are unpacked, the rest only where it is wanted."""
+        at = 0
+        while at < len(data):
+            size = skip_length(data, at)
+            if not size:
+                raise ValueError("a gzip member without its length")
+            unpack, head = zlib.decompressobj(31), b""
+            tail = data[at:at + size]
+            while b"\r\n\r\n" not in head:
+                part = unpack.decompress(tail, 1024)
+                if not part:
+                    raise ValueError("an archive ends within a record's headers")
+                head, tail = head + part, unpack.unconsumed_tail
+            head, rest = head.split(b"\r\n\r\n", 1)
+            row, length = self._headers(head)
+            if self._wanted(row):
+                if self.payload and row["record_type"] != "revisit":
+                    row["payload"] = self._payload((rest + unpack.decompress(tail) + unpack.flush())[:length])
+                yield row
+            at += size
+
     def _rows(self, f, end: int | None) -> Iterator[dict]:
         """Records up to ``end``: headers first, then the payload or a jump over it."""
-        names = {h.lower(): c for c, h in HEADERS.items()}
         buffered = b""
         while True:
             while b"\r\n\r\n" not in buffered:
@@ -192,17 +256,7 @@ class WarcReader(DataSourceReader):
                 buffered += more
                 buffered = buffered.lstrip(b"\r\n") if not buffered.startswith(b"WARC/") else buffered
             head, buffered = buffered.split(b"\r\n\r\n", 1)
-            lines = head.decode("utf-8", "replace").split("\r\n")
-            if not lines[0].startswith("WARC/"):
-                raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
-            row, length = dict.fromkeys([*HEADERS, "payload"]), 0
-            for line in lines[1:]:
-                k, _, v = line.partition(":")
-                k, v = k.strip().lower(), v.strip()
-                if k == "content-length":
-                    length = int(v)
-                elif k in names:
-                    row[names[k]] = int(v) if names[k] in NUMBERS else _plain(v)
+            row, length = self._headers(head)
             wanted = self._wanted(row)
             take = wanted and self.payload and row["record_type"] != "revisit"
             if take:
@@ -210,7 +264,7 @@ class WarcReader(DataSourceReader):
                     buffered += f.read(length - len(buffered))
                 if len(buffered) < length:
                     raise ValueError("an archive ends within a record")
-                row["payload"] = buffered[:length].split(b"\r\n\r\n", 1)[-1] if b"\r\n\r\n" in buffered[:length] else buffered[:length]
+                row["payload"] = self._payload(buffered[:length])
                 buffered = buffered[length:]
             elif len(buffered) >= length:
                 buffered = buffered[length:]
@@ -225,7 +279,7 @@ class WarcReader(DataSourceReader):
 
 
 class WarcSource(DataSource):
-    """``spark.read.format("vigilar_warc")``; columns of SCHEMA. Options: path, payload; writing: compression (none, gzip),
+    """``spark.read.format("vigilar_warc")``; columns of SCHEMA. Options: path, payload; writing: compression (gzip, none),
     splitBytes, fileBytes. A folder without a manifest is read whole, one split per file."""
 
     @classmethod
@@ -269,7 +323,7 @@ def archive_records(pages: DataFrame, key: str = "page_id", url: str = "url", ht
         "page", F.when(~revisit, F.col("payload")).alias("payload"))
 
 
-def write_archives(pages: DataFrame, path: str, compression: str = "none", **columns: str) -> None:
+def write_archives(pages: DataFrame, path: str, compression: str = "gzip", **columns: str) -> None:
     register(pages.sparkSession)
     archive_records(pages, **columns).write.format("vigilar_warc").mode("append").option("compression", compression).save(path)
 
