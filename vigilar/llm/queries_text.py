@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, near_dedup, suffix_dedup, toxicity, warc
+from . import chat, decontaminate, language, near_dedup, suffix_dedup, token_files, toxicity, warc
 from .registry import query
 from .shared import documents
 
@@ -80,3 +80,9 @@ def op2_toxicity(spark, sf_dir):
     apart = language.held_out("doc_id", 5, 0)
     index = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~apart)
     return toxicity.toxicity(docs, index).select("doc_id", apart.alias("held_out"), "score", "predicted", "nearest")
+
+
+@query()
+def op6_token_ids(spark, sf_dir):
+    """All documents as token ids in range-coded files, read back."""
+    return token_files.token_round_trip(documents(spark, sf_dir))
