@@ -138,7 +138,7 @@ _WORDS = "the|and|le|la|der|die|el|los"
 
 @query(f"SELECT doc_id, lower(nullif(regexp_extract(text, '{_WORDS}'), '')) AS word, "
        "regexp_matches(text, '(?i)licen[sc]e') AS has_license, length(regexp_replace(text, '[0-9]+', '#', 'g')) AS n_masked, "
-       "regexp_replace(substr(text, 1, 40), '[aeiou]', '_') AS first_vowel, upper(lang) AS lang, substr(text, 2, 4) AS piece FROM documents")
+       "md5(regexp_replace(text, '[aeiou]', '_')) AS first_vowel, upper(lang) AS lang, substr(text, 2, 4) AS piece FROM documents")
 def text_functions(spark, sf):
     """Extraction, detection, replace-all, replace-first and substring over whole documents."""
     docs = v.table(spark, sf, "documents").select("doc_id", "lang", "text")
@@ -146,7 +146,7 @@ def text_functions(spark, sf):
         "doc_id", F.lower(nl.extract("text", _WORDS)).alias("word"),
         nl.matches("text", "(?i)licen[sc]e").alias("has_license"),
         F.length(tx.replace_all("text", "[0-9]+", "#")).alias("n_masked"),
-        tx.replace_first(tx.part("text", 1, 40), "[aeiou]", "_").alias("first_vowel"),
+        F.md5(tx.replace_first("text", "[aeiou]", "_")).alias("first_vowel"),
         F.upper("lang").alias("lang"), tx.part("text", 2, 5).alias("piece"))
 
 
@@ -232,10 +232,10 @@ def text_label_counts(spark, sf):
 
 
 @query(f"""WITH {s.ANALYSIS} SELECT CASE WHEN espece3 = 'sonnei' THEN 'sonnei' ELSE 'flexneri_' || coalesce(serotype_flexneri, 'NA') END
-  AS shigelle, count(*) AS n FROM iso WHERE metrop AND espece3 IN ('sonnei', 'flexneri') GROUP BY ALL""")
+  AS label, count(*) AS n FROM iso WHERE metrop AND espece3 IN ('sonnei', 'flexneri') GROUP BY ALL""")
 def combined_label(spark, sf):
     rows = v.isolates(spark, sf, drugs=False).where(F.col("metrop") & F.col("espece3").isin("sonnei", "flexneri"))
-    return count_by(derive.combined_label(rows, "espece3", "serotype_flexneri", "sonnei"), "shigelle")
+    return count_by(derive.combined_label(rows, "espece3", "serotype_flexneri", "sonnei"), "label")
 
 
 @query("""WITH o AS (SELECT o_orderkey, CASE WHEN o_custkey % 11 <> 0 THEN o_custkey END AS person, o_orderpriority, o_orderstatus FROM orders),
@@ -392,9 +392,9 @@ def filter_set(spark, sf):
         "row_id", "year_real", "espece3", "ATB", "status")
 
 
-@query("SELECT doc_id, lang FROM documents WHERE regexp_matches(text, '[a-z]+@[a-z]+\\.') ")
+@query("SELECT doc_id, lang FROM documents WHERE regexp_matches(text, '[Ll]icense') ")
 def regex_filter(spark, sf):
-    return filters.regex_filter(v.table(spark, sf, "documents"), "text", r"[a-z]+@[a-z]+\.").select("doc_id", "lang")
+    return filters.regex_filter(v.table(spark, sf, "documents"), "text", r"[Ll]icense").select("doc_id", "lang")
 
 
 @query(f"""WITH {s.LONG} SELECT 'all' AS population, status, count(*) AS n FROM dl WHERE metrop AND ATB = 'AZM_SIR' AND espece3 IN ('sonnei', 'flexneri') GROUP BY ALL

@@ -330,13 +330,15 @@ def profile_of_resistant(spark, sf):
 
 @query("""WITH g AS (SELECT l_shipdate, n, r, CAST(r AS DOUBLE) / n / 300 AS p FROM (SELECT CAST(l_shipdate AS DATE) AS l_shipdate, count(*) AS n,
   count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1))
-  SELECT l_shipdate, """ + s.n_pct("r", "n") + """ AS text, CASE WHEN p <= 0.001 THEN '<0.001' ELSE regexp_replace(printf('%.3f', round_even(p, 3)), '\\.?0+$', '') END AS p_text FROM g""")
+  SELECT l_shipdate, """ + s.n_pct("r", "n") + """ AS text, CASE WHEN round_even(p, 3) = 0 THEN '<0.001' ELSE regexp_replace(printf('%.3f', round_even(p, 3)), '\\.?0+$', '') END AS p_text,
+  CASE WHEN p <= 0.001 THEN '<0.001' ELSE regexp_replace(printf('%.3f', round_even(p, 3)), '\\.?0+$', '') END AS p_text_bound FROM g""")
 def format_report(spark, sf):
     """``n (pct)`` and p-value texts for every shipping day."""
     days = v.table(spark, sf, "lineitem").groupBy(F.to_date("l_shipdate").alias("l_shipdate")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("r"))
     p = F.col("r").cast("double") / F.col("n") / 300
-    return days.select("l_shipdate", format_n_pct("r", "n").alias("text"), format_p(p).alias("p_text"))
+    return days.select("l_shipdate", format_n_pct("r", "n").alias("text"), format_p(p).alias("p_text"),
+                       format_p(p, 0.001).alias("p_text_bound"))
 
 
 # ---------------------------------------------------------------- MIC

@@ -79,9 +79,18 @@ def test_fisher_against_all_tables(cells):
         assert math.isclose(got, brute_force_fisher(*zip(*filled)), rel_tol=1e-7)
 
 
-def test_fisher_gives_up_beyond_its_limit():
+def test_fisher_answers_on_large_tables(monkeypatch):
+    p = asc.fisher_r_by_2([2, 500, 400, 300], [1, 600, 700, 200])
+    assert 0 < p < 1e-10
+    assert math.isclose(asc.fisher_r_by_2([1, 4_000_000], [2, 9_000_000]), 1.0, abs_tol=1e-6)
+    # 2 x 2 against the hypergeometric distribution
+    e, o = (3, 90), (9, 80)
+    assert math.isclose(asc.fisher_r_by_2(e, o), brute_force_fisher(e, o), rel_tol=1e-7)
     rng = np.random.default_rng(1)
-    assert math.isnan(asc.fisher_r_by_2(rng.integers(5, 90, 20), rng.integers(5, 90, 20), max_states=50))
+    e, o = rng.integers(0, 4, 9), rng.integers(3, 9, 9)
+    fine = asc.fisher_r_by_2(e, o)
+    monkeypatch.setattr(asc, "STATES", 300)  # merged far more coarsely than by default
+    assert math.isclose(asc.fisher_r_by_2(e, o), fine, rel_tol=0.02)
 
 
 def test_chi_square_against_the_full_grid(spark):
@@ -234,6 +243,50 @@ def test_separation_is_flagged(spark):
     assert fitted["b"]["separated"] and fitted["b"]["ci_low"] is None
 
 
+def pairs(spark, cells, names):
+    return literal_table(spark, [(*k, y, n) for k, (a, b) in cells.items() for y, n in ((1, a), (0, b)) if n],
+                         ", ".join(f"{c} string" for c in names) + ", y int, n int")
+
+
+def test_aliased_terms_are_dropped(spark):
+    df = pairs(spark, {("p", "p"): (25, 22), ("q", "q"): (10, 30)}, ["v", "w"])
+    frame = logit.model_frame(df, "y", ["v", "w"], weight="n")
+    got = {r["variable"]: r for r in logit.multivariable_logit(df, "y", ["v", "w"], frame=frame).collect()}
+    alone = logit.multivariable_logit(df, "y", ["v"], frame=logit.model_frame(df, "y", ["v"], weight="n")).first()
+    assert math.isclose(got["v"]["beta"], alone["beta"], rel_tol=1e-8) and math.isclose(got["v"]["beta"], -1.226, abs_tol=1e-3)
+    assert not got["v"]["aliased"] and got["w"]["aliased"] and got["w"]["beta"] is None and got["w"]["ci_low"] is None
+    assert math.isclose(got["v"]["ci_low"], alone["ci_low"], rel_tol=1e-5)
+    for r in logit.term_lrt(df, "y", ["v", "w"], frame=frame).collect():
+        assert r["df"] == 0 and r["p_value"] is None
+    fit = logit.fit_models(frame, [["v", "w"]])[0]
+    assert math.isclose(fit.aic, fit.deviance + 4, rel_tol=1e-12)
+
+
+def test_a_separated_level_leaves_the_other_limits(spark):
+    df = pairs(spark, {("p", "a"): (25, 12), ("p", "b"): (0, 10), ("q", "a"): (10, 20), ("q", "b"): (0, 10)}, ["v", "w"])
+    frame = logit.model_frame(df, "y", ["v", "w"], weight="n")
+    got = {r["variable"]: r for r in logit.multivariable_logit(df, "y", ["v", "w"], frame=frame).collect()}
+    kept = df.where("w = 'a'")
+    alone = logit.multivariable_logit(kept, "y", ["v"], frame=logit.model_frame(kept, "y", ["v"], weight="n")).first()
+    assert got["w"]["separated"] and got["w"]["ci_low"] is None
+    for c in ("beta", "ci_low", "ci_high"):
+        assert math.isclose(got["v"][c], alone[c], rel_tol=1e-4)
+
+
+def test_a_rare_outcome_keeps_its_limits(spark):
+    df = pairs(spark, {("p",): (12, 10_000_000), ("q",): (30, 1_666_666)}, ["v"])
+    got = logit.multivariable_logit(df, "y", ["v"], frame=logit.model_frame(df, "y", ["v"], weight="n")).first()
+    crude = logit.univariate_logit(df, "y", ["v"], weight="n").first()
+    assert not got["separated"] and math.isclose(got["odds_ratio"], 15.0, rel_tol=1e-4)
+    assert math.isclose(got["ci_low"], crude["ci_low"], rel_tol=1e-4) and math.isclose(got["ci_high"], crude["ci_high"], rel_tol=1e-4)
+
+
+def test_running_out_of_steps_is_an_error(cohort, monkeypatch):
+    monkeypatch.setattr(logit, "MAX_STEPS", 2)
+    with pytest.raises(ArithmeticError):
+        logit.fit_models(logit.model_frame(cohort, "y", ["a", "b"]), [["a", "b"]])
+
+
 def test_selection(cohort):
     path = logit.backward_aic(cohort, "y", ["a", "b", "c"]).orderBy("step").collect()
     aics = [r["aic"] for r in path]

@@ -50,7 +50,8 @@ def format_ci(value: Column | str, low: Column | str, high: Column | str, digits
     return F.concat(value, F.lit(" ("), parts[0], F.lit(sep), parts[1], F.lit(")"))
 
 
-def format_p(c: Column | str) -> Column:
-    """p up to 0.001 prints as ``<0.001``, else three decimals; null stays null."""
+def format_p(c: Column | str, bound: float | None = None) -> Column:
+    """Three decimals; ``<0.001`` when they round to 0, or up to ``bound`` where a table sets one. Null stays null."""
     p = col(c)
-    return F.when(p <= 0.001, F.lit("<0.001")).when(p.isNotNull(), number_text(p, 3))
+    small = F.bround(p, 3) == 0 if bound is None else p <= bound
+    return F.when(small, F.lit("<0.001")).when(p.isNotNull(), number_text(p, 3))

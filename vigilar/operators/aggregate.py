@@ -8,8 +8,10 @@ counts instead of on the records.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import nulls as nl
@@ -136,20 +138,34 @@ def missing_patterns(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def long_counts(df: DataFrame, variables: Sequence[str], by: Sequence[str] = (),
                 weight: str | None = None) -> DataFrame:
-    """(by, variable, level, n) for many categorical variables from one pass.
+    """(by, variable, level, n) for many variables from one pass.
 
-    Variables and groups are collapsed to combinations first; only those are unpivoted.
+    Rows are unpivoted in the map task and counted there, so the one exchange carries distinct
+    levels only, also where combinations of the variables are as many as the rows.
     """
-    patterns = patterns_of(df, [*by, *variables], "__n", weight)
+    size = F.lit(1) if weight is None else F.col(weight)
     packed = F.array(*[
         F.struct(F.lit(v).alias("variable"), F.col(v).cast("string").alias("level")) for v in variables
     ])
     return (
-        patterns.select(*by, "__n", F.inline(packed))
-        .groupBy(*by, "variable", "level").agg(F.sum("__n").alias("n"))
+        df.select(*by, size.alias("__n"), F.inline(packed))
+        .groupBy(*by, "variable", "level").agg(F.sum("__n").cast("long").alias("n"))
     )
 
 
+def beside(df: DataFrame, by: Sequence[str], **totals: Column) -> DataFrame:
+    """Totals over groups of counted rows (over all rows without ``by``) next to each row.
+
+    An aggregate joined back, or a scalar subquery: map-side combined, so a group of any size
+    is no single task's work as it would be in a window. Null keys are a group.
+    """
+    if not by:
+        return df.withColumns({n: df.agg(c.alias(n)).scalar() for n, c in totals.items()})
+    sums = df.groupBy(*[F.col(k).alias(f"__by_{k}") for k in by]).agg(*[c.alias(n) for n, c in totals.items()])
+    on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__by_{k}")) for k in by])
+    return df.join(sums, on).drop(*[f"__by_{k}" for k in by])
+
+
 def contingency(df: DataFrame, x: str, y: str, weight: str | None = None,
                 x_levels: Sequence | None = None, y_levels: Sequence | None = None) -> DataFrame:
     """Cell counts of x by y over records knowing both; given levels appear even if empty."""
@@ -185,8 +201,7 @@ def freq_table(df: DataFrame, variable: str, na_policy: str = "always",
         counts = counts.unionByName(scaffold).groupBy("level").agg(F.sum("freq").alias("freq"))
     if na_policy == "no":
         counts = counts.where(F.col("level").isNotNull())
-    known = F.sum(F.when(F.col("level").isNotNull(), F.col("freq"))).over(Window.partitionBy(F.lit(1)))
-    counts = counts.withColumn("__known", known)
+    counts = beside(counts, [], __known=F.sum(F.when(F.col("level").isNotNull(), F.col("freq"))))
     return counts.select(
         F.lit(variable).alias("variable"), "level", "freq",
         F.when(F.col("level").isNotNull(), percent("freq", "__known", 1)).alias("percent"),
@@ -196,8 +211,8 @@ def freq_table(df: DataFrame, variable: str, na_policy: str = "always",
 def proportions(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """Count and share of every level, the null level included."""
     counts = collapse(df, [*by, column], "n")
-    total = F.sum("n").over(Window.partitionBy(*(by or [F.lit(1)])))
-    return counts.withColumn("share", nl.ratio(F.col("n"), total))
+    counts = beside(counts, list(by), __total=F.sum("n"))
+    return counts.withColumn("share", nl.ratio("n", "__total")).drop("__total")
 
 
 def row_total(df: DataFrame, cols: Sequence[str], name: str = "n_R") -> DataFrame:

@@ -14,11 +14,10 @@ from pyspark.sql import types as T
 from ..functions import nulls as nl
 from ..functions.levels import Levels
 from ..functions.special import chi2_sf, log_gamma
-from .aggregate import collapse, contingency, patterns_of
+from .aggregate import beside, collapse, contingency, patterns_of
 
 PEARSON, CORRECTED, FISHER = "chisq", "chisq corr", "fisher"
-MAX_FISHER_LEVELS = 64
-MAX_FISHER_STATES = 200_000
+STATES = 40_000  # partial tables held at once before their values are merged more coarsely
 
 
 def chi_square(df: DataFrame, x: str, y: str, yates: bool = False, by: Sequence[str] = (),
@@ -34,13 +33,10 @@ def chi_square(df: DataFrame, x: str, y: str, yates: bool = False, by: Sequence[
 
 
 def _pearson(cells: DataFrame, x: str, y: str, yates: bool, by: Sequence[str]) -> DataFrame:
-    group = list(by) or [F.lit(1)]
-    row, column = Window.partitionBy(*group, x), Window.partitionBy(*group, y)
-    whole = Window.partitionBy(*group)
-    cells = cells.withColumns({
-        "__r": F.sum("n").over(row), "__c": F.sum("n").over(column), "__t": F.sum("n").over(whole),
-        "__fx": 1.0 / F.count(F.lit(1)).over(row), "__fy": 1.0 / F.count(F.lit(1)).over(column),
-    })
+    one = F.count(F.lit(1))
+    cells = beside(cells, [*by, x], __r=F.sum("n"), __fx=1.0 / one)
+    cells = beside(cells, [*by, y], __c=F.sum("n"), __fy=1.0 / one)
+    cells = beside(cells, list(by), __t=F.sum("n"))
     # dividing before multiplying keeps products of large margins within doubles
     cells = cells.withColumn("__e", F.col("__r").cast("double") / F.col("__t") * F.col("__c"))
     gap = F.abs(F.col("n") - F.col("__e"))
@@ -64,14 +60,48 @@ def _pearson(cells: DataFrame, x: str, y: str, yates: bool, by: Sequence[str]) -
         *by, "n", "n_x", "n_y", "df", "min_expected", "statistic", "p_value")
 
 
-def fisher_r_by_2(events: np.ndarray, others: np.ndarray, max_states: int = MAX_FISHER_STATES) -> float:
+def _log_choose(n, k):
+    """log of n over k for real arguments, without the cancellation of large log factorials."""
+    n, k = np.broadcast_arrays(np.asarray(n, float), np.asarray(k, float))
+    out = np.zeros(n.shape)
+    inner = (k > 0) & (k < n)
+    a, b, m = k[inner], (n - k)[inner], n[inner]
+    entropy = -a * np.log(a / m) - b * np.log1p(-a / m)
+    out[inner] = entropy + 0.5 * np.log(m / (2 * math.pi * a * b)) + _stirling_rest(m) - _stirling_rest(a) - _stirling_rest(b)
+    return out
+
+
+def _stirling_rest(n: np.ndarray) -> np.ndarray:
+    """log n! minus Stirling's formula: its series from 16 on, the difference of the two below."""
+    large = np.maximum(n, 16.0)
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / large ** 2) / large ** 2) / large ** 2) / large
+    small = np.minimum(np.maximum(n, 1e-300), 16.0)
+    exact = log_gamma(small + 1.0) - ((small + 0.5) * np.log(small) - small + 0.5 * math.log(2 * math.pi))
+    return np.where(n < 16, exact, series)
+
+
+def _merged(total: np.ndarray, value: np.ndarray, weight: np.ndarray, width: float):
+    """Partial tables with one running total whose values fall into one cell of ``width`` become one, at their mean value."""
+    cell = np.floor(value / width + 0.5).astype(np.int64)
+    order = np.lexsort((cell, total))
+    total, cell, value, weight = total[order], cell[order], value[order], weight[order]
+    first = np.flatnonzero(np.append(True, (total[1:] != total[:-1]) | (cell[1:] != cell[:-1])))
+    top = np.maximum.reduceat(weight, first)
+    share = np.exp(weight - np.repeat(top, np.diff(np.append(first, len(weight)))))
+    size = np.add.reduceat(share, first)
+    return total[first], np.add.reduceat(share * value, first) / size, top + np.log(size)
+
+
+def fisher_r_by_2(events: np.ndarray, others: np.ndarray) -> float:
     """Exact two-sided p of an r x 2 table: total probability of all tables with the same
-    margins that are no more likely than the observed one.
+    margins that are no more likely than the observed one (up to a relative 1e-7).
 
-    Rows are added one by one; partial tables with the same running total and probability
-    are merged. A partial table is settled early when even its likeliest completion counts
-    (all its completions count, their total is a binomial coefficient) or when it is already
-    too likely (none counts). Beyond ``max_states`` partial tables the result is nan.
+    Rows are added from the smallest, each over its feasible range, and the margin gives the
+    last one; so one giant row costs nothing. A partial table is settled once all its
+    completions count or none does, and dropped when it and all its completions weigh less
+    than 1e-25. Equal partial tables are merged: values within 1e-9, or, while more than
+    ``STATES`` are left, within a width that doubles and moves p by no more than that
+    relative amount per row. There is always a p unless a margin is empty (nan).
     """
     events, others = np.asarray(events, float), np.asarray(others, float)
     used = events + others > 0
@@ -80,50 +110,52 @@ def fisher_r_by_2(events: np.ndarray, others: np.ndarray, max_states: int = MAX_
         return math.nan
     if events.sum() > others.sum():
         events, others = others, events
-    sizes = np.sort(events + others)[::-1]
-    target = int(events.sum())
-
-    def log_choose(n, k):
-        return log_gamma(n + 1.0) - log_gamma(k + 1.0) - log_gamma(n - k + 1.0)
-
-    limit = log_choose(events + others, events).sum() + 1e-7
-    scale = log_choose(np.array([sizes.sum()]), np.array([float(target)]))[0]
-    total, value, weight, settled = np.zeros(1), np.zeros(1), np.ones(1), 0.0
-    for i, size in enumerate(sizes):
-        rest = sizes[i + 1:]
-        room = rest.sum()
-        most = int(min(size, target))
-        if len(total) * (most + 1) > 20 * max_states:
-            return math.nan
-        k = np.arange(0, most + 1)
-        new_total = (total[:, None] + k[None, :]).ravel()
-        new_value = (value[:, None] + log_choose(size, k.astype(float))[None, :]).ravel()
-        new_weight = np.repeat(weight, len(k))
-        open_ = (new_total <= target) & (new_total + room >= target) & (new_value <= limit)
-        total, value, weight = new_total[open_], new_value[open_], new_weight[open_]
-        if not len(total):
-            break
-        left = target - np.arange(0, target + 1)
-        fits = (left <= room).nonzero()[0]
-        likeliest = np.full(target + 1, np.inf)
-        likeliest[fits] = [sum(log_choose(rest, rest * (t / room))) if room else 0.0 for t in left[fits]]
-        ways = np.full(target + 1, -np.inf)
-        ways[fits] = log_choose(np.full(len(fits), room), left[fits].astype(float))
-        where = total.astype(int)
-        all_count = value + likeliest[where] <= limit
-        settled += float((weight * np.exp(value + ways[where] - scale))[all_count].sum())
-        total, value, weight = total[~all_count], value[~all_count], weight[~all_count]
-        merged = pd.DataFrame({"t": total, "v": np.round(value, 9), "x": value, "w": weight}).groupby(
-            ["t", "v"], sort=False).agg(x=("x", "first"), w=("w", "sum"))
-        if len(merged) > max_states:
-            return math.nan
-        total = merged.index.get_level_values("t").to_numpy(float)
-        value, weight = merged["x"].to_numpy(), merged["w"].to_numpy()
-        if not len(total):
+    target = events.sum()
+    sizes = np.sort(events + others)
+    limit = _log_choose(events + others, events).sum() + 1e-7
+    scale = float(_log_choose(sizes.sum(), target))
+    total, value, weight, settled, width = np.zeros(1), np.zeros(1), np.zeros(1), 0.0, 1e-9
+    for i, size in enumerate(sizes[:-1]):
+        room = sizes[i + 1:].sum()
+        parts = []
+        for block in np.array_split(np.arange(len(total)), max(1, int(len(total) * min(size, target) // 4_000_000))):
+            low = np.maximum(0, target - total[block] - room)
+            high = np.minimum(size, target - total[block])
+            counts = (high - low + 1).astype(np.int64)
+            rows = np.repeat(block, counts)
+            k = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low, counts)
+            new_total, new_value = total[rows] + k, value[rows] + _log_choose(size, k)
+            left = target - new_total
+            if i == len(sizes) - 2:  # the last row is what is left
+                final = new_value + _log_choose(room, left)
+                counts_in = final <= limit
+                settled += float(np.exp(weight[rows][counts_in] + final[counts_in] - scale).sum())
+                continue
+            ways = _log_choose(room, left)
+            mass = weight[rows] + new_value + ways - scale
+            likeliest = new_value + ways - _spread_floor(sizes[i + 1:], left, room)
+            every = likeliest <= limit
+            settled += float(np.exp(mass[every]).sum())
+            open_ = ~every & (new_value <= limit) & (mass > math.log(1e-25))
+            parts.append(_merged(new_total[open_], new_value[open_], weight[rows][open_], width) if open_.any() else None)
+        parts = [p for p in parts if p is not None]
+        if not parts:
             break
+        total, value, weight = _merged(*[np.concatenate(x) for x in zip(*parts)], width)
+        while len(total) > STATES:
+            width *= 2
+            total, value, weight = _merged(total, value, weight, width)
     return float(min(1.0, settled))
 
 
+def _spread_floor(rest: np.ndarray, left: np.ndarray, room: float) -> np.ndarray:
+    """A lower bound of log C(room, left) minus the largest product of C(rest, k) with sum k = left: the product over real k
+    is largest where every row has the same share."""
+    values, inverse = np.unique(left, return_inverse=True)
+    best = sum(n * _log_choose(s, s * (values / room)) for s, n in zip(*np.unique(rest, return_counts=True)))
+    return (_log_choose(np.full(len(values), room), values) - best)[inverse]
+
+
 @F.pandas_udf(T.DoubleType())
 def _fisher_udf(events: pd.Series, others: pd.Series) -> pd.Series:
     return pd.Series([
@@ -158,26 +190,22 @@ def association(df: DataFrame, variables: Sequence[str], outcomes: Mapping[str,
     """Test of each 0/1 outcome against each categorical variable, over records knowing both.
 
     All expected counts above 5: Pearson; else all above 3: Pearson with correction; else
-    the exact test (null when it would need too many tables). With ``levels`` a listed level
+    the exact test. With ``levels`` a listed level
     without any record counts as an expected 0. Columns: outcome, variable, n, n_levels, df,
     min_expected, statistic, test, p_value.
     """
     cells = _level_cells(df, variables, outcomes, by, weight)
     keys = [*by, "outcome", "variable"]
-    block = Window.partitionBy(*keys)
-    cells = cells.withColumn("__r", F.col("n1") + F.col("n0")).withColumns({
-        "__c1": F.sum("n1").over(block), "__c0": F.sum("n0").over(block),
-        "__k": F.count(F.lit(1)).over(block)})
+    cells = beside(cells.withColumn("__r", F.col("n1") + F.col("n0")), keys, __c1=F.sum("n1"), __c0=F.sum("n0"))
     total = (F.col("__c1") + F.col("__c0")).cast("double")
     e1, e0 = F.col("__r") / total * F.col("__c1"), F.col("__r") / total * F.col("__c0")
     gap = F.abs(F.col("n1") - e1)
-    keep = F.when(F.col("__k") <= MAX_FISHER_LEVELS, F.struct("n1", "n0"))
     out = cells.groupBy(*keys).agg(
         F.sum("__r").alias("n"), F.count(F.lit(1)).cast("int").alias("n_levels"),
         F.min(F.least(e1, e0)).alias("__min"), F.max("__c1").alias("__c1"), F.max("__c0").alias("__c0"),
         F.sum(nl.ratio(gap * gap, e1) + nl.ratio(gap * gap, e0)).alias("__plain"), F.max(gap).alias("__gap"),
         F.sum(nl.ratio(F.lit(1.0), e1) + nl.ratio(F.lit(1.0), e0)).alias("__inv"),
-        F.collect_list(keep).alias("__cells"),
+        F.collect_list(F.struct("n1", "n0")).alias("__cells"),
     )
     declared = F.lit(0)
     for v, lv in (levels or {}).items():
@@ -203,14 +231,11 @@ def association(df: DataFrame, variables: Sequence[str], outcomes: Mapping[str,
 
 
 def fisher_exact(df: DataFrame, x: str, y: str, weight: str | None = None) -> DataFrame:
-    """Exact r x 2 test of x against the 0/1 column y: n, n_levels, p_value (null if too large)."""
+    """Exact r x 2 test of x against the 0/1 column y: n, n_levels, p_value (null if a margin is empty)."""
     cells = _level_cells(df, [x], {"y": y}, (), weight)
-    block = Window.partitionBy("variable")
-    cells = cells.withColumn("__k", F.count(F.lit(1)).over(block))
-    keep = F.when(F.col("__k") <= MAX_FISHER_LEVELS, F.struct("n1", "n0"))
     out = cells.groupBy("variable").agg(
         F.sum(F.col("n1") + F.col("n0")).alias("n"), F.count(F.lit(1)).cast("int").alias("n_levels"),
-        F.collect_list(keep).alias("__cells"))
+        F.collect_list(F.struct("n1", "n0")).alias("__cells"))
     p = _fisher_udf(F.transform("__cells", lambda c: c["n1"].cast("double")),
                     F.transform("__cells", lambda c: c["n0"].cast("double")))
     out = out.withColumn("__p", p)
@@ -223,13 +248,10 @@ def trend_test(counts: DataFrame, score: str, by: Sequence[str] = ()) -> DataFra
     Scores are 1..k in the order of ``score``; the statistic does not change when all scores
     shift, so centring them first keeps the sums small.
     """
-    group = list(by) or [F.lit(1)]
-    ranked = counts.withColumn(
-        "__s", F.row_number().over(Window.partitionBy(*group).orderBy(score)).cast("double"))
-    whole = Window.partitionBy(*group)
-    ranked = ranked.withColumns({
-        "__n": F.sum("n_tested").over(whole), "__x": F.sum("n_resistant").over(whole),
-        "__m": nl.ratio(F.sum(F.col("__s") * F.col("n_tested")).over(whole), F.sum("n_tested").over(whole))})
+    # the rank of a score needs its group's scores in order: one row per score, as in the report's years
+    ranked = counts.withColumn("__s", F.row_number().over(Window.partitionBy(*by).orderBy(score)).cast("double"))
+    ranked = beside(ranked, list(by), __n=F.sum("n_tested"), __x=F.sum("n_resistant"),
+                    __m=nl.ratio(F.sum(F.col("__s") * F.col("n_tested")), F.sum("n_tested")))
     p = nl.ratio("__x", "__n")
     ranked = ranked.withColumn("__p", p).withColumn("__d", F.col("__s") - F.col("__m"))
     out = ranked.groupBy(*by).agg(

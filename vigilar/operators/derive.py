@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import nulls as nl
 from ..functions import text as tx
-from .aggregate import collapse
+from .aggregate import collapse, proportions
 from .columns import case_when, recode
-from .joins import HOT_ROWS, SALTS, attach_by_key
-from .windows import share
+from .joins import HOT_ROWS, attach_by_key
 
 
 def age_at_event(df: DataFrame, primary: str, fallback: str, birth: str, name: str = "age") -> DataFrame:
@@ -214,7 +213,7 @@ def person_key(df: DataFrame, cols: Sequence[str], name: str = "person_key") ->
 
 
 def flag_duplicates(df: DataFrame, person: str, same_cols: Sequence[str], row_id: str,
-                    drop: bool = False, hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+                    drop: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Persons with several records, and true duplicates among them.
 
     A true duplicate shares person and ``same_cols`` with a record of smaller ``row_id``.
@@ -227,8 +226,8 @@ def flag_duplicates(df: DataFrame, person: str, same_cols: Sequence[str], row_id
     sets = signed.where(F.col(person).isNotNull()).groupBy(person, "__sig").agg(
         F.count(F.lit(1)).alias("n_same"), F.min(row_id).alias("__first"))
     people = sets.groupBy(person).agg(F.sum("n_same").alias("n_person"))
-    sets = attach_by_key(sets, people, [person], "n_person", "__sig", hot_rows, salts)
-    out = attach_by_key(signed, sets, [person, "__sig"], "n_same", row_id, hot_rows, salts)
+    sets = attach_by_key(sets, people, [person], "n_person", "__sig", hot_rows)
+    out = attach_by_key(signed, sets, [person, "__sig"], "n_same", row_id, hot_rows)
     out = out.withColumn("is_repeat", F.coalesce(F.col(row_id) > F.col("__first"), F.lit(False)))
     out = out.drop("__sig", "__first")
     return out.where(~F.col("is_repeat")) if drop else out
@@ -240,10 +239,10 @@ def specimen_groups(df: DataFrame, column: str, groups: Mapping[str, Sequence[st
     group = nl.lookup(F.lower(column), _by_value(groups))
     other = F.when(F.col(column).isNull(), undetermined).otherwise(fallback)
     labelled = df.select(F.coalesce(group, other).alias("specimen"))
-    return share(collapse(labelled, ["specimen"]), "n", [F.lit(1)])
+    return proportions(labelled, "specimen")
 
 
-def combined_label(df: DataFrame, species: str, subtype: str, plain: str, name: str = "shigelle") -> DataFrame:
+def combined_label(df: DataFrame, species: str, subtype: str, plain: str, name: str = "label") -> DataFrame:
     """The plain species keeps its name; others show species_subtype."""
     joined = tx.paste(species, F.lit("_"), subtype)
     return df.withColumn(name, nl.if_else(F.col(species) == plain, F.col(species), joined))

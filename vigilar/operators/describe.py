@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import nulls as nl
-from ..functions.formats import format_n_pct, percent
+from ..functions.formats import format_n_pct, format_p, percent
 from ..functions.levels import Levels
-from .aggregate import collapse, long_counts, patterns_of
+from .aggregate import beside, collapse, long_counts, patterns_of
 from .association import association
 from .reshape import to_wide
 
@@ -62,10 +62,9 @@ def _text(cell: str) -> Column:
 
 
 def _with_known(lines: DataFrame, cells: Sequence[str]) -> DataFrame:
-    """Totals over the known levels of each variable, one window for all cells."""
-    block = Window.partitionBy("variable")
-    return lines.withColumns({
-        f"__k_{c}": F.sum(F.when(F.col("level").isNotNull(), F.col(c))).over(block) for c in cells})
+    """Totals over the known levels of each variable, one aggregate for all cells."""
+    return beside(lines, ["variable"], **{
+        f"__k_{c}": F.sum(F.when(F.col("level").isNotNull(), F.col(c))) for c in cells})
 
 
 def describe(df: DataFrame, specs: Sequence[VariableSpec], name: str = "freq",
@@ -187,7 +186,7 @@ def age_sex_table(df: DataFrame, species: str, species_kept: Sequence[str], age_
     tests = association(patterns, [age_sex], drugs, by=[species], weight="__w",
                         levels={age_sex: Levels.of(age_sex_levels)})
     tests = tests.select(F.col(species).alias("__s"), F.concat("outcome", F.lit("_S")).alias("__a"),
-                         "p_value", "test")
+                         "p_value", format_p("p_value", 0.001).alias("p_text"), "test")
     return table.join(
         tests, (F.col("species") == F.col("__s")) & (F.col("ATB") == F.col("__a")), "left").drop("__s", "__a")
 
@@ -195,5 +194,5 @@ def age_sex_table(df: DataFrame, species: str, species_kept: Sequence[str], age_
 def profile_of_resistant(df: DataFrame, condition: Column, attributes: Sequence[str]) -> DataFrame:
     """Records meeting the condition, by each attribute: count and share, null level included."""
     counts = long_counts(df.where(condition), attributes)
-    total = F.sum("n").over(Window.partitionBy("variable"))
-    return counts.withColumn("share", nl.ratio(F.col("n"), total))
+    counts = beside(counts, ["variable"], __total=F.sum("n"))
+    return counts.withColumn("share", nl.ratio("n", "__total")).drop("__total")

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 5_000_000
-SALTS = 64
 
 
 def one_row_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -92,29 +91,29 @@ def semi_by(df: DataFrame, members: DataFrame, key: str, member_key: str | None
 
 
 def attach_by_key(df: DataFrame, stats: DataFrame, keys: Sequence[str], n_col: str, row_id: str,
-                  hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+                  hot_rows: int = HOT_ROWS) -> DataFrame:
     """Left-join per-key statistics back onto the rows, safe for hot keys and null keys.
 
-    ``stats`` holds one row per key and the key's row count in ``n_col``. Keys with at
-    least ``hot_rows`` rows number at most rows / hot_rows, so that list is small enough
-    to broadcast; their rows are spread over ``salts`` join partitions by a hash of
-    ``row_id``, and so are rows with a null key, which never match.
+    ``stats`` holds one row per key and the key's row count in ``n_col``. A key with over
+    ``hot_rows`` rows is spread over count / hot_rows join partitions by a hash of ``row_id``,
+    so no partition grows with the key. Rows with a null key never match and are spread by
+    that hash alone. How the list of hot keys is joined is left to the optimizer.
     """
-    hot = stats.where(F.col(n_col) >= hot_rows).select(
-        *[F.col(k).alias(f"__hot_{k}") for k in keys], F.lit(True).alias("__is_hot")
+    parts = F.ceil(F.col(n_col) / hot_rows).cast("long")
+    hot = stats.where(F.col(n_col) > hot_rows).select(
+        *[F.col(k).alias(f"__hot_{k}") for k in keys], parts.alias("__parts")
     )
     on_hot = reduce(and_, [F.col(k) == F.col(f"__hot_{k}") for k in keys])
     no_key = F.lit(False)
     for k in keys:
         no_key = no_key | F.col(k).isNull()
-    spread = F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")
+    spread = F.xxhash64(row_id)
     salted = (
-        df.join(F.broadcast(hot), on_hot, "left")
-        .withColumn("__salt", F.when(F.col("__is_hot") | no_key, spread).otherwise(F.lit(0)))
-        .drop("__is_hot", *[f"__hot_{k}" for k in keys])
+        df.join(hot, on_hot, "left")
+        .withColumn("__salt", F.when(no_key, spread).otherwise(F.pmod(spread, F.coalesce("__parts", F.lit(1).cast("long")))))
+        .drop("__parts", *[f"__hot_{k}" for k in keys])
     )
-    last = F.when(F.col(n_col) >= hot_rows, F.lit(salts - 1)).otherwise(F.lit(0))
-    copies = stats.withColumn("__salt_r", F.explode(F.sequence(F.lit(0), last))).withColumnsRenamed(
+    copies = stats.withColumn("__salt_r", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(parts, F.lit(1).cast("long")) - 1))).withColumnsRenamed(
         {k: f"__r_{k}" for k in keys}
     )
     on = reduce(and_, [F.col(k) == F.col(f"__r_{k}") for k in keys])

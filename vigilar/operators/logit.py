@@ -26,9 +26,10 @@ from ..functions.special import (
 from ..sources.tables import cut_lineage, literal_table
 from .prevalence import level_counts, with_exact_interval
 
-MAX_LEVELS = 500  # more levels than this is not a categorical covariate
-MAX_STEPS = 40
-SEPARATED = 12.0  # |log odds ratio| beyond this means a level without events or without others
+MAX_LEVELS = 500  # default bound of a model's levels: their squared number of sums reaches the driver
+MAX_STEPS = 500  # far beyond any fit; running out of steps is an error, never a result
+DRIFT = 1e-3  # a coefficient that still moves by this much when the likelihood stands still has no finite estimate
+ALIASED = 1e-9  # share of a column that earlier columns leave unexplained, below which it is a combination of them
 
 
 @dataclass
@@ -52,8 +53,9 @@ class ModelFrame:
 
 
 def model_frame(df: DataFrame, outcome: str, variables: Sequence[str],
-                levels: Mapping[str, Levels] | None = None, weight: str | None = None) -> ModelFrame:
-    """Count the covariate patterns of the complete records.
+                levels: Mapping[str, Levels] | None = None, weight: str | None = None,
+                max_levels: int = MAX_LEVELS) -> ModelFrame:
+    """Count the covariate patterns of the complete records. More than ``max_levels`` levels per variable is an error.
 
     Levels not given are the values found, in sort order; the first is the reference. Levels
     without a record are left out.
@@ -69,10 +71,10 @@ def model_frame(df: DataFrame, outcome: str, variables: Sequence[str],
         .agg(F.sum(size * F.col(outcome).cast("long")).alias("y"), F.sum(size).cast("long").alias("n")))
     packed = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).alias("level")) for v in variables])
     found: dict[str, list[str]] = {v: [] for v in variables}
-    limit = MAX_LEVELS * len(variables) + 1
+    limit = max_levels * len(variables) + 1
     seen = labelled.select(F.inline(packed)).distinct().limit(limit).collect()
     if len(seen) == limit:
-        raise ValueError(f"more than {MAX_LEVELS} levels per variable: not categorical covariates")
+        raise ValueError(f"more than {max_levels} levels per variable: raise max_levels if they are meant to be covariates")
     for row in seen:
         found[row["variable"]].append(row["level"])
     ordered = {}
@@ -87,13 +89,18 @@ def model_frame(df: DataFrame, outcome: str, variables: Sequence[str],
 
 @dataclass
 class Fit:
-    """Fitted coefficients on the full design; excluded ones are 0."""
+    """Fitted coefficients on the full design; excluded ones are 0.
+
+    ``columns`` are the estimated ones: a column that earlier ones already determine is in ``aliased`` instead. A
+    ``separated`` one has no finite estimate: the likelihood rises for ever in its direction.
+    """
 
     columns: np.ndarray
     beta: np.ndarray
     covariance: np.ndarray
     loglik: float
-    converged: bool
+    aliased: np.ndarray
+    separated: frozenset[int]
 
     @property
     def deviance(self) -> float:
@@ -125,7 +132,7 @@ def _likelihood_sums(frame: ModelFrame, betas: np.ndarray, models: list[np.ndarr
                 xk, w = x[:, cols], n * mu[:, k] * (1 - mu[:, k])
                 cells = np.concatenate([
                     [y @ eta[:, k] - n @ loss[:, k]], xk.T @ (y - n * mu[:, k]),
-                    ((xk.T * w) @ xk).ravel()])
+                    ((xk.T * w) @ xk)[np.tril_indices(len(cols))]])
                 parts[k] = parts.get(k, 0.0) + cells
         for k, cells in parts.items():
             yield pd.DataFrame({"model": k, "cell": np.arange(len(cells)), "value": cells})
@@ -136,123 +143,154 @@ def _likelihood_sums(frame: ModelFrame, betas: np.ndarray, models: list[np.ndarr
     out = []
     for k, cols in enumerate(models):
         p = len(cols)
-        cells = np.zeros(1 + p + p * p)
+        cells = np.zeros(1 + p + p * (p + 1) // 2)
         mine = sums[sums["model"] == k]
         cells[mine["cell"].to_numpy(int)] = mine["value"].to_numpy()
-        out.append((cells[0], cells[1:1 + p], cells[1 + p:].reshape(p, p)))
+        info = np.zeros((p, p))
+        info[np.tril_indices(p)] = cells[1 + p:]
+        out.append((cells[0], cells[1:1 + p], info + np.tril(info, -1).T))
     return out
 
 
-def _solve(info: np.ndarray, score: np.ndarray) -> np.ndarray:
-    return np.linalg.lstsq(info, score, rcond=1e-12)[0]
+def _inverse(info: np.ndarray) -> np.ndarray:
+    """Inverse after scaling to a unit diagonal, so coefficients of very rare levels keep their digits."""
+    scale = 1.0 / np.sqrt(np.maximum(np.diag(info), 1e-300))
+    return np.linalg.pinv(info * np.outer(scale, scale), rcond=1e-13, hermitian=True) * np.outer(scale, scale)
+
+
+def _independent(info: np.ndarray) -> np.ndarray:
+    """Places of the columns that earlier ones do not determine, in the order of the terms, from X'WX."""
+    rest, kept = info.copy(), []
+    for j in range(len(info)):
+        if rest[j, j] > ALIASED * info[j, j] > 0:
+            kept.append(j)
+            rest = rest - np.outer(rest[:, j], rest[j]) / rest[j, j]
+    return np.array(kept, dtype=int)
 
 
 def fit_models(frame: ModelFrame, models: Sequence[Sequence[str]]) -> list[Fit]:
-    """Fit several models (lists of variables) together by Newton steps with step halving."""
-    cols = [frame.columns(m) for m in models]
+    """Fit several models (lists of variables) together by Newton steps with step halving.
+
+    Models that have ended take no part in later jobs. A model ends when neither its likelihood nor a coefficient moves, or
+    when the likelihood stands still while coefficients drift away: those are separated.
+    """
+    asked = [frame.columns(m) for m in models]
     width = 1 + len(frame.terms)
-    beta = np.zeros((len(cols), width))
-    state = _likelihood_sums(frame, beta, cols)
-    done = [False] * len(cols)
+    beta = np.zeros((len(asked), width))
+    state = _likelihood_sums(frame, beta, asked)
+    kept = [_independent(s[2]) for s in state]
+    cols = [c[i] for c, i in zip(asked, kept)]
+    state = [(s[0], s[1][i], s[2][np.ix_(i, i)]) for s, i in zip(state, kept)]
+    moved = [np.zeros(len(c)) for c in cols]
+    open_ = list(range(len(cols)))
     for _ in range(MAX_STEPS):
-        steps = [np.zeros(len(c)) if done[k] else _solve(state[k][2], state[k][1]) for k, c in enumerate(cols)]
-        trial, fresh = beta.copy(), None
-        for k, c in enumerate(cols):
-            trial[k, c] += steps[k]
-        fresh = _likelihood_sums(frame, trial, cols)
-        for _half in range(10):
-            worse = [k for k in range(len(cols)) if not done[k]
-                     and not fresh[k][0] >= state[k][0] - 1e-8 * (1 + abs(state[k][0]))]
-            if not worse:
-                break
-            for k in worse:
-                steps[k] = steps[k] / 2
-                trial[k] = beta[k]
-                trial[k, cols[k]] += steps[k]
-            fresh = _likelihood_sums(frame, trial, cols)
-        for k in range(len(cols)):
-            gain = fresh[k][0] - state[k][0]
-            done[k] = done[k] or (abs(gain) <= 1e-10 * (1 + abs(fresh[k][0]))
-                                  and np.abs(steps[k]).max() < 1e-7) or np.abs(trial[k]).max() > 2 * SEPARATED
-        beta, state = trial, fresh
-        if all(done):
+        if not open_:
             break
+        steps = {k: _inverse(state[k][2]) @ state[k][1] for k in open_}
+        tries = list(open_)
+        fresh: dict[int, tuple] = {}
+        while tries:
+            trial = np.stack([beta[k] for k in tries])
+            for row, k in zip(trial, tries):
+                row[cols[k]] += steps[k]
+            found = dict(zip(tries, _likelihood_sums(frame, trial, [cols[k] for k in tries])))
+            fresh |= found
+            tries = [k for k in tries if not found[k][0] >= state[k][0] - 1e-8 * (1 + abs(state[k][0])) and np.abs(steps[k]).max() > 1e-9]
+            for k in tries:
+                steps[k] = steps[k] / 2
+        still = []
+        for k in open_:
+            gain = abs(fresh[k][0] - state[k][0])
+            beta[k, cols[k]] += steps[k]
+            state[k], moved[k] = fresh[k], np.abs(steps[k])
+            stands = gain <= 1e-10 * (1 + abs(fresh[k][0]))
+            if not stands or 1e-7 <= moved[k].max() <= DRIFT:
+                still.append(k)
+        open_ = still
+    if open_:
+        raise ArithmeticError(f"no convergence after {MAX_STEPS} steps")
     return [
-        Fit(c, beta[k], np.linalg.pinv(state[k][2]), float(state[k][0]),
-            bool(np.abs(beta[k]).max() <= SEPARATED))
+        Fit(c, beta[k], _inverse(state[k][2]), float(state[k][0]), np.setdiff1d(asked[k], c),
+            frozenset(int(j) for j in c[moved[k] > DRIFT]))
         for k, c in enumerate(cols)]
 
 
 def profile_limits(frame: ModelFrame, fit: Fit) -> dict[int, tuple[float, float]]:
-    """95 % profile-likelihood limits of every coefficient, all found in the same jobs.
+    """95 % profile-likelihood limits of every coefficient with a finite estimate, all found in the same jobs.
 
     Each limit is where the log-likelihood, maximised over the other coefficients, has
     dropped by half the chi-square point. A step goes to the end of the quadratic
-    approximation in that coefficient's direction; without convergence the limit is nan.
+    approximation in that coefficient's direction. Separated coefficients stay where their
+    fit left them and get nan, and so does a limit that moves off without end.
     """
-    targets = [(j, sign) for j in fit.columns[1:] for sign in (-1.0, 1.0)]
-    if not targets or not fit.converged:
-        return {int(j): (np.nan, np.nan) for j in fit.columns[1:]}
+    free = np.array([j for j in fit.columns if int(j) not in fit.separated], dtype=int)
+    out = {int(j): [np.nan, np.nan] for j in fit.columns[1:]}
+    targets = [(int(j), sign) for j in free if j > 0 for sign in (-1.0, 1.0)]
+    if not targets:
+        return {j: tuple(v) for j, v in out.items()}
     floor = fit.loglik - CHI2_95_1 / 2.0
-    position = {int(c): i for i, c in enumerate(fit.columns)}
+    position = {int(c): i for i, c in enumerate(free)}
+    inside = [int(np.where(fit.columns == c)[0][0]) for c in free]
     beta = np.tile(fit.beta, (len(targets), 1))
-    state = [(fit.loglik, np.zeros(len(fit.columns)), np.linalg.pinv(fit.covariance))] * len(targets)
-    done, lost = [False] * len(targets), [False] * len(targets)
+    state = {k: (fit.loglik, np.zeros(len(free)), _inverse(fit.covariance[np.ix_(inside, inside)])) for k in range(len(targets))}
+    reach = 50.0 + 10.0 * np.sqrt(np.diag(fit.covariance))[inside]
     for _ in range(MAX_STEPS):
-        for k, (j, sign) in enumerate(targets):
-            if done[k] or lost[k]:
-                continue
+        for k in state:
+            j, sign = targets[k]
             loglik, score, info = state[k]
-            inverse = np.linalg.pinv(info)
-            i = position[int(j)]
+            inverse = _inverse(info)
+            i = position[j]
             drop = 2.0 * (loglik - floor) + score @ inverse @ score
-            pull = sign * np.sqrt(max(drop, 0.0) / inverse[i, i])
             direction = score.copy()
-            direction[i] += pull
+            direction[i] += sign * np.sqrt(max(drop, 0.0) / inverse[i, i])
             step = inverse @ direction
             largest = np.abs(step).max()
-            beta[k, fit.columns] += step * min(1.0, 3.0 / largest) if largest > 0 else step
-            if np.abs(beta[k]).max() > 3 * SEPARATED:
-                lost[k] = True
-        state = _likelihood_sums(frame, beta, [fit.columns] * len(targets))
-        for k, (j, _) in enumerate(targets):
+            beta[k, free] += step * min(1.0, 3.0 / largest) if largest > 0 else step
+        open_ = list(state)
+        state = dict(zip(open_, _likelihood_sums(frame, beta[open_], [free] * len(open_))))
+        for k in open_:
+            j, sign = targets[k]
             loglik, score, info = state[k]
-            others = np.delete(np.arange(len(fit.columns)), position[int(j)])
-            slack = score[others] @ np.linalg.pinv(info[np.ix_(others, others)]) @ score[others]
-            done[k] = abs(loglik - floor) < 1e-7 * max(1.0, abs(floor) * 1e-3) and slack < 1e-8
-        if all(d or gone for d, gone in zip(done, lost)):
-            break
-    out: dict[int, tuple[float, float]] = {}
-    for k, (j, sign) in enumerate(targets):
-        value = beta[k, j] if done[k] else np.nan
-        low, high = out.get(int(j), (np.nan, np.nan))
-        out[int(j)] = (value, high) if sign < 0 else (low, value)
-    return out
+            others = np.delete(np.arange(len(free)), position[j])
+            slack = score[others] @ _inverse(info[np.ix_(others, others)]) @ score[others] if len(others) else 0.0
+            found = abs(loglik - floor) < 1e-7 * max(1.0, abs(floor) * 1e-3) and slack < 1e-8
+            if found:
+                out[j][int(sign > 0)] = beta[k, j]
+            if found or abs(beta[k, j] - fit.beta[j]) > reach[position[j]]:
+                del state[k]
+        if not state:
+            return {j: tuple(v) for j, v in out.items()}
+    raise ArithmeticError(f"no convergence of {len(state)} limits after {MAX_STEPS} steps")
 
 
 def _none(x: float):
     return None if x is None or not np.isfinite(x) else float(x)
 
 
+def _estimates(frame: ModelFrame, fit: Fit):
+    """(column, variable, level, beta, se, separated, aliased) of every term of the model; no number where there is none."""
+    place = {int(c): i for i, c in enumerate(fit.columns)}
+    for j in sorted({*map(int, fit.columns), *map(int, fit.aliased)} - {0}):
+        variable, level = frame.terms[j - 1]
+        usable = j in place and j not in fit.separated
+        beta = fit.beta[j] if usable else np.nan
+        se = float(np.sqrt(max(fit.covariance[place[j], place[j]], 0.0))) if usable else np.nan
+        yield j, variable, level, beta, se, j in fit.separated, j not in place
+
+
 def _coefficient_rows(frame: ModelFrame, fit: Fit, limits: Mapping[int, tuple[float, float]] | None):
     rows = []
-    for j in fit.columns[1:]:
-        variable, level = frame.terms[j - 1]
-        i = int(np.where(fit.columns == j)[0][0])
-        beta, se = fit.beta[j], float(np.sqrt(max(fit.covariance[i, i], 0.0)))
-        usable = abs(beta) <= SEPARATED
-        low, high = (limits or {}).get(int(j), (np.nan, np.nan))
-        p = float(normal_two_sided(np.array([beta / se]))[0]) if usable and se > 0 else np.nan
-        rows.append((
-            variable, frame.levels[variable][0], level, _none(beta if usable else np.nan),
-            _none(se if usable else np.nan), _none(np.exp(beta) if usable else np.nan),
-            _none(np.exp(low)), _none(np.exp(high)), _none(p), not usable))
+    for j, variable, level, beta, se, separated, aliased in _estimates(frame, fit):
+        low, high = (limits or {}).get(j, (np.nan, np.nan))
+        p = float(normal_two_sided(np.array([beta / se]))[0]) if se > 0 else np.nan
+        rows.append((variable, frame.levels[variable][0], level, _none(beta), _none(se), _none(np.exp(beta)),
+                     _none(np.exp(low)), _none(np.exp(high)), _none(p), separated, aliased))
     return rows
 
 
 _COEFFICIENTS = (
     "variable string, reference string, level string, beta double, se double, odds_ratio double, "
-    "ci_low double, ci_high double, wald_p double, separated boolean")
+    "ci_low double, ci_high double, wald_p double, separated boolean, aliased boolean")
 
 
 def multivariable_logit(df: DataFrame, outcome: str, variables: Sequence[str],
@@ -273,28 +311,24 @@ def profile_interval(df: DataFrame, outcome: str, variables: Sequence[str],
     fit = fit_models(frame, [variables])[0]
     limits = profile_limits(frame, fit)
     rows = []
-    for i, j in enumerate(fit.columns[1:], start=1):
-        variable, level = frame.terms[j - 1]
-        se = float(np.sqrt(fit.covariance[i, i]))
-        usable = abs(fit.beta[j]) <= SEPARATED
-        rows.append((variable, level, *[
-            _none(v if usable else np.nan)
-            for v in (fit.beta[j], fit.beta[j] - Z975 * se, fit.beta[j] + Z975 * se)],
-            _none(limits[int(j)][0]), _none(limits[int(j)][1])))
+    for j, variable, level, beta, se, _, _ in _estimates(frame, fit):
+        low, high = limits.get(j, (np.nan, np.nan))
+        rows.append((variable, level, *[_none(v) for v in (beta, beta - Z975 * se, beta + Z975 * se, low, high)]))
     return literal_table(frame.patterns.sparkSession, rows,
                          "variable string, level string, beta double, wald_low double, wald_high double, "
                          "profile_low double, profile_high double")
 
 
 def deletion_tests(frame: ModelFrame, variables: Sequence[str]) -> tuple[Fit, list[tuple[str, int, float, float]]]:
-    """Full fit and (variable, df, likelihood ratio, p) of leaving each variable out."""
+    """Full fit and (variable, df, likelihood ratio, p) of leaving each variable out. df is the difference of ranks; a variable
+    that the others determine has df 0 and no p."""
     variables = list(variables)
     fits = fit_models(frame, [variables, *[[u for u in variables if u != v] for v in variables]])
     full, rows = fits[0], []
     for v, smaller in zip(variables, fits[1:]):
         df = len(full.columns) - len(smaller.columns)
         lr = max(smaller.deviance - full.deviance, 0.0)
-        p = float(chi2_tail(np.array([lr]), np.array([df]))[0]) if df else 1.0
+        p = float(chi2_tail(np.array([lr]), np.array([df]))[0]) if df else np.nan
         rows.append((v, df, lr, p))
     return full, rows
 
@@ -410,11 +444,12 @@ def _screen(frame: ModelFrame, outcome_counts: DataFrame, p_in: float, p_out: fl
     fit, tests = deletion_tests(frame, kept)
     while kept:
         number += 1
-        worst = max(tests, key=lambda t: t[3])
-        steps += [(number, "deletion", v, p, not (v == worst[0] and p >= p_out)) for v, _, _, p in tests]
-        if worst[3] < p_out:
+        weight = {v: p if np.isfinite(p) else 1.0 for v, _, _, p in tests}  # what others determine goes first
+        worst = max(tests, key=lambda t: weight[t[0]])[0]
+        steps += [(number, "deletion", v, p, not (v == worst and weight[v] >= p_out)) for v, _, _, p in tests]
+        if weight[worst] < p_out:
             break
-        kept = [v for v in kept if v != worst[0]]
+        kept = [v for v in kept if v != worst]
         fit, tests = deletion_tests(frame, kept)
         if not iterate:
             break

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .aggregate import collapse
+from .aggregate import beside, collapse
 
 
 def mic_joint(df: DataFrame, a: str, b: str, weight: str | None = None) -> DataFrame:
@@ -28,10 +28,9 @@ def mic_distribution(df: DataFrame, column: str, levels: Sequence[str],
     stacked = counts.select("level", "n_isolates").unionByName(
         grid.select("level", F.lit(0).cast("long").alias("n_isolates")))
     merged = stacked.groupBy("level").agg(F.sum("n_isolates").alias("n_isolates"))
-    total = F.sum("n_isolates").over(Window.partitionBy(F.lit(1)))
     ranks = F.array_position(F.array(*[F.lit(v) for v in levels]), F.col("level"))
     return (
-        merged.withColumn("n_tested", total).withColumn("level_rank", ranks)
+        beside(merged, [], n_tested=F.sum("n_isolates")).withColumn("level_rank", ranks)
         .where(F.col("level_rank") > 0).select("level_rank", "level", "n_isolates", "n_tested")
     )
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import nulls as nl
-from .joins import HOT_ROWS, SALTS, attach_by_key
+from .joins import HOT_ROWS, attach_by_key
 
 
 def partition_total(df: DataFrame, value: str, by: Sequence[str], name: str = "tot") -> DataFrame:
@@ -58,7 +58,7 @@ def flag_maximum(df: DataFrame, value: str, by: Sequence[str], name: str = "is_m
 
 
 def group_size(df: DataFrame, keys: Sequence[str], row_id: str, name: str = "n_group",
-               hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+               hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rows per key beside each row, without a window over the records.
 
     Counts are combined map-side first, then joined back with hot keys salted. Rows with
@@ -66,4 +66,4 @@ def group_size(df: DataFrame, keys: Sequence[str], row_id: str, name: str = "n_g
     """
     known = df.na.drop(subset=list(keys))
     sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-    return attach_by_key(df, sizes, keys, name, row_id, hot_rows, salts)
+    return attach_by_key(df, sizes, keys, name, row_id, hot_rows)
