@@ -26,8 +26,9 @@ ORACLE_SQL = None
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; texts without a letter go."""
     net = fit_languages(docs, ~held_out("doc_id", 4, 2))
-    found = identify_languages(docs, net)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select(*docs.columns)
+    held = docs.select(F.struct(*docs.columns).alias("document"), "text")
+    found = identify_languages(held, net)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select("document.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

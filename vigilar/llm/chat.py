@@ -57,7 +57,7 @@ def _copy(out: np.ndarray, to: np.ndarray, source: np.ndarray, start: np.ndarray
 
 def assembled(conv: pa.Array, role: pa.Array, text: pa.Array) -> pa.RecordBatch:
     """FORMATTED rows of whole conversations whose turns stand in order."""
-    ids = conv.to_numpy(zero_copy_only=False)
+    ids = conv.fill_null(0).to_numpy(zero_copy_only=False)
     known = conv.is_valid().to_numpy(zero_copy_only=False)
     body, at = escaped(*text_bytes(text))
     coded = role.fill_null("").dictionary_encode()
@@ -99,21 +99,23 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         ids = batch.column(0).to_pylist()
-        cut = len(ids)
+        open_id = held[-1].column(0)[-1].as_py() if held else ids[0]
+        held.append(batch)
+        if ids[-1] == open_id and (len(held) > 1 or ids[0] == open_id):
+            continue  # sorted: the whole batch goes on with the open conversation
+        cut = len(ids) - 1
         while cut and ids[cut - 1] == ids[-1]:
             cut -= 1
-        if held and (cut or ids[0] != held[-1].column(0)[-1].as_py()):
-            if ids[0] == held[-1].column(0)[-1].as_py() or cut:
-                held.append(batch.slice(0, cut))
-            t = pa.Table.from_batches(held).combine_chunks()
-            yield assembled(*[t.column(i).combine_chunks() for i in range(3)])
-            held = []
-        elif not held and cut:
-            yield assembled(*[batch.column(i) for i in range(3)]) if cut == len(ids) else assembled(*[batch.slice(0, cut).column(i) for i in range(3)])
-        held.append(batch.slice(cut))
+        held[-1] = batch.slice(0, cut)
+        yield _whole(held)
+        held = [batch.slice(cut)]
     if held:
-        t = pa.Table.from_batches(held).combine_chunks()
-        yield assembled(*[t.column(i).combine_chunks() for i in range(3)])
+        yield _whole(held)
+
+
+def _whole(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    table = pa.Table.from_batches(batches).combine_chunks()
+    return assembled(*[table.column(i).combine_chunks() for i in range(3)])
 
 
 def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

@@ -182,12 +182,13 @@ def _row_scores(net: Network, tables: dict, buf: np.ndarray, offsets: np.ndarray
 
 
 def identify_languages(docs: DataFrame, net: Network | None, key: str = "doc_id", text: str = "text", unknown: str = "und") -> DataFrame:
-    """All columns of ``docs`` with lang_pred and score (0 to 1) added, from the text alone.
+    """All columns of ``docs`` with lang_pred and score (0 to 1) added or replaced, from the text alone.
 
     Null texts and texts without a letter are ``unknown`` with score 0, and so is everything when there was nothing to
     learn from. Rows are judged one by one, whole; repeated rows get equal results. An empty table gives an empty result.
     """
-    rest = [c for c in docs.columns]
+    docs = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
+    rest = docs.columns
     held = docs.select(F.struct(*rest).alias("row"), F.when(F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)), F.col(text)).alias("text"))
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -213,7 +213,7 @@ def cut_places(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         inner = (solid[:-2] & (solid[2:] | high[2:])) | (high[:-2] & solid[2:])
         space, line = inner & (buf[1:-1] == 32), inner & (buf[1:-1] == 10)
         first[1:n - 1] |= space | line
-        first[2:n] |= line
+        first[2:n] |= line & solid[2:]  # a wider character may be a blank that goes with the line end
     return np.flatnonzero(first[:n])
 
 

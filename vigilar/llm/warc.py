@@ -176,6 +176,8 @@ class WarcReader(DataSourceReader):
         return True
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # what Spark hands over when there is nothing to read
+            return
         name, start, end = partition.value
         store, folder = _store(self.path)
         with store.open_input_file(f"{folder}/{name}") as raw:
