@@ -214,6 +214,13 @@ def _travel_review(spark, sf):
     return travel_review(v.cleaned(spark, sf))
 
 
+@query(f"WITH {s.CLEAN} SELECT voyage_continent, count(*) AS n FROM cleaned WHERE CAZ1030_SIR = 'R' OR CTX_SIR = 'R' OR CRO_SIR = 'R' "
+       "OR CIP_SIR = 'R' OR AZM_SIR = 'R' GROUP BY voyage_continent")
+def travel_review_continent(spark, sf):
+    """The same review by group of countries."""
+    return travel_review(v.cleaned(spark, sf), "voyage_continent")
+
+
 @query(f"""WITH {s.RAW}, g AS (SELECT CASE WHEN lower(origine_prel) = 'selles' THEN 'stool'
   WHEN lower(origine_prel) = 'biopsie rectale' THEN 'other digestive' WHEN lower(origine_prel) = 'sang' THEN 'other'
   WHEN lower(origine_prel) = 'autre' OR origine_prel IS NULL THEN 'undetermined' ELSE 'unlisted' END AS specimen FROM raw)

@@ -16,7 +16,7 @@ from vigilar.plans.surveillance import cohort_from_table
 
 from . import views as v
 from . import views_sql as s
-from .registry import query
+from .registry import SQL, query
 from .tables import _counts, _TESTED
 
 
@@ -100,15 +100,34 @@ def association_isolates(spark, sf):
     return _rounded(out, "min_expected", "statistic").drop("p_value")
 
 
-@query()
+def _chi_tail(statistic: str, df: str) -> str:
+    """Upper tail of chi-square in SQL: one minus the series of the regularized gamma function."""
+    return (f"CASE WHEN {statistic} <= 0 THEN 1.0 ELSE greatest(0.0, 1 - list_sum(list_transform(range(0, 1500), lambda i: "
+            f"exp(({df} / 2.0 + i) * ln({statistic} / 2) - {statistic} / 2 - lgamma({df} / 2.0 + i + 1))))) END")
+
+
+def _all_tables_sql(x: str, y: str) -> str:
+    """The exact test by enumeration of every table with the same margins."""
+    choose = lambda n, k: f"(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - ({k}) + 1))"
+    return f"""WITH RECURSIVE {s.OUT}, k AS (SELECT {x} AS x, count(*) AS n, sum({y}) AS e FROM outc WHERE {x} IS NOT NULL AND {y} IS NOT NULL GROUP BY 1),
+  a AS (SELECT list(n ORDER BY n, x) AS s, sum(e) AS m, sum(n) AS t, sum({choose('n', 'e')}) AS seen FROM k),
+  st(i, total, v) AS (SELECT 0, CAST(0 AS BIGINT), CAST(0 AS DOUBLE) UNION ALL
+    SELECT i + 1, total + q.j, v + {choose('a.s[i + 1]', 'q.j')} FROM st, a, LATERAL (SELECT unnest(range(0, CAST(least(a.s[i + 1], a.m - total) AS BIGINT) + 1)) AS j) q
+    WHERE i + 1 < len(a.s)),
+  f AS (SELECT v + {choose('a.s[len(a.s)]', 'a.m - total')} AS v FROM st, a WHERE i + 1 = len(a.s) AND a.m - total BETWEEN 0 AND a.s[len(a.s)])
+  SELECT '{x}' AS variable, CAST(a.t AS BIGINT) AS n, CAST(len(a.s) AS INTEGER) AS n_levels,
+    (SELECT round(sum(exp(v - {choose('a.t', 'a.m')})), 6) FROM f WHERE v <= a.seen + 1e-7) AS p_value FROM a"""
+
+
+@query(_all_tables_sql("lang", "toxic"))
 def fisher_exact(spark, sf):
     """Exact test of language against toxicity."""
-    return asc.fisher_exact(v.labelled_documents(spark, sf), "lang", "toxic")
+    return _rounded(asc.fisher_exact(v.labelled_documents(spark, sf), "lang", "toxic"), "p_value")
 
 
 @query()
 def fisher_exact_large(spark, sf):
-    """Twenty sources: merged partial tables, null when there are still too many."""
+    """Twenty sources: many partial tables, merged."""
     return asc.fisher_exact(v.labelled_documents(spark, sf), "source", "toxic")
 
 
@@ -121,9 +140,17 @@ def trend_test(spark, sf):
     return _rounded(asc.trend_test(counts, "year_real", ["ATB"]), "statistic").drop("p_value")
 
 
-@query()
+@query(f"WITH base AS ({SQL['trend_test']}) SELECT ATB, n_scores, n_tested, n_resistant, statistic, "
+       f"round({_chi_tail('statistic', '1')}, 4) AS p_value FROM base")
 def trend_test_p(spark, sf):
-    return asc.trend_test(_counts(spark, sf, ["year_real"], F.col("metrop")), "year_real", ["ATB"])
+    return asc.trend_test(_counts(spark, sf, ["year_real"], F.col("metrop")), "year_real", ["ATB"]) \
+        .withColumns({"statistic": F.round("statistic", 6), "p_value": F.round("p_value", 4)})
+
+
+@query(f"WITH base AS ({SQL['chi_square']}) SELECT n, df, statistic, round({_chi_tail('statistic', 'df')}, 4) AS p_value FROM base")
+def chi_square_p(spark, sf):
+    out = asc.chi_square(v.labelled_documents(spark, sf), "lang", "source")
+    return out.select("n", "df", F.round("statistic", 6).alias("statistic"), F.round("p_value", 4).alias("p_value"))
 
 
 # ---------------------------------------------------------------- regression
@@ -201,3 +228,43 @@ def screen_and_eliminate(spark, sf):
 @query()
 def regression_table(spark, sf):
     return logit.regression_table(_cohort(spark, sf), "status", _VARIABLES, _LEVELS)
+
+
+def _cohort_levels(drug: str) -> str:
+    """Records and events per level among the complete records of a cohort."""
+    species, variables = fv.COHORTS[drug]
+    where = f"metrop AND espece3 IN ({', '.join(repr(x) for x in species)}) AND {drug}_SIR IS NOT NULL AND " + " AND ".join(
+        f"{x} IS NOT NULL" for x in variables)
+    return f"WITH {s.ANALYSIS} " + " UNION ALL ".join(
+        f"SELECT '{x}' AS variable, CAST({x} AS VARCHAR) AS level, count(*) AS n, sum({drug}_SIR) AS n_events FROM iso WHERE {where} GROUP BY ALL"
+        for x in variables)
+
+
+def _cohort_report(spark, sf, drug):
+    _, variables = fv.COHORTS[drug]
+    levels = {k: lv for k, lv in _LEVELS.items() if k in variables}
+    return logit.regression_table(_cohort(spark, sf, drug), "status", variables, levels)
+
+
+@query()
+def regression_table_macrolide(spark, sf):
+    """The report of the macrolide cohort, with the year as a factor."""
+    return _cohort_report(spark, sf, "AZM")
+
+
+@query(_cohort_levels("AZM"))
+def regression_levels_macrolide(spark, sf):
+    out = _cohort_report(spark, sf, "AZM")
+    return out.select("variable", "level", F.col("N").alias("n"), "n_events")
+
+
+@query()
+def regression_table_cephalosporin(spark, sf):
+    """The report of the cephalosporin cohort, one species."""
+    return _cohort_report(spark, sf, "C3G")
+
+
+@query(_cohort_levels("C3G"))
+def regression_levels_cephalosporin(spark, sf):
+    out = _cohort_report(spark, sf, "C3G")
+    return out.select("variable", "level", F.col("N").alias("n"), "n_events")

@@ -279,6 +279,26 @@ def describe_by_with_tests(spark, sf):
                                {d: f"{d}_SIR" for d in fv.DESCRIBED_DRUGS})
 
 
+REGIONS = {"main": ("metrop", True), "other": ("metrop", False)}
+
+
+@query(f"WITH {s.ANALYSIS}, " + _described(
+    ";".join(f"count(*) FILTER ({'' if value else 'NOT '}metrop) AS {g}" for g, (_, value) in REGIONS.items()), "TRUE",
+    "SELECT variable, coalesce(level, 'missing') AS level, " + ", ".join(
+        f"CASE WHEN level IS NULL THEN CAST({g} AS VARCHAR) ELSE {s.n_pct(g, f'k_{g}')} END AS {g}" for g in REGIONS)
+    + " FROM full_t JOIN known USING (variable)"))
+def describe_by_region(spark, sf):
+    """The whole population, main region beside the others."""
+    return build_groups(v.isolates(spark, sf, drugs=False), SPECS, REGIONS)
+
+
+@query()
+def describe_by_region_with_tests(spark, sf):
+    """The same with the test of each variable against the region."""
+    rows = v.isolates(spark, sf, drugs=False).withColumn("in_main", F.col("metrop").cast("int"))
+    return describe_with_tests(rows, SPECS, REGIONS, {"region": "in_main"})
+
+
 _C = fv.COHORTS["CIP"][1]
 _FULL = " AND ".join(f"{c} IS NOT NULL" for c in _C)
 _FLOW = {
@@ -326,6 +346,15 @@ def profile_of_resistant(spark, sf):
     return profile(v.isolates(spark, sf), F.col("metrop") & (F.col("CIP_SIR") == 1), _ATTR)
 
 
+@query(f"WITH {s.ANALYSIS}, r AS (SELECT * FROM iso WHERE metrop AND CIP_SIR = 1 AND year_real = 1997 AND contains(espece, 'flexneri')), x AS ("
+       + " UNION ALL ".join(f"SELECT '{a}' AS variable, {a} AS level FROM r" for a in _ATTR)
+       + ") SELECT variable, level, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY variable) AS share FROM x GROUP BY variable, level")
+def profile_of_resistant_year(spark, sf):
+    """The profile of one year's resistant records whose species text names one species."""
+    rows = v.isolates(spark, sf)
+    return profile(rows, F.col("metrop") & (F.col("CIP_SIR") == 1) & (F.col("year_real") == 1997) & F.contains("espece", F.lit("flexneri")), _ATTR)
+
+
 # ---------------------------------------------------------------- formatting
 
 @query("""WITH g AS (SELECT l_shipdate, n, r, CAST(r AS DOUBLE) / n / 300 AS p FROM (SELECT CAST(l_shipdate AS DATE) AS l_shipdate, count(*) AS n,

@@ -56,6 +56,8 @@ def difference(df, con, sql) -> str | None:
         return f"columns differ: {c1} / {c2}"
     if len(r1) != len(r2):
         return f"{len(r1)} rows / {len(r2)} rows; first spark {r1[:2]} sql {r2[:2]}"
+    if not r1:
+        return "no rows on either side"
     bad = [(a, b) for a, b in zip(r1, r2) if a != b]
     if bad:
         a, b = bad[0]

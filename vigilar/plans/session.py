@@ -10,4 +10,6 @@ SESSION_SETTINGS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
     # no stack-trace capture for every column expression while a plan is put together
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # checkpoint files go once nothing refers to them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
