@@ -115,8 +115,10 @@ def _beta_fraction(a, b, x, steps=20000):
             step = c * d
             h = h * step
         if np.all(np.abs(step - 1.0) < 1e-15):
-            break
-    return h
+            return h
+    if np.all(np.abs(step - 1.0) < 1e-12):
+        return h
+    raise ArithmeticError(f"the continued fraction has not converged after {steps} steps")
 
 
 def beta_cdf(a, b, x):
