@@ -32,7 +32,9 @@ END_ID = 2
 CHUNK = 1 << 22  # ids
 BLOCKS = 1024  # of a full chunk
 MIN_BLOCK = 1024  # ids; smaller chunks have fewer blocks
-ENCODE_BYTES = 1 << 23  # text bytes whose pieces are told apart at once
+ENCODE_BYTES = 1 << 22  # text bytes whose pieces are told apart at once
+PIECES_AT_ONCE = 1 << 14  # handed to the tokenizer together; its results take far more room than ids
+KNOWN_PIECES = 2_000_000  # whose ids a Python worker remembers; beyond that it starts anew
 K1, K2 = 10, 11  # bits of the tables of order 1 and 2, for each block
 MIX_BITS, ZERO_BITS = 11, 17
 TOTAL_BITS = MIX_BITS + ZERO_BITS
@@ -218,13 +220,30 @@ def cut_places(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of whole texts from the tokenizers library; equal pieces of a batch are encoded once."""
+    """Ids of whole texts from the tokenizers library. Pieces are told apart by hash; each is encoded once and remembered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.at, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        """Encodes new pieces and merges them into the sorted memory."""
+        flat, size = [self.flat], []
+        for i in range(0, len(pieces), PIECES_AT_ONCE):
+            lists = [e.ids for e in self.tokenizer.encode_batch(pieces[i:i + PIECES_AT_ONCE], add_special_tokens=False)]
+            size += map(len, lists)
+            flat.append(np.fromiter(itertools.chain.from_iterable(lists), np.uint32))
+        size = np.array(size, np.int32)
+        at = len(self.flat) + np.cumsum(size, dtype=np.int64) - size
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.at, self.size = np.insert(self.keys, place, keys), np.insert(self.at, place, at), np.insert(self.size, place, size)
+        self.flat = np.concatenate(flat)
 
     def ids(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows one after another, number of ids of each row)."""
@@ -235,19 +254,33 @@ class Encoder:
         base, inverse = powers(len(buf) + 1)
         sums = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(BYTE_CODE[buf] * base[:len(buf)], out=sums[1:])
-        _, kept, piece = np.unique(mix((sums[stop] - sums[start]) * inverse[start]), return_index=True, return_inverse=True)
-        raw = buf.tobytes()
-        found = self.tokenizer.encode_batch([raw[a:b].decode() for a, b in zip(start[kept].tolist(), stop[kept].tolist())], add_special_tokens=False)
-        lists = [e.ids for e in found]
-        sizes = np.array([len(x) for x in lists], np.int64)
-        flat = np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(sizes.sum()))
-        at, size = (np.cumsum(sizes) - sizes)[piece], sizes[piece]
+        keys, first, piece = np.unique(mix((sums[stop] - sums[start]) * inverse[start]), return_index=True, return_inverse=True)
+        if len(self.keys) > KNOWN_PIECES:
+            self.forget()
+        place = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool)
+        inside = place < len(self.keys)
+        new[inside] = self.keys[place[inside]] != keys[inside]
+        if new.any():
+            raw = buf.tobytes()
+            self.learn(keys[new], [raw[a:b].decode() for a, b in zip(start[first[new]].tolist(), stop[first[new]].tolist())])
+            place = np.searchsorted(self.keys, keys)
+        at, size = self.at[place][piece], self.size[place].astype(np.int64)[piece]
         ends = np.cumsum(size)
-        out = flat[np.arange(ends[-1]) - np.repeat(ends - size - at, size)]
+        out = self.flat[np.arange(ends[-1]) - np.repeat(ends - size - at, size)].astype(np.int64)
         bounds = np.concatenate([[0], ends])[np.searchsorted(start, offsets)]
         return out, np.diff(bounds)
 
 
+_encoders: dict[str, Encoder] = {}  # of this Python worker, which serves task after task
+
+
+def _encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def _with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     out = np.full(len(ids) + len(counts), end_id, np.int64)
     out[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
@@ -274,7 +307,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
             if not batch.num_rows:
                 continue
             if out is None:
-                encoder = Encoder(tokenizer)
+                encoder = _encoder(tokenizer)
                 store, where = pafs.FileSystem.from_uri(folder if ":/" in folder else f"file://{folder}")
                 store.create_dir(where, recursive=True)
                 name = f"part-{part:06d}-{uuid.uuid4().hex}.tok"  # a name of this attempt's own
