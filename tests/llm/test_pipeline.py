@@ -72,3 +72,11 @@ def test_op6_equals_plain_encoding(spark):
         assert (g["start"], g["n_tokens"], g["ids_crc32"]) == (at, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids)))
         at += len(ids)
     assert not got
+
+
+def test_quality_verdict_follows_the_labels(spark):
+    """Among texts that pass the base; the labels are never an input."""
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    got = QUERIES["op1_quality_rules"](spark, "/root/testdata/sf0.01").join(labels, "doc_id").filter("NOT base_failed").collect()
+    assert sum(r["kept"] == (r["label"] == 1) for r in got) >= 0.98 * len(got)
+    assert sum(not r["kept"] for r in got) > 0

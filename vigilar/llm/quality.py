@@ -1,5 +1,5 @@
-"""Quality rules as weak supervision: rules vote or abstain, expectation-maximisation estimates how accurate each rule is
-on good and on bad texts, and the posterior probability of quality decides. DataFrame functions only.
+"""Quality rules as weak supervision: rules vote or abstain, expectation-maximisation estimates how often each rule
+votes on good and on bad texts, and the posterior probability of quality decides. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -26,15 +26,19 @@ class Rule:
     good: str
 
 
+BELIEVED = 0.9  # share of a rule's votes that is taken to be right before anything is seen, as heavy as the votes themselves
+
+#: Most rules know one kind of junk and abstain on everything else; two see signs of running text.
 RULES = (
-    Rule("symbols", "10 * n_symbols > n_words", "100 * n_symbols <= n_words"),
-    Rule("marks", "10 * n_marks > n_words", "50 * n_marks <= n_words"),
-    Rule("capitals", "2 * n_upper > n_letters", "5 * n_upper <= n_letters"),
-    Rule("letters", "2 * n_letters < word_chars", "10 * n_letters >= 8 * word_chars"),
-    Rule("lines", "10 * n_dup_lines > 3 * n_lines", "10 * n_dup_lines <= n_lines"),
-    Rule("repeats", "10 * n_repeat_words > 3 * n_words", "10 * n_repeat_words <= n_words"),
-    Rule("length", "n_words < 50", "n_words >= 80"),
-    Rule("words", "word_chars > 15 * n_words OR word_chars < 2 * n_words", "word_chars BETWEEN 3 * n_words AND 10 * n_words"),
+    Rule("symbols", "10 * n_symbols > n_words", "FALSE"),
+    Rule("marks", "10 * n_marks > n_words", "FALSE"),
+    Rule("capitals", "2 * n_upper > n_letters", "FALSE"),
+    Rule("letters", "2 * n_letters < word_chars", "FALSE"),
+    Rule("lines", "10 * n_dup_lines > 6 * n_lines", "FALSE"),
+    Rule("repeats", "10 * n_repeat_words > 3 * n_words", "FALSE"),
+    Rule("length", "FALSE", "n_words >= 80"),
+    Rule("plain", "FALSE", "n_symbols = 0 AND n_marks = 0 AND 5 * n_upper <= n_letters"),
+    Rule("words", "word_chars > 15 * n_words OR word_chars < 2 * n_words", "FALSE"),
 )
 
 
@@ -103,36 +107,40 @@ def vote(rule: Rule) -> Column:
 
 
 def fit_rules(patterns: DataFrame, names: list[str], steps: int = STEPS) -> tuple[float, dict[str, tuple[float, float]]]:
-    """(prior of quality, {rule: (accuracy on good texts, accuracy on bad texts)}) from counted vote patterns.
+    """(prior of quality, {rule: (weight of a good vote, weight of a bad vote)}) from counted vote patterns.
 
-    The start gives each pattern the share of good votes among its votes. A step re-estimates everything from the
-    posteriors with one pseudo-vote each way; accuracies stay within [0.51, 0.999], so a rule never turns around.
-    Only 4 sums per rule reach the driver; the pattern table has at most 3 ** rules rows.
+    A weight is how much likelier the vote is on texts of its side than on the others, at least 1, so a rule never turns
+    around; an abstention weighs nothing. The start believes every bad vote, and its share of good texts stays the prior:
+    rules that fail on different texts would otherwise let the classes drift. A step re-estimates the vote rates from the
+    posteriors, with each bad vote also counted once at BELIEVED, and one pseudo-vote of each kind. Only 4 sums per rule reach the driver; the pattern table has at most
+    3 ** rules rows.
     """
     votes = [F.col(f"vote_{n}") for n in names]
-    good, bad = sum(F.when(v == 1, 1).otherwise(0) for v in votes), sum(F.when(v == -1, 1).otherwise(0) for v in votes)
-    posterior = (good + 1) / (good + bad + 2)
-    prior, accuracy = 0.5, {}
-    for _ in range(steps):
+    posterior = F.when(F.least(*votes) < 0, 0.1).otherwise(0.9)
+    prior, weights = 0.5, {n: (1.0, 1.0) for n in names}
+    for step in range(steps):
         q = patterns.withColumn("q", posterior)
-        sums = q.agg(F.sum(F.col("n") * F.col("q")).alias("good"), F.sum("n").alias("n"), *[
+        sums = q.agg(F.sum(F.col("n") * F.col("q")).alias("good"), F.sum(F.col("n") * (1 - F.col("q"))).alias("bad"), *[
             F.sum(F.when(v == side, F.col("n") * (F.col("q") if y else 1 - F.col("q"))).otherwise(0.0)).alias(f"{name}_{side}_{y}")
             for name, v in zip(names, votes) for side in (1, -1) for y in (1, 0)]).first()
-        if not sums["n"]:
-            return prior, {n: (0.51, 0.51) for n in names}
-        prior = min(0.999, max(0.001, sums["good"] / sums["n"]))
-        for n in names:
-            gg, gb, bg, bb = (sums[f"{n}_{side}_{y}"] for side, y in ((1, 1), (-1, 1), (1, 0), (-1, 0)))
-            accuracy[n] = tuple(min(0.999, max(0.51, (right + 1) / (right + wrong + 2))) for right, wrong in ((gg, gb), (bb, bg)))
-        posterior = quality_probability(prior, accuracy)
-    return prior, accuracy
+        if sums["good"] is None:
+            return prior, weights
+        good, bad = sums["good"], sums["bad"]
+        prior = min(0.999, max(0.001, good / (good + bad))) if step == 0 else prior
+
+        def rate(name: str, side: int, y: int) -> float:
+            believed = (sums[f"{name}_-1_1"] + sums[f"{name}_-1_0"]) * (1 - BELIEVED if y else BELIEVED) if side < 0 else 0.0
+            return (sums[f"{name}_{side}_{y}"] + believed + 1) / ((good if y else bad) + 3)
+        weights = {n: (max(1.0, rate(n, 1, 1) / rate(n, 1, 0)), max(1.0, rate(n, -1, 0) / rate(n, -1, 1))) for n in names}
+        posterior = quality_probability(prior, weights)
+    return prior, weights
 
 
-def quality_probability(prior: float, accuracy: dict[str, tuple[float, float]]) -> Column:
+def quality_probability(prior: float, weights: dict[str, tuple[float, float]]) -> Column:
     odds = F.lit(math.log(prior / (1 - prior)))
-    for name, (on_good, on_bad) in accuracy.items():
+    for name, (for_good, for_bad) in weights.items():
         v = F.col(f"vote_{name}")
-        odds = odds + F.when(v == 1, math.log(on_good / (1 - on_bad))).when(v == -1, math.log((1 - on_good) / on_bad)).otherwise(0.0)
+        odds = odds + F.when(v == 1, math.log(for_good)).when(v == -1, -math.log(for_bad)).otherwise(0.0)
     return 1 / (1 + F.exp(-odds))
 
 
@@ -147,10 +155,11 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", rule
     names = [r.name for r in rules]
     measured = with_measures(docs.select(F.col(key), F.col(text).alias("__body")), "__body").drop("__body")
     voted = staged(measured.select("*", *[vote(r) for r in rules]), "quality-votes")
-    patterns = staged(voted.groupBy(*[f"vote_{n}" for n in names]).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "quality-patterns")
-    prior, accuracy = fit_rules(patterns, names, steps)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    quality = quality_probability(prior, accuracy)
+    judged = voted.filter(~failed)  # rules are only asked about texts that pass the base
+    patterns = staged(judged.groupBy(*[f"vote_{n}" for n in names]).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "quality-patterns")
+    prior, weights = fit_rules(patterns, names, steps)
+    quality = quality_probability(prior, weights)
     return voted.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
                         (~failed & (quality >= threshold)).alias("kept"), F.round(quality, 4).alias("quality"),
                         *[f"vote_{n}" for n in names])

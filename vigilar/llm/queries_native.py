@@ -39,21 +39,20 @@ def _quality_sql(steps: int = quality.STEPS) -> str:
     names = [r.name for r in quality.RULES]
     votes = ", ".join(f"CASE WHEN {r.bad} THEN -1 WHEN {r.good} THEN 1 ELSE 0 END AS vote_{r.name}" for r in quality.RULES)
     counted = ", ".join(f"vote_{n}" for n in names)
-    good, bad = (" + ".join(f"(CASE WHEN vote_{n} = {v} THEN 1 ELSE 0 END)" for n in names) for v in (1, -1))
-    weight = {1: "q", 0: "(1 - q)"}
+    least = ", ".join(f"vote_{n}" for n in names)
+    weight, total = {1: "q", 0: "(1 - q)"}, {1: "sum(n * q)", 0: "sum(n * (1 - q))"}
 
-    def accuracy(n, side, y):
-        right = f"sum(CASE WHEN vote_{n} = {side} THEN n * {weight[y]} ELSE 0 END)"
-        wrong = f"sum(CASE WHEN vote_{n} = {-side} THEN n * {weight[y]} ELSE 0 END)"
-        return f"least(0.999, greatest(0.51, ({right} + 1) / ({right} + {wrong} + 2)))"
-    parts = [f"q0 AS MATERIALIZED (SELECT *, (({good}) + 1.0) / (({good}) + ({bad}) + 2) AS q FROM patterns)"]
+    def rate(n, side, y):
+        believed = f"{1 - quality.BELIEVED if y else quality.BELIEVED} * sum(CASE WHEN vote_{n} = -1 THEN n ELSE 0 END)" if side < 0 else "0"
+        return f"((sum(CASE WHEN vote_{n} = {side} THEN n * {weight[y]} ELSE 0 END) + {believed} + 1) / ({total[y]} + 3))"
+    parts = [f"q0 AS MATERIALIZED (SELECT *, CASE WHEN least({least}) < 0 THEN 0.1 ELSE 0.9 END AS q FROM patterns)"]
     odds = "ln(prior / (1 - prior)) + " + " + ".join(
-        f"CASE vote_{n} WHEN 1 THEN ln(s_{n} / (1 - t_{n})) WHEN -1 THEN ln((1 - s_{n}) / t_{n}) ELSE 0 END" for n in names)
+        f"CASE vote_{n} WHEN 1 THEN ln(s_{n}) WHEN -1 THEN -ln(t_{n}) ELSE 0 END" for n in names)
     for k in range(steps):
-        parts.append(f"f{k} AS MATERIALIZED (SELECT least(0.999, greatest(0.001, sum(n * q) / sum(n))) AS prior, " + ", ".join(
-            f"{accuracy(n, 1, 1)} AS s_{n}, {accuracy(n, -1, 0)} AS t_{n}" for n in names) + f" FROM q{k})")
+        parts.append(f"f{k} AS MATERIALIZED (SELECT " + (f"least(0.999, greatest(0.001, {total[1]} / ({total[1]} + {total[0]})))" if k == 0 else "(SELECT prior FROM f0)") + " AS prior, " + ", ".join(
+            f"greatest(1.0, {rate(n, 1, 1)} / {rate(n, 1, 0)}) AS s_{n}, greatest(1.0, {rate(n, -1, 0)} / {rate(n, -1, 1)}) AS t_{n}"
+            for n in names) + f" FROM q{k})")
         parts.append(f"q{k + 1} AS MATERIALIZED (SELECT patterns.*, 1 / (1 + exp(-({odds}))) AS q FROM patterns CROSS JOIN f{k})")
-    same = " AND ".join(f"v.vote_{n} = p.vote_{n}" for n in names)
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
@@ -71,11 +70,11 @@ measures AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, length(rege
   length(regexp_replace(text, '[^!?]+', '', 'g')) AS n_marks
   FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
 v AS MATERIALIZED (SELECT *, {votes} FROM measures),
-patterns AS MATERIALIZED (SELECT {counted}, CAST(count(*) AS DOUBLE) AS n FROM v GROUP BY ALL),
+b AS MATERIALIZED (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS failed FROM v),
+patterns AS MATERIALIZED (SELECT {counted}, CAST(count(*) AS DOUBLE) AS n FROM b WHERE NOT failed GROUP BY ALL),
 {", ".join(parts)}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed, NOT failed AND q >= 0.5 AS kept,
-  round(q, 4) AS quality FROM (
-  SELECT v.*, p.q, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS failed FROM v JOIN q{steps} p ON {same})
+  round(q, 4) AS quality FROM (SELECT *, 1 / (1 + exp(-({odds}))) AS q FROM b CROSS JOIN f{steps - 1})
 """
 
 
