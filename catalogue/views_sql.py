@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from vigilar.plans.fixed_values import COUNTRY_GROUPS
+
 from .views import DRUGS, THRESHOLDS, TRAVEL
 
 
@@ -23,6 +25,7 @@ _S = ", ".join(
     f"CASE f_{d} WHEN 'R' THEN 'R' WHEN 'A' THEN 'S' WHEN 'N' THEN '{'i' if i % 2 else 's*'}' END AS {d}_SIR"
     for i, d in DRUGS.items())
 
+_COUNTRIES = " ".join(f"WHEN voyage IN ({', '.join(map(_lit, names))}) THEN '{group}'" for group, names in COUNTRY_GROUPS.items())
 BREAKPOINTS = ("breakpoints AS (SELECT ATB, annee, CAST(seuil AS DOUBLE) AS seuil FROM (VALUES "
                + values(THRESHOLDS) + ") b(ATB, annee, seuil))")
 TRAVEL_DIM = "travel AS (SELECT * FROM (VALUES " + values(TRAVEL) + ") t(voyage, Freq, continent, voyage_01))"
@@ -63,6 +66,7 @@ raw AS (
   JOIN region ON n_regionkey = r_regionkey LEFT JOIN drug_lines ON o_orderkey = l_orderkey
 )"""
 
+# fixed values: the species pattern of vigilar/plans/fixed_values.py in this engine's syntax
 SPECIES_RE = ("sonnei|nst|non.s.rotypable|[rR]ough|flexneri|non.agglutinable|dysenteriae|boydii|"
               "autoagglutinable|sp")
 
@@ -96,10 +100,7 @@ cl1 AS (
 cl2 AS (
   SELECT * EXCLUDE (sp0, CAZ10_SIR),
     CASE WHEN sp0 = 'non agglutinable' THEN 'nst' ELSE sp0 END AS sp1, CAZ10_SIR AS CAZ1030_SIR,
-    CASE WHEN voyage IN ('allemagne', 'espagne', 'grece', 'portugal', 'suisse', 'iles canaries', 'italie') THEN 'europe'
-         WHEN voyage IN ('asie', 'thailande', 'sri lanka', 'cambodge', 'chine', 'inde', 'myanmar', 'nepal', 'nepal,ind',
-                         'mongolie', 'viet nam') THEN 'asie'
-         WHEN voyage IN ('tunisie', 'maroc', 'algerie') THEN 'maghreb' ELSE voyage END AS voyage_continent
+    CASE {_COUNTRIES} ELSE voyage END AS voyage_continent
   FROM cl1
 ),
 cleaned AS (

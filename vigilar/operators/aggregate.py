@@ -229,7 +229,3 @@ def distinct_count(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
     count = (lambda c: F.approx_count_distinct(c, 0.01)) if approximate else F.countDistinct
     cells = [F.count(F.lit(1)).alias("n_rows")] + [count(c).alias(f"n_{c}") for c in cols]
     return df.groupBy(*by).agg(*cells) if by else df.agg(*cells)
-
-
-def count_where(condition: Column, name: str) -> Column:
-    return F.count_if(condition).alias(name)

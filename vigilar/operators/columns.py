@@ -16,10 +16,6 @@ def select_first(df: DataFrame, first: Sequence[str], exclude: Sequence[str] = (
     return df.select(*first, *rest)
 
 
-def select_known(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Columns of ``names`` that exist, in the order of ``names``."""
-    return df.select(*[c for c in names if c in df.columns])
-
 
 def cols_matching(df: DataFrame, part: str, suffix: bool = False) -> list[str]:
     """Column names holding ``part``, case-insensitively; ``suffix`` asks for it at the end.

@@ -19,9 +19,6 @@ def keep(df: DataFrame, *conditions: Column) -> DataFrame:
     return df
 
 
-def not_null(df: DataFrame, *cols: str) -> DataFrame:
-    return keep(df, *[F.col(c).isNotNull() for c in cols])
-
 
 def complete_cases(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.na.drop(subset=list(cols))
