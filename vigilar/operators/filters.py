@@ -7,7 +7,6 @@ from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from ..functions import nulls as nl
 

@@ -18,7 +18,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import nulls as nl
 from ..functions.formats import format_ci, format_p
 from ..functions.levels import Levels
 from ..functions.special import (
