@@ -8,9 +8,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,15 +36,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def id_text(name: str = "doc_id") -> Column:
-    return F.col(name).cast("string")
-
-
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once, also where the body uses it inside lambdas."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def ranked(df: DataFrame, order: Sequence[str], totals: dict[str, Column], label: str) -> DataFrame:
     """Adds running totals in the order of ``order`` (each total up to and including its row).
 
@@ -65,7 +53,3 @@ def ranked(df: DataFrame, order: Sequence[str], totals: dict[str, Column], label
     out = cut.join(base, pid)
     kept = [c for c in df.columns if c not in totals]
     return out.select(*kept, *[(F.sum(c).over(inside) + F.col(f"__b_{n}")).alias(n) for n, c in totals.items()])
-
-
-def schema_of(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)

@@ -38,7 +38,7 @@ KNOWN_PIECES = 2_000_000  # whose ids a Python worker remembers; beyond that it
 K1, K2 = 10, 11  # bits of the tables of order 1 and 2, for each block
 MIX_BITS, ZERO_BITS = 11, 17
 TOTAL_BITS = MIX_BITS + ZERO_BITS
-I, U = np.int64, np.uint64
+U = np.uint64
 
 
 class _Model:
