@@ -145,6 +145,22 @@ def test_fillers_have_to_map_one_to_one(spark):
     assert [r["doc_id"] for r in decontaminate.contaminated(docs, bench).collect()] == [1]
 
 
+def test_names_that_open_sentences_are_placeholders(spark):
+    item = "Tom has 5 apples. Sara has 3 pears. Tom gives Sara 2 apples. Sara eats 1 pear. Tom buys 4 more apples. How many apples does Tom have now?"
+    other = item.replace("Tom", "Omar").replace("Sara", "Nina")
+    accents = other.replace("Omar", "Ána").replace("Nina", "Олег")
+    lines = "Tom met Sara near the old mill today.\nSara told Tom about the long way home."
+    texts = [(1, other), (2, "Read this - " + other), (3, accents), (4, lines.replace("Tom", "Élie").replace("Sara", "Ольга")), (5, "Sara sat there. How many days?"),
+             (6, other.replace(". How", ", so how"))]
+    bench = spark.createDataFrame([(1, item), (2, lines)], BENCH)
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 2), (6, 1)}
+    assert got[1, 1]["item_tokens"] == got[1, 1]["found"] == 29 and got[1, 1]["n_changed"] == 2
+    bench = spark.createDataFrame([(1, "Ann saw Bea near Cleo. Dora met with Eve by Fay. Gail was at Hope in town")], BENCH)
+    docs = spark.createDataFrame([(1, "Ann saw Ann near Ann. Ann met with Ann by Ann. Ann was at Ann in town")], "doc_id long, text string")
+    assert decontaminate.contaminated(docs, bench).count() == 0  # openers have to map one to one as well
+
+
 def test_long_texts_in_near_and_suffix_dedup(docs, rows):
     near = near_dedup.near_duplicates(docs).collect()
     assert len(near) == len(rows) and {r["component_id"] for r in near if r["doc_id"] == 10} == {0}

@@ -32,45 +32,71 @@ _END[[ord(c) for c in ".!?:\n"]] = True
 _RNG = np.random.default_rng(404)
 _STEP = _RNG.integers(1, 1 << 62, max(WINDOWS), dtype=np.uint64) * U(2) + U(1)
 _NUMBER, _UNIT, _NAME = (U(int(x)) for x in _RNG.integers(1, 1 << 62, 3))
+_CAPITAL = np.array([c.isupper() or c.istitle() for c in map(chr, range(0x20000))])  # no letter beyond has case
+_SLOT = U(3)  # low bits of a filler; an opener that is taken as a name has the lowest bit 0
+_AT_ONCE = 1 << 20  # windows, with their variants
 _UNIT_BYTES = " ".join(UNITS).encode()
 _UNIT_HASHES = np.sort(word_hashes(np.frombuffer(_UNIT_BYTES, np.uint8), np.array([0, len(_UNIT_BYTES)]), FOLDED_CODE)[0])
 
 
-def template(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(template token, filler, row bounds). Tokens are words without outer punctuation, case folded; a filler is the hash of
-    the word that a placeholder stands for, 0 at ordinary words.
+def _capital(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a capital letter of any script starts there, the place behind that character)."""
+    b = [np.where(at + k < len(buf), buf[np.minimum(at + k, len(buf) - 1)], 0).astype(np.int64) for k in range(4)]
+    size = 1 + (b[0] >= 0xC0) + (b[0] >= 0xE0) + (b[0] >= 0xF0)
+    tail = [x & 63 for x in b]
+    code = np.choose(size - 1, [b[0], (b[0] & 31) << 6 | tail[1], (b[0] & 15) << 12 | tail[1] << 6 | tail[2],
+                                (b[0] & 7) << 18 | tail[1] << 12 | tail[2] << 6 | tail[3]])
+    return (code < len(_CAPITAL)) & _CAPITAL[np.minimum(code, len(_CAPITAL) - 1)], at + size
+
+
+def template(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(template token, filler, opener, row bounds). Tokens are words without outer punctuation, case folded; a filler is the
+    hash of the word that a placeholder stands for, 0 at ordinary words.
 
     Number: starts with a digit. Unit: one of UNITS behind a number. Name: a capital, then no capital, not at the start of a
-    sentence or line.
+    sentence or line. There, such a word may be a name or not: it stays an ordinary word and is marked as an opener.
     """
     words, s, e, bounds = word_hashes(buf, offsets, FOLDED_CODE, _CORE)
     if not len(words):
-        return words, words, bounds
+        return words, words, np.zeros(0, bool), bounds
     first = buf[s]
     number = (first >= 48) & (first <= 57)
     unit = np.append(False, number[:-1]) & (_UNIT_HASHES[np.minimum(np.searchsorted(_UNIT_HASHES, words), len(_UNIT_HASHES) - 1)] == words)
     fresh = np.append(True, _END[buf[np.minimum(e[:-1], len(buf) - 1)]] | (buf[s[1:] - 1] == 10))
     fresh[bounds[:-1][bounds[:-1] < len(s)]] = True
-    second = buf[np.minimum(s + 1, len(buf) - 1)]
-    name = (first >= 65) & (first <= 90) & ~((second >= 65) & (second <= 90)) & ~fresh & ~unit
+    capital, second = _capital(buf, s)
+    capital &= ~((second < e) & _capital(buf, second)[0]) & ~unit
+    name = capital & ~fresh
     slot = number | unit | name
     tokens = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, words)))
-    return tokens, np.where(slot, words | U(1), U(0)), bounds
+    return tokens, np.where(slot, words | _SLOT, U(0)), capital & fresh, bounds
 
 
-def template_windows(tokens: np.ndarray, fillers: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(window hash, token place, row) of every window within a row that has enough ordinary words."""
+def template_windows(tokens: np.ndarray, fillers: np.ndarray, opener: np.ndarray, bounds: np.ndarray, width: int) \
+        -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(window hash, token place, openers taken as names) of every window within a row that has enough ordinary words.
+
+    The openers of a window are names or ordinary words in every combination, as the other side may have them elsewhere in a
+    sentence. Windows come in parts of bounded size.
+    """
     n = len(tokens) - width + 1
     if n <= 0:
-        return tokens[:0], np.zeros(0, np.int64), np.zeros(0, np.int64)
-    rolled = np.full(n, U(width), np.uint64)
-    plain = np.concatenate([[0], np.cumsum(fillers == 0)])
-    for k in range(width):
-        rolled += tokens[k:k + n] * _STEP[k]
+        return
     row = np.searchsorted(bounds, np.arange(n), "right") - 1
-    ok = (np.arange(n) + width <= bounds[row + 1]) & (plain[width:] - plain[:n] >= MIN_LITERALS)
-    at = np.flatnonzero(ok)
-    return mix(rolled[at]), at, row[at]
+    plain, opens = (np.concatenate([[0], np.cumsum(x)]) for x in (fillers == 0, opener))
+    plain, opens = plain[width:] - plain[:n], opens[width:] - opens[:n]
+    whole = np.flatnonzero((np.arange(n) + width <= bounds[row + 1]) & (plain >= MIN_LITERALS))
+    part = np.cumsum(1 << opens[whole]) // _AT_ONCE
+    for at in np.split(whole, np.flatnonzero(part[1:] != part[:-1]) + 1):
+        rolled, left, taken = np.full(len(at), U(width), np.uint64), plain[at], np.zeros(len(at), np.int64)
+        for k in range(width):
+            rolled += tokens[at + k] * _STEP[k]
+        for k in range(width):
+            more = np.flatnonzero(opener[at + k] & (left > MIN_LITERALS))
+            if len(more):
+                rolled = np.append(rolled, rolled[more] + (_NAME - tokens[at[more] + k]) * _STEP[k])
+                left, taken, at = np.append(left, left[more] - 1), np.append(taken, taken[more] | 1 << k), np.append(at, at[more])
+        yield mix(rolled), at, taken
 
 
 def _rows(wanted: np.ndarray | None):
@@ -79,22 +105,25 @@ def _rows(wanted: np.ndarray | None):
         for batch in batches:
             buf, offsets = text_bytes(batch.column(1))
             for i, j in row_slices(offsets):
-                tokens, fillers, bounds = template(buf[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+                tokens, fillers, opener, bounds = template(buf[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
                 sizes = np.diff(bounds)
                 for width in WINDOWS:
-                    h, at, row = template_windows(tokens, fillers, bounds, width)
-                    if wanted is not None:
-                        bit = (h & U((1 << FILTER_BITS) - 1)).astype(np.int64)
-                        ok = (wanted[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
-                    else:  # a benchmark item goes by its widest window
-                        ok = (sizes[row] >= width) & ((width == WINDOWS[0]) | (sizes[row] < WINDOWS[0]))
-                    h, at, row = h[ok], at[ok], row[ok]
-                    slots = fillers[at[:, None] + np.arange(width)].ravel()
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * width), signed(slots))
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(row + i)), pa.array((at - bounds[row]).astype(np.int64)), signed(h),
-                         pa.array(np.full(len(at), width, np.int64)), pa.array(sizes[row].astype(np.int64)), lists],
-                        ["id", "place", "hash", "width", "size", "fillers"])
+                    for h, at, taken in template_windows(tokens, fillers, opener, bounds, width):
+                        row = np.searchsorted(bounds, at, "right") - 1
+                        if wanted is not None:
+                            bit = (h & U((1 << FILTER_BITS) - 1)).astype(np.int64)
+                            ok = (wanted[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
+                        else:  # a benchmark item goes by its widest window
+                            ok = (sizes[row] >= width) & ((width == WINDOWS[0]) | (sizes[row] < WINDOWS[0]))
+                        h, at, row, taken = h[ok], at[ok], row[ok], taken[ok]
+                        spread = at[:, None] + np.arange(width)
+                        named = (taken[:, None] >> np.arange(width)) & 1 > 0
+                        slots = np.where(named, (tokens[spread] | _SLOT) ^ U(1), fillers[spread]).ravel()
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * width), signed(slots))
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column(0).take(pa.array(row + i)), pa.array((at - bounds[row]).astype(np.int64)), signed(h),
+                             pa.array(np.full(len(at), width, np.int64)), pa.array(sizes[row].astype(np.int64)), lists],
+                            ["id", "place", "hash", "width", "size", "fillers"])
     return windows
 
 
@@ -133,6 +162,9 @@ def contaminated(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: s
         F.col("x.id").alias("doc"), F.col("y.id").alias("item"), F.col("y.size").alias("size"), F.col("x.width").alias("width"),
         F.col("y.place").alias("place"), (F.col("x.place") - F.col("y.place")).alias("offset"),
         F.filter(F.arrays_zip(F.col("y.fillers").alias("b"), F.col("x.fillers").alias("d")), lambda z: z["b"] != 0).alias("pairs"))
+    # where both have the same opener, the window also meets with that as an ordinary word, and so it should count
+    hits = hits.filter(~F.exists("pairs", lambda z: (z["b"] == z["d"]) & (z["b"].bitwiseAND(3) == 2))).withColumn(
+        "pairs", F.transform("pairs", lambda z: F.struct(z["b"].bitwiseOR(F.lit(3)).alias("b"), z["d"].bitwiseOR(F.lit(3)).alias("d"))))
     runs = hits.groupBy("doc", "item", "offset", "width", "size").agg(
         F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     n_from = F.size(F.array_distinct(F.transform("pairs", lambda z: z["b"])))
