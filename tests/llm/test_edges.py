@@ -161,6 +161,17 @@ def test_names_that_open_sentences_are_placeholders(spark):
     assert decontaminate.contaminated(docs, bench).count() == 0  # openers have to map one to one as well
 
 
+def test_items_without_template_windows_are_found_verbatim(spark):
+    items = [(1, "What is 12 * 7 + 5 - 3 ?"), (2, "Add 3 5 8 13 21 34 55 89 144"), (3, "Sort 4 9 2 7 1"), (4, "Who wrote Anna Karenina?"), (5, "Photosynthesis?"),
+             (6, "Ann Bea Cleo Dora Eve Fay Gail Hope Iris"), (7, "?!"), (8, "")]
+    docs = [(k, f"Some lines ahead of it, {t} and behind.") for k, t in items] + [
+        (14, "asked who wrote anna karenina"), (16, "ann bea cleo dora eve fay gail hope iris"), (21, "What is 13 * 7 + 6 - 4 ?"), (22, "Add 1 2 3 4 5 6 7 8 9"),
+        (23, "Sort 4 2 9 7 1"), (24, "Who wrote it, Anna Karenina?"), (26, "Bea Ann Cleo Eve Dora Fay Hope Gail Iris"), (27, None), (28, "Who wrote Anna"), (29, "Karenina?")]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, BENCH)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(k, k) for k in range(1, 7)} | {(14, 4), (16, 6)}
+    assert all(r["found"] == r["item_tokens"] and r["n_changed"] == 0 for r in got)
+
+
 def test_long_texts_in_near_and_suffix_dedup(docs, rows):
     near = near_dedup.near_duplicates(docs).collect()
     assert len(near) == len(rows) and {r["component_id"] for r in near if r["doc_id"] == 10} == {0}

@@ -1,10 +1,12 @@
 """Benchmark decontamination by templates: numbers, names and units become typed placeholders, windows of template tokens are
 hash-joined, and the fillers of a match must map one to one, so re-parameterised questions count and chance matches do not.
+Windows of too few ordinary words, and items shorter than a window, are joined on their very words instead.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from .textbytes import FOLDED_CODE, U, mix, row_slices, signed, text_bytes, word_hashes
 
 WINDOWS = (8, 5)  # template tokens; items with fewer than 8 are looked up by 5
-MIN_LITERALS = 3  # words in a window that are no placeholders
+MIN_LITERALS = 3  # words in a window that are no placeholders; with fewer, only the very same words count
 SHARE = 0.5  # of an item's tokens that have to be found
 ENOUGH = 20  # tokens found that count whatever the item's length
 CONSISTENT = 0.7  # of the fillers' pairs that a one-to-one mapping has to keep
@@ -30,6 +32,7 @@ _CORE[48:58] = _CORE[65:91] = _CORE[97:123] = _CORE[128:] = True
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?:\n"]] = True
 _RNG = np.random.default_rng(404)
+_EXACT = U(1 << 32)  # sets the hashes of exact windows apart from those of templates
 _STEP = _RNG.integers(1, 1 << 62, max(WINDOWS), dtype=np.uint64) * U(2) + U(1)
 _NUMBER, _UNIT, _NAME = (U(int(x)) for x in _RNG.integers(1, 1 << 62, 3))
 _CAPITAL = np.array([c.isupper() or c.istitle() for c in map(chr, range(0x20000))])  # no letter beyond has case
@@ -49,8 +52,8 @@ def _capital(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (code < len(_CAPITAL)) & _CAPITAL[np.minimum(code, len(_CAPITAL) - 1)], at + size
 
 
-def template(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(template token, filler, opener, row bounds). Tokens are words without outer punctuation, case folded; a filler is the
+def template(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word, template token, filler, opener, row bounds). Tokens are words without outer punctuation, case folded; a filler is the
     hash of the word that a placeholder stands for, 0 at ordinary words.
 
     Number: starts with a digit. Unit: one of UNITS behind a number. Name: a capital, then no capital, not at the start of a
@@ -58,7 +61,7 @@ def template(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """
     words, s, e, bounds = word_hashes(buf, offsets, FOLDED_CODE, _CORE)
     if not len(words):
-        return words, words, np.zeros(0, bool), bounds
+        return words, words, words, np.zeros(0, bool), bounds
     first = buf[s]
     number = (first >= 48) & (first <= 57)
     unit = np.append(False, number[:-1]) & (_UNIT_HASHES[np.minimum(np.searchsorted(_UNIT_HASHES, words), len(_UNIT_HASHES) - 1)] == words)
@@ -69,7 +72,7 @@ def template(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     name = capital & ~fresh
     slot = number | unit | name
     tokens = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, words)))
-    return tokens, np.where(slot, words | _SLOT, U(0)), capital & fresh, bounds
+    return words, tokens, np.where(slot, words | _SLOT, U(0)), capital & fresh, bounds
 
 
 def template_windows(tokens: np.ndarray, fillers: np.ndarray, opener: np.ndarray, bounds: np.ndarray, width: int) \
@@ -99,35 +102,53 @@ def template_windows(tokens: np.ndarray, fillers: np.ndarray, opener: np.ndarray
         yield mix(rolled), at, taken
 
 
-def _rows(wanted: np.ndarray | None):
-    """Windows of a batch of (id, text). With a filter: those that it lets through. Without: of a benchmark, with its size."""
+def exact_windows(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window hash, token place, 0) of every window within a row, by its very words."""
+    n = max(0, len(words) - width + 1)
+    at = np.flatnonzero(np.arange(n) + width <= bounds[np.searchsorted(bounds, np.arange(n), "right")])
+    rolled = np.full(len(at), U(width) + _EXACT, np.uint64)
+    for k in range(width):
+        rolled += words[at + k] * _STEP[k]
+    return mix(rolled), at, np.zeros(len(at), np.int64)
+
+
+def _rows(wanted: np.ndarray | None, exact_widths: Iterable[int] = ()):
+    """Windows of a batch of (id, text). With a filter: those that it lets through, exact ones of the given widths. Without: of a
+    benchmark, with its size, exact ones where a template could have too few ordinary words and for items under the least width.
+    """
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = text_bytes(batch.column(1))
             for i, j in row_slices(offsets):
-                tokens, fillers, opener, bounds = template(buf[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+                words, tokens, fillers, opener, bounds = template(buf[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
                 sizes = np.diff(bounds)
-                for width in WINDOWS:
-                    for h, at, taken in template_windows(tokens, fillers, opener, bounds, width):
-                        row = np.searchsorted(bounds, at, "right") - 1
-                        if wanted is not None:
-                            bit = (h & U((1 << FILTER_BITS) - 1)).astype(np.int64)
-                            ok = (wanted[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
-                        else:  # a benchmark item goes by its widest window
-                            ok = (sizes[row] >= width) & ((width == WINDOWS[0]) | (sizes[row] < WINDOWS[0]))
-                        h, at, row, taken = h[ok], at[ok], row[ok], taken[ok]
-                        spread = at[:, None] + np.arange(width)
-                        named = (taken[:, None] >> np.arange(width)) & 1 > 0
-                        slots = np.where(named, (tokens[spread] | _SLOT) ^ U(1), fillers[spread]).ravel()
-                        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * width), signed(slots))
-                        yield pa.RecordBatch.from_arrays(
-                            [batch.column(0).take(pa.array(row + i)), pa.array((at - bounds[row]).astype(np.int64)), signed(h),
-                             pa.array(np.full(len(at), width, np.int64)), pa.array(sizes[row].astype(np.int64)), lists],
-                            ["id", "place", "hash", "width", "size", "fillers"])
+                plain = np.concatenate([[0], np.cumsum((fillers == 0) & ~opener)])
+                widths = exact_widths if wanted is not None else (*WINDOWS, *range(1, min(WINDOWS)))
+                parts = chain(((width, False, part) for width in WINDOWS for part in template_windows(tokens, fillers, opener, bounds, width)),
+                              ((width, True, exact_windows(words, bounds, width)) for width in widths))
+                for width, exact, (h, at, taken) in parts:
+                    row = np.searchsorted(bounds, at, "right") - 1
+                    if wanted is not None:
+                        bit = (h & U((1 << FILTER_BITS) - 1)).astype(np.int64)
+                        ok = (wanted[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
+                    else:  # a benchmark item goes by its widest window
+                        ok = width == np.where(sizes[row] >= WINDOWS[0], WINDOWS[0], np.minimum(sizes[row], WINDOWS[1]))
+                        ok &= (not exact) | (width < min(WINDOWS)) | (plain[at + width] - plain[at] < MIN_LITERALS)
+                    h, at, row, taken = h[ok], at[ok], row[ok], taken[ok]
+                    spread = at[:, None] + np.arange(width)
+                    named = (taken[:, None] >> np.arange(width)) & 1 > 0
+                    slots = np.where(named, (tokens[spread] | _SLOT) ^ U(1), fillers[spread])
+                    if exact and wanted is not None:  # what is a name there may be written small here
+                        slots = words[spread] | _SLOT
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * width), signed(slots.ravel()))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(row + i)), pa.array((at - bounds[row]).astype(np.int64)), signed(h),
+                         pa.array(np.full(len(at), width, np.int64)), pa.array(sizes[row].astype(np.int64)), pa.array(np.full(len(at), exact)), lists],
+                        ["id", "place", "hash", "width", "size", "exact", "fillers"])
     return windows
 
 
-ROWS = "id long, place long, hash long, width long, size long, fillers array<long>"
+ROWS = "id long, place long, hash long, width long, size long, exact boolean, fillers array<long>"
 
 
 def window_filter(bench: DataFrame) -> np.ndarray:
@@ -146,16 +167,17 @@ def contaminated(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: s
     """(key, item, item_tokens, found, n_fillers, n_changed) for every document that holds a benchmark item.
 
     Windows of a document that match an item at one offset belong together; they count if their fillers map one to one but
-    for a rest. An item is held if half of its tokens, or 20, are found. Null texts hold nothing; items under five tokens
-    cannot be told apart from chance and are never reported. Rows that share a key, also a null one, are one document; items
+    for a rest. An item is held if half of its tokens, or 20, are found. Items under five tokens are held where all their tokens
+    stand in a row, a single word wherever it stands. Null texts hold nothing; items without a letter or digit are in none. Rows that share a key, also a null one, are one document; items
     likewise. Empty tables give an empty result. Windows outside the benchmark are dropped where they are made, by a filter
     of fixed size; what is left is joined, and no group is larger than one document's matches with one item.
     """
     items = bench.select(F.col(item).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).mapInArrow(_rows(None), ROWS)
     wanted = docs.sparkSession.sparkContext.broadcast(window_filter(items))
+    exact_widths = sorted(r["width"] for r in items.filter("exact").select("width").distinct().collect())
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _rows(wanted.value)(batches)
+        return _rows(wanted.value, exact_widths)(batches)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(found, ROWS)
     x, y = rows.alias("x"), items.alias("y")
     hits = x.join(y, (F.col("x.hash") == F.col("y.hash")) & (F.col("x.width") == F.col("y.width"))).select(
