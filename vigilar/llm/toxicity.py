@@ -1,7 +1,8 @@
-"""Toxicity from the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity from the nearest labelled examples by TF-IDF cosine over selected terms, with a block-max inverted index.
 
 Examples are grouped into blocks; per term and block the index keeps the weights and their maximum. A document visits blocks
-in the order of their upper bounds and stops once the bound is below its k-th best cosine, so the neighbours are exact.
+in the order of their upper bounds and stops once the bound is below its k-th best cosine, so the neighbours are exact within these terms:
+TERMS are a feature selection, all other words of a text count as one coordinate.
 Votes are weighted by distance and calibrated on the examples' own left-out votes.
 """
 
