@@ -180,6 +180,14 @@ def test_long_texts_in_near_and_suffix_dedup(docs, rows):
     assert [r["kept_text"] for r in cut if r["doc_id"] == 12] == [""] and [r["n_spans"] for r in cut if r["doc_id"] == 12] == [1]
 
 
+def test_near_stage_keeps_other_texts_of_an_id(spark):
+    rows = [(1, "a b c d e f g", "s2"), (1, "a b c d e f g", "s1"), (1, "quite other words that stand here", "s0"), (1, None, "s0"), (2, "A b c d e f g", "s0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for n in (1, 5):
+        got = corpus_pipeline.near_dedup(spark, docs.repartition(n), "").collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, rows[1:4]))
+
+
 def test_token_files(spark, docs, empty, rows, tmp_path):
     got = token_files.token_round_trip(docs).orderBy("start").collect()
     encoder = token_files.Encoder(token_files.TOKENIZER).tokenizer
