@@ -25,26 +25,29 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray, between: np.ndarray = BLAN
     begin[inner] = solid[inner]
     stop[inner - 1] = solid[inner - 1]
     start, end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-    return start, end, np.searchsorted(offsets, start, "right") - 1
+    return start, end, np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets)))
 
 
 def slice_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of every slice: eight bytes at a time go through a bijection together with what came before, so slices
     of up to eight bytes and one length never collide, and longer ones do by chance only."""
-    size = end - start
     padded = np.concatenate([raw, np.zeros(8, np.uint8)]).tobytes()
     eight = np.ndarray((len(raw) + 1,), "<u8", padded, 0, (1,))
-    out = spread(size.astype(np.uint64) * U(0x9E3779B97F4A7C15) + U(1 + seed * 0x1B54A32D192ED03))
-    rows, at, left = np.arange(len(size)), start, size
-    while True:
-        some = left > 0
-        if not some.all():
-            rows, at, left = rows[some], at[some], left[some]
-        if not len(rows):
-            return out
-        cut = (U(8) - np.minimum(left, 8).astype(np.uint64)) * U(8)
-        out[rows] = spread(out[rows] ^ spread((eight[at] << cut) + U(seed)))
-        at, left = at + 8, left - 8
+    left = end - start
+    kinds = spread(np.arange(65, dtype=np.uint64) + U(1 + seed * 0x1B54A32D192ED03))
+    out = np.where(left <= 64, kinds[np.minimum(left, 64)], spread(left.astype(np.uint64) + U(0x5851F42D4C957F2D)))
+
+    def taken(at, n):
+        return eight[at] << ((8 - np.minimum(n, 8)) * 8).astype(np.uint64)
+
+    out = np.where(left > 0, spread(out ^ taken(start, left)), out)
+    rows = np.flatnonzero(left > 8)
+    at, left = start[rows] + 8, left[rows] - 8
+    while len(rows):
+        out[rows] = spread(out[rows] * U(0x9E3779B97F4A7C15) ^ taken(at, left))
+        more = left > 8
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    return out
 
 
 def joined(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ from .slices import joined, slice_hashes, spread, word_bounds
 from .textbytes import U, text_bytes
 
 WIDTH = 13  # words of a window
-DEPTH = 2  # sketch rows; a window is looked at exactly if all its cells are shared
+DEPTH = 2  # sketch rows, one for each of a window's two prints; a window is looked at exactly if all its cells are shared
 CHUNK_BYTES = 1 << 23  # text whose windows a task holds at once; a longer document is a chunk of its own
 SHARD_CELLS = 1 << 20  # entries that a task merges, about
 _STEP = np.random.default_rng(13).integers(1, 1 << 62, (2, 4096), dtype=np.uint64) * U(2) + U(1)
@@ -64,50 +64,36 @@ def staged_chunks(docs: DataFrame, key: str, text: str, chunk_bytes: int) -> Dat
 
 
 class _Windows:
-    """The words and windows of a chunk. Windows of rows without an id, and of other rows alike, are in row order."""
+    """The words and windows of a chunk, in row order; rows without an id have no windows."""
 
     def __init__(self, table: pa.Table, width: int):
         self.width = width
         self.ids = table.column("doc_id").combine_chunks()
         self.raw, self.offsets = text_bytes(table.column("text"))
         self.start, self.end, self.row = word_bounds(self.raw, self.offsets)
+        known = self.ids.is_valid().to_numpy(zero_copy_only=False)
         n = max(0, len(self.start) - width + 1)
-        self.known = self.ids.is_valid().to_numpy(zero_copy_only=False)
-        self.at = np.flatnonzero((self.row[:n] == self.row[width - 1:]) & self.known[self.row[:n]]) if n else np.zeros(0, np.int64)
+        self.at = np.flatnonzero((self.row[:n] == self.row[width - 1:]) & known[self.row[:n]]) if n else np.zeros(0, np.int64)
         self.doc = self.ids.fill_null(0).to_numpy()[self.row[self.at]]
-        self.print = [self._rolled(seed) for seed in (0, 1)]
-        self.order = np.argsort(self.print[0], kind="stable")
-        ordered = self.print[0][self.order]
-        self.first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else self.order
-        self.distinct = ordered[self.first]
-
-    def _rolled(self, seed: int) -> np.ndarray:
-        words = slice_hashes(self.raw, self.start, self.end, seed)
-        out = np.full(max(0, len(words) - self.width + 1), U(self.width), np.uint64)
-        for k in range(self.width):
-            out += words[k:k + len(out)] * _STEP[seed, k]
-        return spread(out[self.at])
+        words = slice_hashes(self.raw, self.start, self.end)
+        self.print = []
+        for step in _STEP:
+            rolled = np.full(n, U(width), np.uint64)
+            for k in range(width if n else 0):
+                rolled += words[k:k + n] * step[k]
+            self.print.append(spread(rolled[self.at]))
 
     def cells(self, depth: int, bits: int) -> np.ndarray:
-        """The cell of every distinct window in a sketch row of 2 ** bits cells."""
-        return spread(self.distinct + U(depth) * U(0x9E3779B97F4A7C15)) >> U(64 - bits)
-
-    def in_two_rows(self) -> np.ndarray:
-        """Whether a distinct window lies in several documents of the chunk."""
-        if not len(self.order):
-            return np.zeros(0, bool)
-        last = np.append(self.first[1:], len(self.order)) - 1
-        return self.row[self.at[self.order[self.first]]] != self.row[self.at[self.order[last]]]
+        """The cell of every window in a sketch row of 2 ** bits cells."""
+        return self.print[depth] >> U(64 - bits)
 
     def candidates(self, replies: pa.Table, bits: int, shard_bits: int):
         """(window places by print, first of each group, prints of the groups, least document of each group)."""
-        open_ = np.ones(len(self.distinct), bool)
+        places = np.arange(len(self.at))
         for d in range(DEPTH):
             cells = self.cells(d, bits)
-            told = _bits_of(replies, False, range(d << shard_bits, (d + 1) << shard_bits))
-            open_ &= told[np.searchsorted(np.unique(cells), cells)] if len(cells) else open_
-        wanted = np.repeat(open_, np.diff(np.append(self.first, len(self.order)))) if len(self.order) else open_
-        places = self.order[wanted]
+            shared = _capped(np.sort(cells), 1)[_bits_of(replies, False, range(d << shard_bits, (d + 1) << shard_bits))]
+            places = places[_among(cells[places], shared)]
         one, two = self.print[0][places], self.print[1][places]
         order = np.lexsort((two, one))
         places, one, two = places[order], one[order], two[order]
@@ -117,6 +103,28 @@ class _Windows:
         return places, first, one[first], two[first], np.minimum.reduceat(self.doc[places], first)
 
 
+def _capped(ordered: np.ndarray, times: int) -> np.ndarray:
+    """Sorted values, each at most so many times."""
+    keep = np.ones(len(ordered), bool)
+    keep[times:] = ordered[times:] != ordered[:-times]
+    return ordered[keep]
+
+
+def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Whether each value is one of the sorted ones; a table of flags spares most of the searches."""
+    if not len(ordered):
+        return np.zeros(len(x), bool)
+    def slot(v):
+        return (v * U(0x9E3779B97F4A7C15)) >> U(64 - 22)
+    flags = np.zeros(1 << 22, bool)
+    flags[slot(ordered)] = True
+    out = flags[slot(x)]
+    some = np.flatnonzero(out)
+    place = np.minimum(np.searchsorted(ordered, x[some]), len(ordered) - 1)
+    out[some] = ordered[place] == x[some]
+    return out
+
+
 def _packed(*columns: np.ndarray) -> bytes:
     """Columns of 64-bit words, byte planes one after another."""
     planes = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns)
@@ -187,8 +195,8 @@ def remove_repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "t
 
     Words are ``[^\\x20\\x09-\\x0D]+``, compared as they are. Null and empty texts have no words; texts of fewer words than
     ``width`` lose none. Rows that share a key take nothing from each other, but lose what a smaller key has. A row without
-    a key neither takes nor loses anything. An empty table gives an empty result. Windows are told apart by 128 bits of
-    two independent hashes.
+    a key neither takes nor loses anything. An empty table gives an empty result. Windows are told apart by two prints of 64
+    bits, independent sums over their words' hashes.
     """
     if not 0 < width <= _STEP.shape[1]:
         raise ValueError(f"a window has 1 to {_STEP.shape[1]} words")
@@ -199,8 +207,7 @@ def remove_repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "t
 
     def sketch(chunk: tuple, table: pa.Table) -> pa.Table:
         windows = _Windows(table, width)
-        times = 1 + windows.in_two_rows().astype(np.int64)
-        rows = [_dealt(chunk[0].as_py(), np.sort(np.repeat(windows.cells(d, bits), times)), bits, shard_bits, d << shard_bits) for d in range(DEPTH)]
+        rows = [_dealt(chunk[0].as_py(), _capped(np.sort(windows.cells(d, bits)), 2), bits, shard_bits, d << shard_bits) for d in range(DEPTH)]
         return pa.concat_tables(rows)
 
     def repeated(chunk: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
