@@ -25,7 +25,7 @@ from .textbytes import text_bytes
 LONGEST = 5  # words of the longest phrase
 LEAST = 100  # occurrences of a phrase
 TOP = 2000  # phrases reported per language
-AT_ONCE = 1 << 23  # bytes of text that a task counts together
+AT_ONCE = 1 << 20  # bytes of text that a task counts together
 FILTER_BITS = 26  # 8 MB, whatever the number of frequent pairs: a fuller filter lets more through, and loses nothing
 
 _LOWER = np.arange(256, dtype=np.uint8)
