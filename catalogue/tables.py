@@ -16,9 +16,10 @@ from vigilar.operators.windows import share
 from vigilar.plans import fixed_values as fv
 from vigilar.plans.surveillance import cohort_from_table, description_specs, yearly_figure, yearly_figure_long
 
+from . import tests_sql
 from . import views as v
 from . import views_sql as s
-from .registry import query
+from .registry import SQL, query
 
 DRUGS = tuple(v.STATUS)
 _TESTED = "(" + " UNION ALL ".join(
@@ -88,14 +89,24 @@ def prevalence_counts(spark, sf):
     return _counts(spark, sf, ["metrop", "espece3"]).withColumn("perc", percent("n_resistant", "n_tested", 2))
 
 
-@query()
+_LIMITS_TEXT = f"CAST(n AS VARCHAR) || ', ' || {tests_sql.number('100.0 * (x / CAST(n AS DOUBLE))')} || ' (' || {tests_sql.number('100.0 * low')} || ';' || {tests_sql.number('100.0 * high')} || ')'"
+_MATRIX = ("sonnei", "flexneri", "boydii", "dysenteriae")
+
+
+@query(f"WITH RECURSIVE {s.ANALYSIS}, counts AS (SELECT metrop, espece3, ATB, count(*) AS n, CAST(sum(status) AS BIGINT) AS x FROM {_TESTED} GROUP BY ALL), "
+       f"{tests_sql.exact_limits('counts')}, cells AS (SELECT metrop, espece3, ATB, {_LIMITS_TEXT} AS text FROM counts JOIN exact_limits USING (x, n)) "
+       "SELECT metrop, ATB, " + ", ".join(f"max(text) FILTER (espece3 = '{sp}') AS {sp}" for sp in _MATRIX)
+       + ", CASE ATB WHEN 'C3G' THEN 1 WHEN 'CIP' THEN 2 WHEN 'AZM' THEN 3 WHEN 'NAL' THEN 4 WHEN 'GEN' THEN 5 END AS drug_rank FROM cells GROUP BY metrop, ATB")
 def prevalence_matrix(spark, sf):
     counts = _counts(spark, sf, ["metrop", "espece3"])
-    return prev.prevalence_matrix(counts, ["metrop"], "espece3", ["sonnei", "flexneri", "boydii", "dysenteriae"],
-                                  "ATB", ["C3G", "CIP", "AZM", "NAL", "GEN"])
+    return prev.prevalence_matrix(counts, ["metrop"], "espece3", _MATRIX, "ATB", ["C3G", "CIP", "AZM", "NAL", "GEN"])
 
 
-@query()
+@query(f"WITH RECURSIVE {s.ANALYSIS}, c AS (SELECT * FROM iso WHERE metrop AND espece3 IN ('sonnei', 'flexneri') AND CIP_SIR IS NOT NULL), "
+       "lv AS (" + " UNION ALL ".join(f"SELECT '{c}' AS variable, {c} AS level, CIP_SIR AS st FROM c WHERE {c} IS NOT NULL" for c in fv.COHORTS["CIP"][1])
+       + f"), counts AS (SELECT variable, level, count(*) AS n, CAST(sum(st) AS BIGINT) AS x FROM lv GROUP BY ALL), {tests_sql.exact_limits('counts')} "
+         "SELECT variable, level, n AS n_tested, x AS n_resistant, round_even(100.0 * (x / CAST(n AS DOUBLE)), 2) AS perc, round_even(100.0 * low, 2) AS ci_low, "
+         "round_even(100.0 * high, 2) AS ci_high FROM counts JOIN exact_limits USING (x, n)")
 def prevalence_ci(spark, sf):
     cohort = cohort_from_table(v.isolates(spark, sf), "CIP")
     return prev.prevalence(cohort, fv.COHORTS["CIP"][1])
@@ -272,7 +283,24 @@ def describe_by(spark, sf):
     return build_groups(v.isolates(spark, sf).where("metrop"), SPECS, GROUPS)
 
 
-@query()
+_RANKS = ", ".join(f"('{n}', '{lv}', {i})" for n, lvs in _LEVELS.items() for i, lv in enumerate(lvs, 1))
+_HEADINGS = ", ".join(f"('{sp.name}', '{(sp.heading or sp.name).replace(chr(39), chr(39) * 2)}')" for sp in SPECS)
+
+
+def _tested_sql(table: str, outcomes: dict[str, str], where: str, groups) -> str:
+    """A description, numbered in blocks, with the p of each outcome on the first line of a block."""
+    long = " UNION ALL ".join(f"SELECT '{o}' AS outcome, '{n}' AS variable, CAST({n} AS VARCHAR) AS level, {y} AS y FROM iso WHERE {where}"
+                              for o, y in outcomes.items() for n in _POLICY)
+    declared = {n: len(lvs) for n, lvs in _LEVELS.items()}
+    return f"""WITH {tests_sql.association_p(s.ANALYSIS, long, 'outcome, variable', 12, declared)}, base AS ({table}),
+  numbered AS (SELECT b.*, row_number() OVER (PARTITION BY b.variable ORDER BY b.level = 'missing', r.place NULLS LAST, b.level) AS nr
+    FROM base b LEFT JOIN (VALUES {_RANKS}) r(variable, level, place) ON r.variable = b.variable AND r.level = b.level)
+  SELECT n.variable, nr, CASE WHEN nr = 1 THEN heading END AS heading, n.level, {', '.join(f'n.{g}' for g in groups)}, """ + ", ".join(
+        f"CASE WHEN nr = 1 THEN (SELECT round(p_value, 3) FROM tested t WHERE t.variable = n.variable AND t.outcome = '{o}') END AS p_{o}" for o in outcomes) + f"""
+  FROM numbered n JOIN (VALUES {_HEADINGS}) h(variable, heading) ON h.variable = n.variable"""
+
+
+@query(_tested_sql(SQL["describe_by"], {d: f"{d}_SIR" for d in fv.DESCRIBED_DRUGS}, "metrop", GROUPS))
 def describe_by_with_tests(spark, sf):
     """Resistant and susceptible side by side with test p-values, one pass over the records."""
     return describe_with_tests(v.isolates(spark, sf).where("metrop"), SPECS, GROUPS,
@@ -292,7 +320,7 @@ def describe_by_region(spark, sf):
     return build_groups(v.isolates(spark, sf, drugs=False), SPECS, REGIONS)
 
 
-@query()
+@query(_tested_sql(SQL["describe_by_region"], {"region": "CAST(metrop AS INTEGER)"}, "TRUE", REGIONS))
 def describe_by_region_with_tests(spark, sf):
     """The same with the test of each variable against the region."""
     rows = v.isolates(spark, sf, drugs=False).withColumn("in_main", F.col("metrop").cast("int"))
@@ -330,10 +358,18 @@ def age_sex_table(spark, sf):
                          fv.AGE_SEX_LEVELS, {d: f"{d}_SIR" for d in fv.DESCRIBED_DRUGS}, with_p=False)
 
 
-@query()
+_AGE_SEX_LONG = " UNION ALL ".join(
+    f"SELECT espece3 AS species, '{d}' AS outcome, 'age_sexe' AS variable, age_sexe AS level, {d}_SIR AS y FROM iso WHERE metrop AND espece3 IN ('sonnei', 'flexneri')"
+    for d in fv.DESCRIBED_DRUGS)
+
+
+@query("WITH " + tests_sql.association_p(s.ANALYSIS, _AGE_SEX_LONG, "species, outcome, variable", 12, {"age_sexe": len(fv.AGE_SEX_LEVELS)})
+       + f", base AS ({SQL['age_sex_table']}) SELECT b.*, round(p_value, 4) AS p_value, {tests_sql.p_text('p_value', 0.001)} AS p_text, test "
+         "FROM base b LEFT JOIN tested t ON t.species = b.species AND t.outcome || '_S' = b.ATB")
 def age_sex_table_with_tests(spark, sf):
-    return build_age_sex(v.isolates(spark, sf).where("metrop"), "espece3", ["sonnei", "flexneri"], "age_sexe",
-                         fv.AGE_SEX_LEVELS, {d: f"{d}_SIR" for d in fv.DESCRIBED_DRUGS})
+    out = build_age_sex(v.isolates(spark, sf).where("metrop"), "espece3", ["sonnei", "flexneri"], "age_sexe",
+                        fv.AGE_SEX_LEVELS, {d: f"{d}_SIR" for d in fv.DESCRIBED_DRUGS})
+    return out.withColumn("p_value", F.round("p_value", 4))
 
 
 _ATTR = ("espece3", "espece", "voyage", "continent", "labo")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from vigilar.functions import special as sp
 from vigilar.functions.levels import Levels
 from vigilar.operators import association as asc
+from vigilar.operators import exact
 from vigilar.operators import logit
 from vigilar.sources.tables import literal_table
 
@@ -52,10 +53,17 @@ def test_exact_limits_without_counts():
     assert np.isnan(low).all() and np.isnan(high).all()
 
 
-def test_large_count_expansion_joins_the_exact_branch():
-    a, b = np.array([9e5, 9.9e5]), np.array([2e6, 1.0e6])
-    for prob, z in ((0.025, -sp.Z975), (0.975, sp.Z975)):
-        assert np.allclose(sp.beta_quantile(prob, a, b, z), sp._beta_quantile_large(a, b, z), rtol=1e-9)
+def test_limits_of_very_large_counts():
+    """One method for all sizes: mirrored counts give mirrored limits, and few events among many are Poisson."""
+    for k in (1, 7, 40):
+        n = 10.0 ** np.arange(3, 14)
+        low, high = sp.exact_binomial_limits(np.full(n.shape, float(k)), n)
+        rest_low, rest_high = sp.exact_binomial_limits(n - k, n)
+        assert np.allclose(low, 1 - rest_high, rtol=1e-6, atol=1e-15) and np.allclose(high, 1 - rest_low, rtol=1e-6, atol=1e-15)
+        def below(mean, upto):
+            return sum(math.exp(-mean + j * math.log(mean) - math.lgamma(j + 1)) for j in range(upto + 1))
+        assert math.isclose(1 - below(low[-1] * n[-1], k - 1), 0.025, rel_tol=1e-6)
+        assert math.isclose(below(high[-1] * n[-1], k), 0.025, rel_tol=1e-6)
 
 
 def brute_force_fisher(events, others):
@@ -67,30 +75,49 @@ def brute_force_fisher(events, others):
     return sum(weight(k) for k in tables if weight(k) <= seen * (1 + 1e-7)) / math.comb(sum(sizes), m)
 
 
-@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 5)), min_size=2, max_size=4))
-@settings(max_examples=80, deadline=None)
-def test_fisher_against_all_tables(cells):
-    events, others = zip(*cells)
-    got = asc.fisher_r_by_2(np.array(events), np.array(others))
-    filled = [(e, o) for e, o in cells if e + o]
-    if len(filled) < 2 or not sum(events) or not sum(others):
-        assert math.isnan(got)
-    else:
-        assert math.isclose(got, brute_force_fisher(*zip(*filled)), rel_tol=1e-7)
-
-
-def test_fisher_answers_on_large_tables(monkeypatch):
-    p = asc.fisher_r_by_2([2, 500, 400, 300], [1, 600, 700, 200])
-    assert 0 < p < 1e-10
-    assert math.isclose(asc.fisher_r_by_2([1, 4_000_000], [2, 9_000_000]), 1.0, abs_tol=1e-6)
-    # 2 x 2 against the hypergeometric distribution
-    e, o = (3, 90), (9, 80)
-    assert math.isclose(asc.fisher_r_by_2(e, o), brute_force_fisher(e, o), rel_tol=1e-7)
+def exact_rows(spark, tables):
+    """{key: (p, bound of error)} of r x 2 tables {key: [(n1, n0), ...]}."""
+    cells = literal_table(spark, [(k, e, o) for k, rows in tables.items() for e, o in rows], "k string, n1 long, n0 long")
+    return {r["k"]: (r["p_value"], r["p_error"]) for r in exact.exact_p(cells, ["k"]).collect()}
+
+
+def test_exact_test_against_all_tables(spark):
+    rng = np.random.default_rng(11)
+    tables = {f"t{i}": [tuple(map(int, rng.integers(0, 6, 2))) for _ in range(rng.integers(2, 5))] for i in range(120)}
+    tables |= {"ones": [(1, 0), (0, 1), (1, 0), (3, 4), (0, 1)], "only ones": [(1, 0), (0, 1), (1, 0)], "two": [(3, 9), (90, 80)], None: [(1, 3), (4, 1)]}
+    got = exact_rows(spark, tables)
+    for k, rows in tables.items():
+        filled = [(e, o) for e, o in rows if e + o]
+        events, others = zip(*filled) if filled else ((), ())
+        if len(filled) < 2 or not sum(events) or not sum(others):
+            assert k not in got
+        else:
+            p, bound = got[k]
+            assert math.isclose(p, brute_force_fisher(events, others), rel_tol=1e-7), k
+            assert 0 <= bound < 1e-6
+
+
+def test_exact_test_on_large_tables(spark, monkeypatch):
     rng = np.random.default_rng(1)
-    e, o = rng.integers(0, 4, 9), rng.integers(3, 9, 9)
-    fine = asc.fisher_r_by_2(e, o)
-    monkeypatch.setattr(asc, "STATES", 300)  # merged far more coarsely than by default
-    assert math.isclose(asc.fisher_r_by_2(e, o), fine, rel_tol=0.02)
+    wide = [tuple(map(int, x)) for x in zip(rng.integers(0, 4, 7), rng.integers(3, 7, 7))]
+    tables = {"sure": [(2, 1), (500, 600), (400, 700), (300, 200)], "giant": [(1, 2), (4_000_000, 9_000_000)],
+              "names": [(1, 0)] * 30 + [(0, 1)] * 400 + [(2, 0), (1, 2)], "wide": wide}
+    got = exact_rows(spark, tables)
+    assert 0 <= got["sure"][0] < 1e-10
+    assert math.isclose(got["giant"][0], 1.0, abs_tol=1e-6)
+    p = brute_force_fisher(*zip(*wide))
+    assert math.isclose(got["wide"][0], p, rel_tol=1e-7)
+    monkeypatch.setattr(exact, "FEW", 1)  # all partial tables in coarse steps: the bound still holds the exact p
+    rough, bound = exact_rows(spark, {"wide": wide})["wide"]
+    assert abs(rough - p) <= bound < 0.05
+
+
+def test_association_gathers_no_cells(spark):
+    """Neither the choice nor the exact test packs a variable's levels into one row."""
+    df = literal_table(spark, [(f"name {i}", i % 3, i % 2) for i in range(60)], "a string, b int, y int")
+    plan = asc.association(df, ["a", "b"], {"y": "y"})._jdf.queryExecution().toString()
+    choice = asc.association(df, ["a", "b"], {"y": "y"}, p_values=False)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "collect_list" not in choice and "Python" not in choice
 
 
 def test_chi_square_against_the_full_grid(spark):

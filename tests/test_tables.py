@@ -10,7 +10,7 @@ from vigilar.operators.association import association
 from vigilar.operators.ordering import sample_per_group
 from vigilar.plans.surveillance import COVARIATES, clean_isolates, analysis_table, model_cohort, status_long
 from vigilar.sources.tables import (
-    cut_lineage, export_tsv, literal_table, load_breakpoints, load_table, read_decimal_comma, stage)
+    cut_lineage, export_decimal_comma, export_tsv, literal_table, load_breakpoints, load_table, read_decimal_comma, read_tsv, stage)
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,6 +47,32 @@ def test_stage_and_load(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(year_real" in pruned._jdf.queryExecution().toString()
 
 
+def test_a_busy_year_is_staged_in_several_files(spark, tmp_path):
+    """The rebalanced write spreads a hot partition value over files and keeps quiet ones in one."""
+    df = spark.range(200_000).select("id", F.when(F.col("id") % 50 == 0, 2006).otherwise(2005).alias("year_real"), F.sha2(F.col("id").cast("string"), 256).alias("x")) \
+        .repartition(12, "id")
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "1m")
+    try:
+        back = stage(df, str(tmp_path / "hot"))
+    finally:
+        spark.conf.unset(size)
+    files = {y: len([f for f in os.listdir(tmp_path / "hot" / f"year_real={y}") if f.endswith(".parquet")]) for y in (2005, 2006)}
+    assert files[2005] >= 5 and files[2006] <= 2
+    assert back.count() == 200_000 and back.agg(F.sum("id")).first()[0] == 199_999 * 100_000
+
+
+def test_exports_are_read_back(spark, tmp_path):
+    rows = [(1, 0.1, "a\tb", None), (2, None, 'say "x"', "p;q"), (3, 1e-12, "line\nbreak", "0,5"), (4, 1e300, "back\\", "NAN")]
+    df = literal_table(spark, rows, "k int, x double, t string, u string")
+    export_tsv(df, str(tmp_path / "tsv"))
+    assert sorted(map(tuple, read_tsv(spark, str(tmp_path / "tsv"), df.schema, line_breaks=True).collect())) == rows
+    flat = df.where("k <> 3")
+    export_decimal_comma(flat, str(tmp_path / "comma"))
+    assert sorted(map(tuple, read_decimal_comma(spark, str(tmp_path / "comma"), df.schema).collect())) == [r for r in rows if r[0] != 3]
+    assert any("1;0,1;" in p.read_text() for p in (tmp_path / "comma").glob("*.csv"))
+
+
 def test_tsv(spark, tmp_path):
     df = literal_table(spark, [("a", 1, None), ("b", None, "x")], "k string, n int, t string").coalesce(1)
     export_tsv(df, str(tmp_path / "out"))

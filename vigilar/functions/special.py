@@ -36,6 +36,37 @@ def log_gamma(x) -> np.ndarray:
     return _each(math.lgamma, x)
 
 
+def _stirling_rest(n: np.ndarray) -> np.ndarray:
+    """log n! minus Stirling's formula, n >= 0: its series at n + 16, taken back by a product of sixteen factors."""
+    def main(x):
+        return (x + 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi)
+
+    small = n < 16
+    x = np.where(small, n + 16.0, n)
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / x ** 2) / x ** 2) / x ** 2) / x
+    if not small.any():
+        return series
+    low = n[small]
+    product = np.ones(low.shape)
+    for j in range(1, 17):
+        product *= low + j
+    out = series.copy()
+    out[small] = main(low + 16.0) + series[small] - np.log(product) - main(np.maximum(low, 1e-300))
+    return out
+
+
+def log_choose(n, k) -> np.ndarray:
+    """log of n over k for real arguments, without the cancellation of large log factorials; 0 outside 0 < k < n."""
+    n, k = np.broadcast_arrays(np.asarray(n, float), np.asarray(k, float))
+    out = np.zeros(n.shape)
+    inner = (k > 0) & (k < n)
+    a, m = k[inner], n[inner]
+    b = m - a
+    entropy = -a * np.log(a / m) - b * np.log1p(-a / m)
+    out[inner] = entropy + 0.5 * np.log(m / (2 * math.pi * a * b)) + _stirling_rest(m) - _stirling_rest(a) - _stirling_rest(b)
+    return out
+
+
 def chi2_tail(x: np.ndarray, df: np.ndarray) -> np.ndarray:
     """P(X > x) for integer df, by the positive-term recurrence of Q(df/2, x/2)."""
     x, df = np.broadcast_arrays(np.asarray(x, float), np.asarray(df, float))
@@ -64,103 +95,63 @@ def normal_two_sided(z: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(z), np.nan, _erfc(np.nan_to_num(z) / math.sqrt(2.0)))
 
 
-def _stirling_rest(x: np.ndarray) -> np.ndarray:
-    """lgamma(x) minus its Stirling main part, for x >= 10."""
-    x2 = 1.0 / (x * x)
-    return (1 / 12 - x2 * (1 / 360 - x2 * (1 / 1260 - x2 * (1 / 1680 - x2 / 1188)))) / x
-
-
-def _log_beta_front(a, b, x):
-    """log( x^a (1-x)^b / B(a, b) ), arranged so large a and b do not cancel."""
-    n = a + b
-    big = np.minimum(a, b) >= 10
-    safe_a, safe_b = np.maximum(a, 10.0), np.maximum(b, 10.0)
-    large = (
-        a * np.log(x * n / a) + b * np.log((1 - x) * n / b)
-        + 0.5 * np.log(a) + 0.5 * np.log(b) - 0.5 * np.log(n) - 0.5 * math.log(2 * math.pi)
-        - _stirling_rest(safe_a) - _stirling_rest(safe_b) + _stirling_rest(np.maximum(n, 10.0))
-    )
-    small = a * np.log(x) + b * np.log1p(-x) - _log_beta_small(a, b)
-    return np.where(big, large, small)
-
-
-def _log_beta_small(a, b):
-    lo, hi = np.minimum(a, b), np.maximum(a, b)
-    plain = log_gamma(lo) + log_gamma(hi) - log_gamma(lo + hi)
-    safe = np.maximum(hi, 10.0)
-    # lgamma(hi) - lgamma(lo + hi) for hi >> lo, without subtracting two huge numbers
-    diff = (
-        (hi - 0.5) * np.log1p(-lo / (lo + hi)) - lo * np.log(lo + hi) + lo
-        + _stirling_rest(safe) - _stirling_rest(safe + lo)
-    )
-    return np.where(hi >= 10, log_gamma(lo) + diff, plain)
-
-
-def _beta_fraction(a, b, x, steps=20000):
-    """Continued fraction of the incomplete beta integral (modified Lentz)."""
-    tiny = 1e-300
-    c = np.ones_like(x)
-    d = 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
-    h = d.copy()
-    for m in range(1, steps + 1):
-        for num in (
-            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
-        ):
-            d = 1.0 + num * d
-            d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
-            c = 1.0 + num / c
-            c = np.where(np.abs(c) < tiny, tiny, c)
-            step = c * d
-            h = h * step
-        if np.all(np.abs(step - 1.0) < 1e-15):
-            return h
-    if np.all(np.abs(step - 1.0) < 1e-12):
-        return h
-    raise ArithmeticError(f"the continued fraction has not converged after {steps} steps")
-
-
-def beta_cdf(a, b, x):
-    """Regularised incomplete beta function I_x(a, b)."""
-    a, b, x = np.broadcast_arrays(*[np.asarray(v, float) for v in (a, b, x)])
-    inner = (x > 0) & (x < 1)
-    out = np.where(x >= 1, 1.0, 0.0)
-    ai, bi, xi = a[inner], b[inner], x[inner]
-    swap = xi > (ai + 1.0) / (ai + bi + 2.0)
-    p, q, y = np.where(swap, bi, ai), np.where(swap, ai, bi), np.where(swap, 1 - xi, xi)
-    if y.size:
-        value = np.exp(_log_beta_front(p, q, y)) * _beta_fraction(p, q, y) / p
-        out[inner] = np.clip(np.where(swap, 1.0 - value, value), 0.0, 1.0)
-    return out
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(96)
+_NODES, _WEIGHTS = (_NODES + 1) / 2, _WEIGHTS / 2  # on (0, 1)
+_DEPTH = 45.0  # an integral goes as far as the log density falls by this much
 
 
-def _beta_quantile_large(a, b, z):
-    """Quantile expansion for both parameters large; z is the normal quantile of the tail."""
-    lam = (z * z - 3.0) / 6.0
-    ra, rb = 1.0 / (2 * a - 1), 1.0 / (2 * b - 1)
-    h = 2.0 / (ra + rb)
-    w = -z * np.sqrt(h + lam) / h - (rb - ra) * (lam + 5.0 / 6.0 - 2.0 / (3.0 * h))
-    return a / (a + b * np.exp(2.0 * w))
-
-
-def beta_quantile(prob: float, a, b, z: float):
-    """Bisection on I_x(a, b); beyond a million on both sides the expansion is exact to
-    double precision for printing and does not need the long continued fraction."""
-    a, b = np.broadcast_arrays(np.asarray(a, float), np.asarray(b, float))
-    out = np.empty(a.shape)
-    large = np.minimum(a, b) > 1e6
-    out[large] = _beta_quantile_large(a[large], b[large], z)
-    sa, sb = a[~large], b[~large]
-    if sa.size:
-        # bisect on the logit scale so that tiny probabilities keep their digits
-        lo, hi = np.full(sa.shape, -745.0), np.full(sa.shape, 40.0)
-        for _ in range(90):
-            mid = 0.5 * (lo + hi)
-            below = beta_cdf(sa, sb, 1.0 / (1.0 + np.exp(-mid))) < prob
-            lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
-        out[~large] = 1.0 / (1.0 + np.exp(-0.5 * (lo + hi)))
-    return out
+def _log_density(a, b, u):
+    """Log density of the logit of a beta variable at distance ``u`` from its mode, relative to the mode."""
+    q, u = np.minimum(a, b) / (a + b), np.where(a <= b, u, -u)  # seen from the rarer side, so that small parts keep their digits
+    return (a + b) * (q * u - np.log1p(q * np.expm1(np.minimum(u, 600.0))))
+
+
+def _density_slope(a, b, u):
+    q, e = a / (a + b), np.exp(-np.abs(u))
+    return a - (a + b) * np.where(u > 0, q / (q + (1 - q) * e), q * e / (1 - q + q * e))
+
+
+def _tail_integral(a, b, u, sign: float):
+    """(integral over the density relative to the density at ``u``, log density at ``u``) from ``u`` outwards.
+
+    The log density is concave, so the integrand falls smoothly to nothing within a reach that Newton steps find.
+    """
+    base = _log_density(a, b, u)
+    reach = np.sqrt(2 * _DEPTH * (1 / a + 1 / b))
+    for _ in range(100):
+        over = _log_density(a, b, u + sign * reach) - base + _DEPTH
+        fresh = reach - over / (sign * _density_slope(a, b, u + sign * reach))
+        fresh = np.where(fresh > 0, fresh, reach / 2)
+        close = np.abs(fresh - reach) <= 1e-3 * reach
+        reach = fresh
+        if close.all():
+            break
+    t = u[:, None] + sign * reach[:, None] * _NODES
+    return reach * (np.exp(_log_density(a[:, None], b[:, None], t) - base[:, None]) @ _WEIGHTS), base
+
+
+def beta_limit(tail: float, a, b, sign: float):
+    """Point of a beta variable (a, b >= 1) below (sign -1) or above (sign 1) which there is the probability ``tail``.
+
+    One method for all sizes: the density of the logit is integrated by Gauss-Legendre nodes between the point and where it
+    has died away, and Newton steps on the log of that tail find the point. Distances count from the mode, so neither tiny
+    nor large parameters cancel. ``tail`` is small enough for the point to lie on its side of the mode (up to 0.3).
+    """
+    a, b = (np.array(x, float).ravel() for x in np.broadcast_arrays(a, b))
+    zero = np.zeros(a.shape)
+    goal = np.log(tail * (_tail_integral(a, b, zero, -1.0)[0] + _tail_integral(a, b, zero, 1.0)[0]))
+    u, before = sign * 2.0 * np.sqrt(1 / a + 1 / b), np.full(a.shape, np.inf)
+    for _ in range(100):
+        size, base = _tail_integral(a, b, u, sign)
+        step = sign * size * (np.log(size) + base - goal)
+        u, far = u + step, np.abs(step / u)
+        if np.all((far <= 1e-13) | ((far < 1e-7) & (far > before / 2))):  # or what is left is rounding
+            break
+        before = far
+    else:
+        raise ArithmeticError("no convergence of a beta limit")
+    odds = a / b * np.exp(u)
+    return odds / (1 + odds)
 
 
 def exact_binomial_limits(x: np.ndarray, n: np.ndarray):
@@ -172,10 +163,10 @@ def exact_binomial_limits(x: np.ndarray, n: np.ndarray):
     high[ok & (x == n)] = 1.0
     some = ok & (x > 0)
     if some.any():
-        low[some] = beta_quantile(0.025, x[some], n[some] - x[some] + 1, -Z975)
+        low[some] = beta_limit(0.025, x[some], n[some] - x[some] + 1, -1.0)
     some = ok & (x < n)
     if some.any():
-        high[some] = beta_quantile(0.975, x[some] + 1, n[some] - x[some], Z975)
+        high[some] = beta_limit(0.025, x[some] + 1, n[some] - x[some], 1.0)
     return low, high
 
 

@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import nulls as nl
 from ..functions.levels import Levels
-from ..functions.special import chi2_sf, log_gamma
+from ..functions.special import chi2_sf
+from ..sources.tables import cut_lineage
 from .aggregate import beside, collapse, contingency, patterns_of
+from .exact import exact_p
 
 PEARSON, CORRECTED, FISHER = "chisq", "chisq corr", "fisher"
-STATES = 40_000  # partial tables held at once before their values are merged more coarsely
 
 
 def chi_square(df: DataFrame, x: str, y: str, yates: bool = False, by: Sequence[str] = (),
@@ -60,108 +57,6 @@ def _pearson(cells: DataFrame, x: str, y: str, yates: bool, by: Sequence[str]) -
         *by, "n", "n_x", "n_y", "df", "min_expected", "statistic", "p_value")
 
 
-def _log_choose(n, k):
-    """log of n over k for real arguments, without the cancellation of large log factorials."""
-    n, k = np.broadcast_arrays(np.asarray(n, float), np.asarray(k, float))
-    out = np.zeros(n.shape)
-    inner = (k > 0) & (k < n)
-    a, b, m = k[inner], (n - k)[inner], n[inner]
-    entropy = -a * np.log(a / m) - b * np.log1p(-a / m)
-    out[inner] = entropy + 0.5 * np.log(m / (2 * math.pi * a * b)) + _stirling_rest(m) - _stirling_rest(a) - _stirling_rest(b)
-    return out
-
-
-def _stirling_rest(n: np.ndarray) -> np.ndarray:
-    """log n! minus Stirling's formula: its series from 16 on, the difference of the two below."""
-    large = np.maximum(n, 16.0)
-    series = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / large ** 2) / large ** 2) / large ** 2) / large
-    small = np.minimum(np.maximum(n, 1e-300), 16.0)
-    exact = log_gamma(small + 1.0) - ((small + 0.5) * np.log(small) - small + 0.5 * math.log(2 * math.pi))
-    return np.where(n < 16, exact, series)
-
-
-def _merged(total: np.ndarray, value: np.ndarray, weight: np.ndarray, width: float):
-    """Partial tables with one running total whose values fall into one cell of ``width`` become one, at their mean value."""
-    cell = np.floor(value / width + 0.5).astype(np.int64)
-    order = np.lexsort((cell, total))
-    total, cell, value, weight = total[order], cell[order], value[order], weight[order]
-    first = np.flatnonzero(np.append(True, (total[1:] != total[:-1]) | (cell[1:] != cell[:-1])))
-    top = np.maximum.reduceat(weight, first)
-    share = np.exp(weight - np.repeat(top, np.diff(np.append(first, len(weight)))))
-    size = np.add.reduceat(share, first)
-    return total[first], np.add.reduceat(share * value, first) / size, top + np.log(size)
-
-
-def fisher_r_by_2(events: np.ndarray, others: np.ndarray) -> float:
-    """Exact two-sided p of an r x 2 table: total probability of all tables with the same
-    margins that are no more likely than the observed one (up to a relative 1e-7).
-
-    Rows are added from the smallest, each over its feasible range, and the margin gives the
-    last one; so one giant row costs nothing. A partial table is settled once all its
-    completions count or none does, and dropped when it and all its completions weigh less
-    than 1e-25. Equal partial tables are merged: values within 1e-9, or, while more than
-    ``STATES`` are left, within a width that doubles and moves p by no more than that
-    relative amount per row. There is always a p unless a margin is empty (nan).
-    """
-    events, others = np.asarray(events, float), np.asarray(others, float)
-    used = events + others > 0
-    events, others = events[used], others[used]
-    if len(events) < 2 or events.sum() == 0 or others.sum() == 0:
-        return math.nan
-    if events.sum() > others.sum():
-        events, others = others, events
-    target = events.sum()
-    sizes = np.sort(events + others)
-    limit = _log_choose(events + others, events).sum() + 1e-7
-    scale = float(_log_choose(sizes.sum(), target))
-    total, value, weight, settled, width = np.zeros(1), np.zeros(1), np.zeros(1), 0.0, 1e-9
-    for i, size in enumerate(sizes[:-1]):
-        room = sizes[i + 1:].sum()
-        parts = []
-        for block in np.array_split(np.arange(len(total)), max(1, int(len(total) * min(size, target) // 4_000_000))):
-            low = np.maximum(0, target - total[block] - room)
-            high = np.minimum(size, target - total[block])
-            counts = (high - low + 1).astype(np.int64)
-            rows = np.repeat(block, counts)
-            k = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low, counts)
-            new_total, new_value = total[rows] + k, value[rows] + _log_choose(size, k)
-            left = target - new_total
-            if i == len(sizes) - 2:  # the last row is what is left
-                final = new_value + _log_choose(room, left)
-                counts_in = final <= limit
-                settled += float(np.exp(weight[rows][counts_in] + final[counts_in] - scale).sum())
-                continue
-            ways = _log_choose(room, left)
-            mass = weight[rows] + new_value + ways - scale
-            likeliest = new_value + ways - _spread_floor(sizes[i + 1:], left, room)
-            every = likeliest <= limit
-            settled += float(np.exp(mass[every]).sum())
-            open_ = ~every & (new_value <= limit) & (mass > math.log(1e-25))
-            parts.append(_merged(new_total[open_], new_value[open_], weight[rows][open_], width) if open_.any() else None)
-        parts = [p for p in parts if p is not None]
-        if not parts:
-            break
-        total, value, weight = _merged(*[np.concatenate(x) for x in zip(*parts)], width)
-        while len(total) > STATES:
-            width *= 2
-            total, value, weight = _merged(total, value, weight, width)
-    return float(min(1.0, settled))
-
-
-def _spread_floor(rest: np.ndarray, left: np.ndarray, room: float) -> np.ndarray:
-    """A lower bound of log C(room, left) minus the largest product of C(rest, k) with sum k = left: the product over real k
-    is largest where every row has the same share."""
-    values, inverse = np.unique(left, return_inverse=True)
-    best = sum(n * _log_choose(s, s * (values / room)) for s, n in zip(*np.unique(rest, return_counts=True)))
-    return (_log_choose(np.full(len(values), room), values) - best)[inverse]
-
-
-@F.pandas_udf(T.DoubleType())
-def _fisher_udf(events: pd.Series, others: pd.Series) -> pd.Series:
-    return pd.Series([
-        math.nan if e is None or len(e) < 2 else fisher_r_by_2(e, o) for e, o in zip(events, others)])
-
-
 def _level_cells(df: DataFrame, variables: Sequence[str], outcomes: Mapping[str, str],
                  by: Sequence[str], weight: str | None) -> DataFrame:
     """(by, outcome, variable, level, n1, n0) for every pair, from one collapsed pass."""
@@ -186,16 +81,39 @@ def _level_cells(df: DataFrame, variables: Sequence[str], outcomes: Mapping[str,
 
 def association(df: DataFrame, variables: Sequence[str], outcomes: Mapping[str, str],
                 by: Sequence[str] = (), weight: str | None = None,
-                levels: Mapping[str, Levels] | None = None) -> DataFrame:
+                levels: Mapping[str, Levels] | None = None, p_values: bool = True) -> DataFrame:
     """Test of each 0/1 outcome against each categorical variable, over records knowing both.
 
     All expected counts above 5: Pearson; else all above 3: Pearson with correction; else
     the exact test. With ``levels`` a listed level
     without any record counts as an expected 0. Columns: outcome, variable, n, n_levels, df,
-    min_expected, statistic, test, p_value.
+    min_expected, statistic, test and, with ``p_values``, p_value and p_error (see ``exact_p``; null unless exact).
+
+    The choice is made on sums alone. Only tests that it leaves to the exact one are then carried out step by step, when
+    this is called; without ``p_values`` nothing runs.
     """
-    cells = _level_cells(df, variables, outcomes, by, weight)
     keys = [*by, "outcome", "variable"]
+    cells = _level_cells(df, variables, outcomes, by, weight)
+    if p_values:
+        cells = cut_lineage(cells)
+    chosen = _choice(cells, keys, levels)
+    if not p_values:
+        return chosen
+    chosen = cut_lineage(chosen)
+    exact = exact_p(_cells_of(cells, chosen.where(F.col("test") == FISHER), keys), keys)
+    renamed = exact.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+    out = chosen.withColumn("__pc", chi2_sf("statistic", "df")).join(renamed, same, "left")
+    return out.select(*chosen.columns, F.when(F.col("test") == FISHER, F.col("p_value")).otherwise(F.col("__pc")).alias("p_value"), "p_error")
+
+
+def _cells_of(cells: DataFrame, tests: DataFrame, keys: Sequence[str]) -> DataFrame:
+    wanted = tests.select(*[F.col(k).alias(f"__w_{k}") for k in keys])
+    return cells.join(wanted, [F.col(k).eqNullSafe(F.col(f"__w_{k}")) for k in keys], "left_semi")
+
+
+def _choice(cells: DataFrame, keys: Sequence[str], levels: Mapping[str, Levels] | None) -> DataFrame:
+    """Sums of the cells of each test, the test they call for, and its statistic."""
     cells = beside(cells.withColumn("__r", F.col("n1") + F.col("n0")), keys, __c1=F.sum("n1"), __c0=F.sum("n0"))
     total = (F.col("__c1") + F.col("__c0")).cast("double")
     e1, e0 = F.col("__r") / total * F.col("__c1"), F.col("__r") / total * F.col("__c0")
@@ -205,7 +123,6 @@ def association(df: DataFrame, variables: Sequence[str], outcomes: Mapping[str,
         F.min(F.least(e1, e0)).alias("__min"), F.max("__c1").alias("__c1"), F.max("__c0").alias("__c0"),
         F.sum(nl.ratio(gap * gap, e1) + nl.ratio(gap * gap, e0)).alias("__plain"), F.max(gap).alias("__gap"),
         F.sum(nl.ratio(F.lit(1.0), e1) + nl.ratio(F.lit(1.0), e0)).alias("__inv"),
-        F.collect_list(F.struct("n1", "n0")).alias("__cells"),
     )
     declared = F.lit(0)
     for v, lv in (levels or {}).items():
@@ -219,27 +136,15 @@ def association(df: DataFrame, variables: Sequence[str], outcomes: Mapping[str,
     square = (F.col("n_levels") == 2) & (F.col("test") == CORRECTED)
     testable = (F.col("__c1") > 0) & (F.col("__c0") > 0)
     stat = F.when(square, shrunk * shrunk * F.col("__inv")).otherwise(F.col("__plain"))
-    out = out.withColumn("statistic", F.when(testable & (F.col("test") != FISHER), stat))
-    exact = F.when(F.col("test") == FISHER, F.col("__cells"))
-    p_exact = _fisher_udf(F.transform(exact, lambda c: c["n1"].cast("double")),
-                          F.transform(exact, lambda c: c["n0"].cast("double")))
-    out = out.withColumn("__pf", p_exact).withColumn("__pc", chi2_sf("statistic", "df"))
-    return out.select(
-        *keys, "n", "n_levels", "df", "min_expected", "statistic", "test",
-        F.when(F.col("test") == FISHER, F.when(~F.isnan("__pf"), F.col("__pf"))).otherwise(F.col("__pc"))
-        .alias("p_value"))
+    return out.withColumn("statistic", F.when(testable & (F.col("test") != FISHER), stat)).select(
+        *keys, "n", "n_levels", "df", "min_expected", "statistic", "test")
 
 
 def fisher_exact(df: DataFrame, x: str, y: str, weight: str | None = None) -> DataFrame:
-    """Exact r x 2 test of x against the 0/1 column y: n, n_levels, p_value (null if a margin is empty)."""
-    cells = _level_cells(df, [x], {"y": y}, (), weight)
-    out = cells.groupBy("variable").agg(
-        F.sum(F.col("n1") + F.col("n0")).alias("n"), F.count(F.lit(1)).cast("int").alias("n_levels"),
-        F.collect_list(F.struct("n1", "n0")).alias("__cells"))
-    p = _fisher_udf(F.transform("__cells", lambda c: c["n1"].cast("double")),
-                    F.transform("__cells", lambda c: c["n0"].cast("double")))
-    out = out.withColumn("__p", p)
-    return out.select("variable", "n", "n_levels", F.when(~F.isnan("__p"), F.col("__p")).alias("p_value"))
+    """Exact r x 2 test of x against the 0/1 column y: n, n_levels, p_value and its bound of error (null if a margin is empty)."""
+    cells = cut_lineage(_level_cells(df, [x], {"y": y}, (), weight))
+    out = cells.groupBy("variable").agg(F.sum(F.col("n1") + F.col("n0")).alias("n"), F.count(F.lit(1)).cast("int").alias("n_levels"))
+    return out.join(exact_p(cells.select("variable", "n1", "n0"), ["variable"]), "variable", "left")
 
 
 def trend_test(counts: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:

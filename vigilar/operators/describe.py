@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import nulls as nl
 from ..functions.formats import format_n_pct, format_p, percent
 from ..functions.levels import Levels
+from ..sources.tables import cut_lineage
 from .aggregate import beside, collapse, long_counts, patterns_of
 from .association import association
 from .reshape import to_wide
@@ -113,11 +114,11 @@ def describe_with_tests(df: DataFrame, specs: Sequence[VariableSpec],
     """Subgroup description with the association p-value of each outcome (``outcomes``: name ->
     0/1 column) and the heading on the first line of a variable's block.
 
-    Records are collapsed once; the counts feed both the table and the tests.
+    Records are collapsed once, when this is called; the checkpointed counts feed both the table and the tests.
     """
     variables = [s.name for s in specs]
     columns = list(dict.fromkeys([*outcomes.values(), *[c for c, _ in groups.values()], *variables]))
-    patterns = collapse(df, columns, "__w")
+    patterns = cut_lineage(collapse(df, columns, "__w"))
     table = describe_by(patterns, specs, groups, weight="__w")
     tests = association(patterns, variables, outcomes, weight="__w",
                         levels={s.name: s.levels for s in specs if s.levels})
@@ -169,6 +170,8 @@ def age_sex_table(df: DataFrame, species: str, species_kept: Sequence[str], age_
     # the explicit null test is what the join with the tests infers; both sides then share one scan
     some = df.where(F.col(species).isNotNull() & F.col(species).isin(list(species_kept)))
     patterns = collapse(some, [species, age_sex, *drugs.values()], "__w")
+    if with_p:
+        patterns = cut_lineage(patterns)  # for the table and the tests
     packed = F.array(*[
         F.struct(F.lit(d).alias("drug"), F.col(c).alias("status")) for d, c in drugs.items()])
     counts = (

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formats import format_ci, format_p
@@ -23,6 +23,8 @@ from ..functions.levels import Levels
 from ..functions.special import (
     CHI2_95_1, Z975, chi2_sf, chi2_tail, normal_two_sided, profile_limits_2x2, wald_p)
 from ..sources.tables import cut_lineage, literal_table
+from .aggregate import beside
+from .ordering import number_in_order
 from .prevalence import level_counts, with_exact_interval
 
 MAX_LEVELS = 500  # default bound of a model's levels: their squared number of sums reaches the driver
@@ -167,24 +169,16 @@ def _independent(info: np.ndarray) -> np.ndarray:
     return np.array(kept, dtype=int)
 
 
-def fit_models(frame: ModelFrame, models: Sequence[Sequence[str]]) -> list[Fit]:
-    """Fit several models (lists of variables) together by Newton steps with step halving.
-
-    Models that have ended take no part in later jobs. A model ends when neither its likelihood nor a coefficient moves, or
-    when the likelihood stands still while coefficients drift away: those are separated.
+def _climb(frame: ModelFrame, beta: np.ndarray, cols: list[np.ndarray], state: list[tuple]) -> tuple[list[tuple], list[np.ndarray]]:
+    """Newton steps with step halving on the free columns of several coefficient vectors (changed in place), until each has ended:
+    (sums at the end, last moves). Models that have ended take no part in later jobs. A model ends when neither its likelihood
+    nor a coefficient moves, or when the likelihood stands still while coefficients drift away.
     """
-    asked = [frame.columns(m) for m in models]
-    width = 1 + len(frame.terms)
-    beta = np.zeros((len(asked), width))
-    state = _likelihood_sums(frame, beta, asked)
-    kept = [_independent(s[2]) for s in state]
-    cols = [c[i] for c, i in zip(asked, kept)]
-    state = [(s[0], s[1][i], s[2][np.ix_(i, i)]) for s, i in zip(state, kept)]
     moved = [np.zeros(len(c)) for c in cols]
-    open_ = list(range(len(cols)))
+    open_ = [k for k, c in enumerate(cols) if len(c)]
     for _ in range(MAX_STEPS):
         if not open_:
-            break
+            return state, moved
         steps = {k: _inverse(state[k][2]) @ state[k][1] for k in open_}
         tries = list(open_)
         fresh: dict[int, tuple] = {}
@@ -206,14 +200,40 @@ def fit_models(frame: ModelFrame, models: Sequence[Sequence[str]]) -> list[Fit]:
             if not stands or 1e-7 <= moved[k].max() <= DRIFT:
                 still.append(k)
         open_ = still
-    if open_:
-        raise ArithmeticError(f"no convergence after {MAX_STEPS} steps")
+    raise ArithmeticError(f"no convergence after {MAX_STEPS} steps")
+
+
+def fit_models(frame: ModelFrame, models: Sequence[Sequence[str]]) -> list[Fit]:
+    """Fit several models (lists of variables) together. Coefficients that drift away for ever are separated."""
+    asked = [frame.columns(m) for m in models]
+    beta = np.zeros((len(asked), 1 + len(frame.terms)))
+    state = _likelihood_sums(frame, beta, asked)
+    kept = [_independent(s[2]) for s in state]
+    cols = [c[i] for c, i in zip(asked, kept)]
+    state = [(s[0], s[1][i], s[2][np.ix_(i, i)]) for s, i in zip(state, kept)]
+    state, moved = _climb(frame, beta, cols, state)
     return [
         Fit(c, beta[k], _inverse(state[k][2]), float(state[k][0]), np.setdiff1d(asked[k], c),
             frozenset(int(j) for j in c[moved[k] > DRIFT]))
         for k, c in enumerate(cols)]
 
 
+def deviance_rises(frame: ModelFrame, fit: Fit, places: Sequence[tuple[int, float]]) -> list[float]:
+    """By how much the deviance exceeds the fit's when coefficient j is held at a value and all others are fitted anew from 0,
+    for each (j, value). An independent check of profile limits: there it is the 95 % point of chi-square."""
+    if not places:
+        return []
+    beta = np.zeros((len(places), len(fit.beta)))
+    cols = []
+    for row, (j, value) in zip(beta, places):
+        row[j] = value
+        drifting = sorted(fit.separated)
+        row[drifting] = fit.beta[drifting]
+        cols.append(np.array([c for c in fit.columns if int(c) != j and int(c) not in fit.separated], dtype=int))
+    state, _ = _climb(frame, beta, cols, _likelihood_sums(frame, beta, cols))
+    return [2.0 * (fit.loglik - s[0]) for s in state]
+
+
 def profile_limits(frame: ModelFrame, fit: Fit) -> dict[int, tuple[float, float]]:
     """95 % profile-likelihood limits of every coefficient with a finite estimate, all found in the same jobs.
 
@@ -305,17 +325,24 @@ def multivariable_logit(df: DataFrame, outcome: str, variables: Sequence[str],
 def profile_interval(df: DataFrame, outcome: str, variables: Sequence[str],
                      levels: Mapping[str, Levels] | None = None,
                      frame: ModelFrame | None = None) -> DataFrame:
-    """Estimates with Wald and profile-likelihood limits on the log odds scale."""
+    """Estimates with Wald and profile-likelihood limits on the log odds scale.
+
+    ``rise_low`` and ``rise_high`` certify the limits: the rise of the deviance when the coefficient is held there and the
+    model is fitted anew, which is the 95 % point of chi-square (3.841459).
+    """
     frame = frame or model_frame(df, outcome, variables, levels)
     fit = fit_models(frame, [variables])[0]
     limits = profile_limits(frame, fit)
+    ends = [(j, end) for j, pair in limits.items() for end in pair if np.isfinite(end)]
+    rise = dict(zip(ends, deviance_rises(frame, fit, ends)))
     rows = []
     for j, variable, level, beta, se, _, _ in _estimates(frame, fit):
         low, high = limits.get(j, (np.nan, np.nan))
-        rows.append((variable, level, *[_none(v) for v in (beta, beta - Z975 * se, beta + Z975 * se, low, high)]))
+        rows.append((variable, level, *[_none(v) for v in (
+            beta, beta - Z975 * se, beta + Z975 * se, low, high, rise.get((j, low), np.nan), rise.get((j, high), np.nan))]))
     return literal_table(frame.patterns.sparkSession, rows,
                          "variable string, level string, beta double, wald_low double, wald_high double, "
-                         "profile_low double, profile_high double")
+                         "profile_low double, profile_high double, rise_low double, rise_high double")
 
 
 def deletion_tests(frame: ModelFrame, variables: Sequence[str]) -> tuple[Fit, list[tuple[str, int, float, float]]]:
@@ -365,7 +392,11 @@ def backward_aic(df: DataFrame, outcome: str, variables: Sequence[str],
 
 def univariate_counts(df: DataFrame, outcome: str, variables: Sequence[str],
                       levels: Mapping[str, Levels] | None = None, weight: str | None = None) -> DataFrame:
-    """(variable, level, a, b, c, d): events and others at the level and at the reference."""
+    """(variable, level, a, b, c, d): events and others at the level and at the reference, with the level's rank.
+
+    Numbers of a variable come from aggregates and ranks from ranges of the order, so a variable with very many levels is
+    never one task's work.
+    """
     counts = level_counts(df.where(F.col(outcome).isNotNull()), variables, outcome, weight).select(
         "variable", "level", F.col("n_resistant").alias("a"),
         (F.col("n_tested") - F.col("n_resistant")).alias("b"))
@@ -373,13 +404,12 @@ def univariate_counts(df: DataFrame, outcome: str, variables: Sequence[str],
     for v, lv in (levels or {}).items():
         rank = F.when(F.col("variable") == v, lv.rank("level")).otherwise(rank)
         counts = counts.where((F.col("variable") != v) | F.col("level").isin(list(lv.values)))
-    block = Window.partitionBy("variable")
-    order = block.orderBy(F.col("__rank").asc_nulls_last(), "level")
-    return counts.withColumn("__rank", rank).withColumns({
-        "level_rank": F.row_number().over(order), "n_levels": F.count(F.lit(1)).over(block),
-        "reference": F.first("level").over(order), "c": F.first("a").over(order),
-        "d": F.first("b").over(order), "events": F.sum("a").over(block), "others": F.sum("b").over(block),
-    }).drop("__rank")
+    place = F.struct(F.coalesce("__rank", F.lit(2 ** 31)).alias("rank"), "level")
+    counts = counts.withColumn("__rank", rank).withColumn("__place", place)
+    numbered = number_in_order(counts, ["variable"], ["__place"], "level_rank")
+    return beside(
+        numbered, ["variable"], n_levels=F.count(F.lit(1)), reference=F.min_by("level", "__place"), c=F.min_by("a", "__place"),
+        d=F.min_by("b", "__place"), events=F.sum("a"), others=F.sum("b")).drop("__rank", "__place")
 
 
 def univariate_logit(df: DataFrame, outcome: str, variables: Sequence[str],
@@ -402,12 +432,11 @@ def _univariate(cells: DataFrame) -> DataFrame:
         ratio = observed * total / (size * F.col(margin).cast("double"))
         return F.when(observed > 0, observed * F.log(ratio)).otherwise(0.0)
 
-    g2 = F.sum(2.0 * (term(F.col("a"), "events") + term(F.col("b"), "others"))).over(
-        Window.partitionBy("variable"))
+    cells = beside(cells, ["variable"], lr=F.sum(2.0 * (term(F.col("a"), "events") + term(F.col("b"), "others"))))
     filled = (F.least("a", "b", "c", "d") > 0)
     a, b, c, d = [F.col(x).cast("double") for x in "abcd"]
     est = cells.withColumns({
-        "lr": g2, "beta": F.when(filled, F.log(a) + F.log(d) - F.log(b) - F.log(c)),
+        "beta": F.when(filled, F.log(a) + F.log(d) - F.log(b) - F.log(c)),
         "se": F.when(filled, F.sqrt(1 / a + 1 / b + 1 / c + 1 / d))}).where(F.col("level_rank") > 1)
     est = est.withColumns({
         "odds_ratio": F.exp("beta"), "z": F.col("beta") / F.col("se"),

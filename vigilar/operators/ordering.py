@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.levels import Levels
-from ..sources.tables import literal_table
+from ..sources.tables import cut_lineage, literal_table
 
 
 def level_order(df: DataFrame, **levels: Levels) -> DataFrame:
@@ -37,6 +37,25 @@ def sample_per_group(df: DataFrame, by: Sequence[str], k: int, row_id: str, seed
     return df.withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank")
 
 
+def number_in_order(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Row numbers 1, 2, 3 ... within groups in the order of ``order``, nulls first; equal rows in any order.
+
+    Rows are sorted in ranges of (by, order), so a group of any size is spread over tasks; a small table with one row per
+    group and range says how many rows come before. Sorted rows are checkpointed, since ranges are drawn anew by each run.
+    """
+    keys = [*by, *order]
+    placed = cut_lineage(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("__part", F.shiftright("__at", 33))  # the id is the partition, then the row's place in it
+    spans = placed.groupBy(*by, "__part").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = spans.select(*[F.col(k).alias(f"__b_{k}") for k in by], F.col("__part").alias("__q"), F.col("__n").alias("__m"))
+    same = [F.col(k).eqNullSafe(F.col(f"__b_{k}")) for k in by]
+    starts = spans.join(before, [*same, F.col("__q") < F.col("__part")], "left").groupBy(*by, "__part").agg(
+        F.max("__first").alias("__first"), F.coalesce(F.sum("__m"), F.lit(0)).alias("__before"))
+    starts = starts.withColumnsRenamed({k: f"__b_{k}" for k in by} | {"__part": "__q"})
+    out = placed.join(starts, [*same, F.col("__q") == F.col("__part")])
+    return out.withColumn(name, F.col("__at") - F.col("__first") + F.col("__before") + 1).select(*df.columns, name)
+
+
 def report_template(spark, grids: dict[str, Sequence[str]]) -> DataFrame:
     """Row set of a report: every (variable, level) of the level lists, with its rank.
 

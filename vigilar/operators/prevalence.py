@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,6 +96,18 @@ def yearly_rate(counts: DataFrame) -> DataFrame:
     return counts.withColumn("rate", nl.ratio("n_resistant", "n_tested"))
 
 
+def yearly_line(counts: pd.DataFrame) -> pd.DataFrame:
+    """One group's least-squares line of the yearly percentage resistant: years, slope a year, share explained, year of the
+    highest percentage. For ``group_function`` over a tested/resistant table keyed by (ATB, year_real)."""
+    year, share = counts["year_real"].to_numpy(float), 100.0 * counts["n_resistant"].to_numpy(float) / counts["n_tested"].to_numpy(float)
+    x, y = year - year.mean(), share - share.mean()
+    spread, gain = x @ x, x @ y
+    slope = gain / spread if spread > 0 else np.nan
+    r2 = np.nan if spread == 0 else 1.0 if y @ y == 0 else slope * gain / (y @ y)
+    return pd.DataFrame({"ATB": counts["ATB"].iloc[:1].to_numpy(), "n_years": [len(counts)], "slope": [slope], "r2": [r2],
+                         "peak": [int(year[np.lexsort((year, -share))[0]])]})
+
+
 def grid_bin(perc: Column | str, bins: Sequence[tuple[str, int, int]]) -> Column:
     """Label of the bin holding the percentage; lower edges belong to the bin, and so does
     the last upper edge."""

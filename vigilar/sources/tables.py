@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -41,7 +41,7 @@ def read_decimal_comma(spark: SparkSession, path: str, schema: str | T.StructTyp
     schema = _schema(schema)
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
     raw = spark.read.csv(path, schema=text, sep=";", header=True, enforceSchema=False,
-                         nullValue="NA")
+                         nullValue="NA", escape='"')
     def typed(f: T.StructField):
         c = F.nullif(F.col(f.name), F.lit(""))
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
@@ -87,23 +87,43 @@ def stage(df: DataFrame, path: str, by: str | None = "year_real") -> DataFrame:
 
 
 def export_tsv(df: DataFrame, path: str) -> None:
-    """Tab-separated result with a header; nulls are empty fields."""
-    df.write.mode("overwrite").csv(path, sep="\t", header=True, nullValue="", emptyValue="")
+    """Tab-separated result with a header; nulls are empty fields, quotes inside a field are doubled."""
+    df.write.mode("overwrite").csv(path, sep="\t", header=True, nullValue="", emptyValue="", escape='"')
+
+
+def read_tsv(spark: SparkSession, path: str, schema: str | T.StructType, line_breaks: bool = False) -> DataFrame:
+    """What ``export_tsv`` wrote, typed; empty fields are null. With ``line_breaks`` fields may hold line ends, and a file is
+    then read by one task."""
+    return spark.read.csv(path, schema=_schema(schema), sep="\t", header=True, enforceSchema=False, nullValue="", emptyValue="",
+                          escape='"', multiLine=line_breaks)
+
+
+def export_decimal_comma(df: DataFrame, path: str) -> None:
+    """Semicolon-separated text with decimal commas and a header line; null is NA, as ``read_decimal_comma`` takes it."""
+    real = (T.DoubleType, T.FloatType, T.DecimalType)
+    text = [F.replace(F.col(f.name).cast("string"), F.lit("."), F.lit(",")).alias(f.name) if isinstance(f.dataType, real) else F.col(f.name)
+            for f in df.schema.fields]
+    df.select(*text).write.mode("overwrite").csv(path, sep=";", header=True, nullValue="NA", emptyValue="", escape='"')
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where it is unset, one in the warehouse, which all executors share as well."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/vigilar-shared"
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A folder of its own for one written table."""
+    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
+    """Reliable checkpoint in the shared folder.
 
     Used before iterating over a small aggregate, so losing an executor does not send the
-    iteration back to the full scan. A temporary folder serves local sessions only.
+    iteration back to the full scan.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="vigilar-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
