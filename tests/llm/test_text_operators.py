@@ -58,6 +58,27 @@ def test_near_dedup_on_planted_families(spark, seed):
     assert got == brute.near_components(dict(rows))
 
 
+def test_links_of_small_sets(spark):
+    """Pairs of 3 of 4, 6 of 8, 12 of 16 and 24 of 32 shingles: sketches of small sets repeat few values and may share no band."""
+    rng = random.Random(6)
+    rows = [(0, "w347266 w2890432 w8885348 w4612595 w5889406 w2260790 w5822290 w1200785"), (1, "w347266 w2890432 w8885348 w4612595 w5889406 w2260790 w5822290")]
+    for i in range(1, 4000):
+        n = (8, 12, 20, 36)[i % 4]
+        w = [f"w{rng.randrange(10 ** 7)}" for _ in range(n)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:-(n - 4) // 4]))]
+    got = by_id(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)))
+    assert [k for k, r in got.items() if r[1] != k // 2 * 2] == []
+
+
+def test_a_crowd_of_small_near_copies_meets_once(spark):
+    """Near copies of one short text are one component after the stars, so the exact join pairs none of them."""
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(30)]
+    rows = [(i, " ".join([*base, f"x{rng.randrange(10 ** 6)}"])) for i in range(1500)] + [(5000 + i, f"{i} " + " ".join(base[:7])) for i in range(40)]
+    got = by_id(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)))
+    assert got == brute.near_components(dict(rows))
+
+
 def test_near_dedup_edge_rows(spark):
     rows = [(1, "a b c d e f g"), (1, "other words that are here now"), (2, "A b c d e f g"), (3, "other words that are here now"),
             (None, "a b c d e f g"), (None, None)]

@@ -8,15 +8,27 @@ from pyspark.sql import functions as F
 from .shared import staged
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+HOT_SHARE = 200  # a node is hot from 1 / HOT_SHARE of all edges on, so there are at most twice as many hot nodes
+SALTS = 32
+
+
+def _beside_least(both: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
+    """``both`` (v, u) with the least node around v. The edges of hot nodes, a bounded number, are dealt out over salts."""
+    hot = least.filter(F.col("c") > max(1000, n_edges // HOT_SHARE)).select("v", F.lit(True).alias("hot"))
+    salted = both.join(F.broadcast(hot), "v", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int")).otherwise(0))
+    copies = F.when(F.col("c") > max(1000, n_edges // HOT_SHARE), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(least.select("v", "m", F.explode(copies).alias("salt")), ["v", "salt"]).select("v", "u", "m")
+
+
+def _star(edges: DataFrame, large: bool, n_edges: int) -> DataFrame:
     """One step on undirected edges (a > b). Large: links every greater neighbour of a node to the least node around it.
     Small: links a node and its smaller neighbours to the least of them."""
     if large:
         both = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).union(edges.select(F.col("b").alias("v"), F.col("a").alias("u")))
     else:
         both = edges.select(F.col("a").alias("v"), F.col("b").alias("u"))
-    least = both.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("m"))
-    linked = both.join(least, "v")
+    least = both.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("m"), F.count(F.lit(1)).alias("c"))
+    linked = _beside_least(both, least, n_edges)
     if large:
         out = linked.filter(F.col("u") > F.col("v")).select(F.col("u").alias("a"), F.col("m").alias("b"))
     else:
@@ -38,4 +50,4 @@ def component_labels(edges: DataFrame) -> DataFrame:
         if print_before == tuple(mark) or mark[0] == 0:
             return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
         print_before = tuple(mark)
-        now = staged(_star(_star(now, large=True), large=False), "components")
+        now = staged(_star(_star(now, True, mark[0]), False, mark[0]), "components")

@@ -2,7 +2,8 @@
 
 Candidates are star-shaped: every document of a bucket is paired with the bucket's least document only, so a bucket of
 n documents gives n - 1 pairs. Links are confirmed on the full shingle sets. Buckets that still hold more than one
-component afterwards go through an exact prefix join, so no link between different groups is lost to the stars.
+component afterwards go through an exact prefix join, so no link between different groups is lost to the stars. Sets of few
+shingles, whose sketches repeat few values, go through it in any case.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ from pyspark.sql import functions as F
 
 from .components import component_labels
 from .shared import staged
-from .textbytes import FOLDED_CODE, U, mix, row_slices, signed, text_bytes, word_hashes
+from .textbytes import U, mix, row_slices, signed, text_bytes, word_hashes
 
 WORDS = 5
-BANDS, ROWS = 40, 4  # a pair at similarity 0.75 shares no band with probability (1 - 0.75 ** 4) ** 40, under 3e-7
+BANDS, ROWS = 40, 4  # a pair at similarity 0.75 shares no band with probability (1 - 0.75 ** 4) ** 40, under 3e-7, where bins
+# are filled independently. Small sets fill few bins, so they do not rely on bands:
+FEW = 48  # sets with at most so many shingles all go through the exact join
 ATTEMPTS = 1024
 
 _RNG = np.random.default_rng(75)
@@ -31,7 +34,7 @@ _PROBE = _RNG.integers(0, BANDS * ROWS, (ATTEMPTS, BANDS * ROWS))
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct shingle hashes of all rows one after another, bounds of the rows)."""
-    words, _, _, bounds = word_hashes(buf, offsets, FOLDED_CODE)
+    words, _, _, bounds = word_hashes(buf, offsets, True)
     n = len(words)
     rolled = np.zeros(max(0, n - WORDS + 1), np.uint64)
     for k in range(WORDS):
@@ -129,13 +132,18 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
         .withColumn("place", F.col("n") - F.col("shared") + F.row_number().over(w))
     prefix = placed.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) \
         .select("node", "component", "n", "s", "place")
-    x, y = prefix.alias("x"), prefix.alias("y")
+    # a shingle pairs components first, so that sets of one component never meet
+    groups = prefix.select("s", "component").distinct()
+    x, y = groups.alias("x"), groups.alias("y")
+    meeting = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.component") < F.col("y.component"))) \
+        .select(F.col("x.s").alias("s"), F.col("x.component").alias("cx"), F.col("y.component").alias("cy"))
+    left = prefix.select("s", F.col("component").alias("cx"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"))
+    right = prefix.select("s", F.col("component").alias("cy"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
     # at the first shingle that a pair shares, what is left behind both places bounds the rest of the intersection
-    room = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + 1
-    return x.join(y, F.col("x.s") == F.col("y.s")).filter(
-        (F.col("x.component") < F.col("y.component")) & _close_sizes(F.col("x.n"), F.col("y.n"), percent)
-        & ((100 + percent) * room >= percent * (F.col("x.n") + F.col("y.n")))) \
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1
+    both = meeting.join(left, ["s", "cx"]).join(right, ["s", "cy"])
+    return both.filter(_close_sizes(F.col("na"), F.col("nb"), percent) & ((100 + percent) * room >= percent * (F.col("na") + F.col("nb")))) \
+        .select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -159,14 +167,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     stars = crowded.filter((F.col("node") != F.col("hub.node")) & _close_sizes(F.col("n"), F.col("hub.n"), percent)) \
         .select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
     stars = staged(stars, "near-stars")
-    wanted = crowded.select("node").distinct()
+    small = classes.filter(F.col("n") <= FEW).select(F.col("rep").alias("node"))
+    wanted = crowded.select("node").union(small).distinct()
     sets = staged(whole.join(wanted, "node", "left_semi").mapInArrow(_sets, "node long, shingles array<long>"), "near-sets")
     links = staged(confirmed(stars, sets, percent), "near-links")
     labels = component_labels(links)
     component = F.coalesce("label", "node").alias("component")
     placed = crowded.select("band", "node").join(labels, "node", "left").select("band", "node", component)
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
-    open_nodes = staged(placed.join(mixed, "band", "left_semi").select("node", "component").distinct(), "near-open")
+    open_small = small.join(labels, "node", "left").select("node", component)
+    open_nodes = staged(placed.join(mixed, "band", "left_semi").select("node", "component").union(open_small).distinct(), "near-open")
     more = staged(prefix_pairs(sets.join(open_nodes, "node"), percent), "near-prefix")
     links = links.union(confirmed(more, sets, percent)).union(copies.select(F.col("node").alias("a"), F.col("rep").alias("b")))
     final = component_labels(links)

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 
-from .textbytes import BLANK, U
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+U = np.uint64
 
 
 def spread(h: np.ndarray) -> np.ndarray:

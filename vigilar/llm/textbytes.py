@@ -8,15 +8,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLANK = np.zeros(256, bool)
-BLANK[[9, 10, 11, 12, 13, 32]] = True
-U = np.uint64
+from .slices import BLANK, LOWER, U, slice_hashes, word_bounds  # noqa: F401
+
 _SEED = np.random.default_rng(20240607)
 BASE = U(int(_SEED.integers(1 << 60)) * 2 + 0x9E3779B97F4A7C15 | 1)
 INVERSE = U(pow(int(BASE), -1, 1 << 64))
 BYTE_CODE = _SEED.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-FOLDED_CODE = BYTE_CODE.copy()
-FOLDED_CODE[65:91] = BYTE_CODE[97:123]
 PIECE = 1 << 19
 _tables: dict[str, np.ndarray] = {}
 
@@ -67,22 +64,6 @@ def row_slices(offsets: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, i
         i = j
 
 
-def _pieces(buf: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Byte ranges of about PIECE bytes that end after a blank, so no word is cut."""
-    at, n = 0, len(buf)
-    while at < n:
-        end = min(n, at + PIECE)
-        if end < n:
-            blank = np.flatnonzero(BLANK[buf[at:end]])
-            if len(blank):
-                end = at + int(blank[-1]) + 1
-            else:  # one word longer than a piece
-                while end < n and not BLANK[buf[end]]:
-                    end += 1
-        yield at, end
-        at = end
-
-
 def _stripped(inner: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     some = np.cumsum(inner)
     some = np.concatenate([[0], some])
@@ -99,35 +80,15 @@ def _stripped(inner: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarr
     return s, e
 
 
-def word_hashes(buf: np.ndarray, offsets: np.ndarray, code: np.ndarray = BYTE_CODE, core: np.ndarray | None = None) \
+def word_hashes(buf: np.ndarray, offsets: np.ndarray, fold: bool = False, core: np.ndarray | None = None) \
         -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end) of every word and the word index at which each row starts.
 
     ``offsets`` are the rows' bounds in ``buf``. A word is a longest run of bytes that are no blanks, within a row. With
-    ``core`` (a flag per byte value) words lose other bytes at both ends, and words without core bytes are left out.
+    ``fold`` A-Z count as a-z. With ``core`` (a flag per byte value) words lose other bytes at both ends, and words without
+    core bytes are left out.
     """
-    hashes, starts, ends = [], [], []
-    for lo, hi in _pieces(buf):
-        part = buf[lo:hi]
-        n = len(part)
-        solid = ~BLANK[part]
-        begin = solid.copy()
-        begin[1:] &= ~solid[:-1]
-        rows = offsets[np.searchsorted(offsets, lo, "left"):np.searchsorted(offsets, hi, "left")] - lo
-        begin[rows] = solid[rows]
-        stop = solid.copy()
-        stop[:-1] &= ~solid[1:] | begin[1:]
-        s, e = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-        if core is not None:
-            s, e = _stripped(core[part], s, e)
-        base, inverse = powers(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(code[part] * base[:n], out=sums[1:])
-        hashes.append(mix((sums[e] - sums[s]) * inverse[s]))
-        starts.append(s + lo)
-        ends.append(e + lo)
-    if not hashes:
-        none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, np.zeros(len(offsets), np.int64)
-    starts = np.concatenate(starts)
-    return np.concatenate(hashes), starts, np.concatenate(ends), np.searchsorted(starts, offsets)
+    start, end, _ = word_bounds(buf, offsets)
+    if core is not None:
+        start, end = _stripped(core[buf], start, end)
+    return slice_hashes(LOWER[buf] if fold else buf, start, end), start, end, np.searchsorted(start, offsets)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import FOLDED_CODE, U, mix, row_slices, signed, text_bytes, word_hashes
+from .textbytes import U, mix, row_slices, signed, text_bytes, word_hashes
 
 MAX_EXAMPLES = 12_000  # labelled rows that the index is fitted on, on average: a sample by a hash of their key
 TERMS = 256  # terms of the vocabulary
@@ -34,7 +34,7 @@ _LOWER[65:91] += U(32)
 
 def terms_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(term hash, row) of all words without outer punctuation, case folded, and of their prefixes; words per row."""
-    words, s, e, bounds = word_hashes(buf, offsets, FOLDED_CODE, _CORE)
+    words, s, e, bounds = word_hashes(buf, offsets, True, _CORE)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
     padded = np.concatenate([buf, np.zeros(8, np.uint8)])
     value, hashes, rows = np.zeros(len(s), np.uint64), [words], [row]
