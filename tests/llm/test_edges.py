@@ -161,6 +161,22 @@ def test_names_that_open_sentences_are_placeholders(spark):
     assert decontaminate.contaminated(docs, bench).count() == 0  # openers have to map one to one as well
 
 
+def test_longer_names_and_spelled_numbers_are_placeholders(spark):
+    item = "Tom has 5 apples. Sara has 3 pears. Tom gives Sara 2 apples. Sara eats 1 pear. Tom buys 4 more apples. How many apples does Tom have now?"
+    full = item.replace("Tom", "Mary Ann").replace("Sara", "Lee Roy")
+    spelled = item
+    for digit, word in zip("53214", ("five", "twenty-three", "two", "one hundred", "four")):
+        spelled = spelled.replace(digit, word)
+    walk = "The train runs 120 km in 2 h and then it waits for $4 and 1/2 of the riders at the gate of the old town"
+    tight = walk.replace("120 km", "95km").replace("2 h", "3h").replace("$4", "$17").replace("1/2", "½")
+    texts = [(1, full), (2, spelled), (3, "Here: " + full.replace("5", "seven")), (4, tight), (5, item.replace("Tom", "When Bob"))]
+    bench = spark.createDataFrame([(1, item), (2, walk)], BENCH)
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()}
+    assert {(1, 1), (2, 1), (3, 1), (4, 2)} <= set(got)
+    assert got[1, 1]["found"] == got[1, 1]["item_tokens"] == 29 and got[1, 1]["n_changed"] == 2
+    assert got[2, 1]["found"] == 29 and got[2, 1]["n_changed"] == 5 and got[4, 2]["found"] == got[4, 2]["item_tokens"]
+
+
 def test_items_without_template_windows_are_found_verbatim(spark):
     items = [(1, "What is 12 * 7 + 5 - 3 ?"), (2, "Add 3 5 8 13 21 34 55 89 144"), (3, "Sort 4 9 2 7 1"), (4, "Who wrote Anna Karenina?"), (5, "Photosynthesis?"),
              (6, "Ann Bea Cleo Dora Eve Fay Gail Hope Iris"), (7, "?!"), (8, "")]

@@ -6,6 +6,7 @@ Windows of too few ordinary words, and items shorter than a window, are joined o
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import FOLDED_CODE, U, mix, row_slices, signed, text_bytes, word_hashes
+from .textbytes import LOWER, U, mix, row_slices, signed, slice_hashes, text_bytes, word_hashes
 
 WINDOWS = (8, 5)  # template tokens; items with fewer than 8 are looked up by 5
 MIN_LITERALS = 3  # words in a window that are no placeholders; with fewer, only the very same words count
@@ -27,6 +28,15 @@ UNITS = ("km", "m", "cm", "mm", "miles", "mile", "feet", "ft", "inches", "inch",
          "s", "sec", "seconds", "second", "minutes", "minute", "min", "hours", "hour", "h", "days", "day", "weeks", "week", "months",
          "month", "years", "year", "dollars", "dollar", "euros", "euro", "cents", "percent", "degrees", "liters", "litres", "l", "ml")
 
+# fixed values: words that stand for a number, and words that open a sentence without being part of a name behind them
+NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen",
+                "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty",
+                "ninety", "hundred", "thousand", "million", "billion", "half", "quarter", "dozen", "twice")
+OPENERS = ("a", "an", "the", "this", "that", "these", "those", "in", "on", "at", "by", "for", "from", "to", "with", "after", "before", "when", "while",
+           "if", "as", "since", "until", "how", "what", "which", "who", "whose", "where", "why", "is", "are", "was", "were", "do", "does", "did", "can",
+           "could", "will", "would", "should", "and", "but", "or", "so", "then", "now", "there", "here", "it", "its", "his", "her", "their", "our", "my",
+           "your", "every", "each", "both", "all", "let", "suppose", "given", "find", "because", "although", "once", "today", "yesterday")
+
 _CORE = np.zeros(256, bool)
 _CORE[48:58] = _CORE[65:91] = _CORE[97:123] = _CORE[128:] = True
 _END = np.zeros(256, bool)
@@ -38,8 +48,18 @@ _NUMBER, _UNIT, _NAME = (U(int(x)) for x in _RNG.integers(1, 1 << 62, 3))
 _CAPITAL = np.array([c.isupper() or c.istitle() for c in map(chr, range(0x20000))])  # no letter beyond has case
 _SLOT = U(3)  # low bits of a filler; an opener that is taken as a name has the lowest bit 0
 _AT_ONCE = 1 << 20  # windows, with their variants
-_UNIT_BYTES = " ".join(UNITS).encode()
-_UNIT_HASHES = np.sort(word_hashes(np.frombuffer(_UNIT_BYTES, np.uint8), np.array([0, len(_UNIT_BYTES)]), FOLDED_CODE)[0])
+
+
+def _listed(words: tuple[str, ...]) -> np.ndarray:
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    return np.sort(word_hashes(raw, np.array([0, len(raw)]), True)[0])
+
+
+_UNIT_HASHES, _NUMBER_HASHES, _OPENER_HASHES = _listed(UNITS), _listed(NUMBER_WORDS), _listed(OPENERS)
+
+
+def _among(words: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    return listed[np.minimum(np.searchsorted(listed, words), len(listed) - 1)] == words
 
 
 def _capital(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,27 +72,91 @@ def _capital(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (code < len(_CAPITAL)) & _CAPITAL[np.minimum(code, len(_CAPITAL) - 1)], at + size
 
 
-def template(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word, template token, filler, opener, row bounds). Tokens are words without outer punctuation, case folded; a filler is the
-    hash of the word that a placeholder stands for, 0 at ordinary words.
+@dataclass
+class Template:
+    """Words of some rows, and the template tokens they make. Both have the rows' bounds."""
+    words: np.ndarray  # hashes
+    plain: np.ndarray  # of a word: no placeholder, and no opener of a sentence
+    slot: np.ndarray  # of a word: a placeholder, or part of one
+    word_bounds: np.ndarray
+    tokens: np.ndarray
+    fillers: np.ndarray  # hash of what a placeholder stands for, 0 at ordinary words
+    opener: np.ndarray
+    bounds: np.ndarray
+
+
+def _numbers_apart(buf: np.ndarray, offsets: np.ndarray, words: np.ndarray, s: np.ndarray, e: np.ndarray):
+    """Words such as 120km as a number and a unit: (hash, start, end)."""
+    digit = (buf >= 48) & (buf <= 57)
+    both = np.flatnonzero(digit[s] & ~digit[e - 1])
+    if not len(both):
+        return words, s, e
+    cut = e[both] - 1
+    loose = np.arange(len(both))
+    while len(loose):  # the tail without a digit; its units are short
+        loose = loose[~digit[cut[loose] - 1] & (e[both[loose]] - cut[loose] <= 8)]
+        cut[loose] -= 1
+    tail = slice_hashes(LOWER[buf], cut, e[both])
+    unit = _among(tail, _UNIT_HASHES) & digit[cut - 1]
+    both, cut, tail = both[unit], cut[unit], tail[unit]
+    words = words.copy()
+    words[both] = slice_hashes(LOWER[buf], s[both], cut)
+    ends = e.copy()
+    ends[both] = cut
+    return np.insert(words, both + 1, tail), np.insert(s, both + 1, cut), np.insert(ends, both + 1, e[both])
+
+
+def _spelled(buf: np.ndarray, words: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Whether a word is a number word, or two of them with a hyphen between."""
+    out = _among(words, _NUMBER_HASHES)
+    hyphen = np.flatnonzero(buf == 45)
+    of = np.searchsorted(s, hyphen, "right") - 1
+    inside = (of >= 0) & (hyphen + 1 < e[of]) & (hyphen > s[of])
+    hyphen, of = hyphen[inside], of[inside]
+    if len(of):
+        low = LOWER[buf]
+        out[of] |= _among(slice_hashes(low, s[of], hyphen), _NUMBER_HASHES) & _among(slice_hashes(low, hyphen + 1, e[of]), _NUMBER_HASHES)
+    return out
+
+
+def template(buf: np.ndarray, offsets: np.ndarray) -> Template:
+    """Tokens are words without outer punctuation, case folded; 120km is two of them.
 
-    Number: starts with a digit. Unit: one of UNITS behind a number. Name: a capital, then no capital, not at the start of a
-    sentence or line. There, such a word may be a name or not: it stays an ordinary word and is marked as an opener.
+    Number: starts with a digit or is one as a character (a half) or word; number words in a row are one token. Unit: one of
+    UNITS behind a number. Name: a capital, then no capital, not at the start of a sentence or line; names in a row are one
+    token, together with a word ahead of them that opens the sentence, unless that is one of OPENERS. Any other capitalised
+    word that opens a sentence may be a name or not: it stays an ordinary word and is marked as an opener.
     """
-    words, s, e, bounds = word_hashes(buf, offsets, FOLDED_CODE, _CORE)
+    words, s, e, _ = word_hashes(buf, offsets, True, _CORE)
+    words, s, e = _numbers_apart(buf, offsets, words, s, e) if len(words) else (words, s, e)
+    bounds = np.searchsorted(s, offsets)
     if not len(words):
-        return words, words, words, np.zeros(0, bool), bounds
-    first = buf[s]
-    number = (first >= 48) & (first <= 57)
-    unit = np.append(False, number[:-1]) & (_UNIT_HASHES[np.minimum(np.searchsorted(_UNIT_HASHES, words), len(_UNIT_HASHES) - 1)] == words)
-    fresh = np.append(True, _END[buf[np.minimum(e[:-1], len(buf) - 1)]] | (buf[s[1:] - 1] == 10))
-    fresh[bounds[:-1][bounds[:-1] < len(s)]] = True
+        none = np.zeros(0, bool)
+        return Template(words, none, none, bounds, words, words, none, bounds)
+    first, second_byte = buf[s], buf[np.minimum(s + 1, len(buf) - 1)]
+    spelled = _spelled(buf, words, s, e)
+    fraction = (first == 0xC2) & (second_byte >= 0xBC) & (second_byte <= 0xBE) | (first == 0xE2) & (second_byte == 0x85)
+    number = (first >= 48) & (first <= 57) | spelled | fraction
+    unit = np.append(False, number[:-1]) & _among(words, _UNIT_HASHES)
+    line = np.zeros(len(s), bool)  # first word of a row
+    line[bounds[:-1][bounds[:-1] < len(s)]] = True
+    fresh = line | np.append(True, _END[buf[np.minimum(e[:-1], len(buf) - 1)]] | (buf[s[1:] - 1] == 10))
     capital, second = _capital(buf, s)
-    capital &= ~((second < e) & _capital(buf, second)[0]) & ~unit
-    name = capital & ~fresh
+    capital &= ~((second < e) & _capital(buf, second)[0]) & ~unit & ~number
+    name, opener = capital & ~fresh, capital & fresh
     slot = number | unit | name
-    tokens = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, words)))
-    return words, tokens, np.where(slot, words | _SLOT, U(0)), capital & fresh, bounds
+    # a placeholder goes on in the next word
+    close = np.append(False, s[1:] == e[:-1] + 1) & ~fresh  # nothing but one character between, so no comma and a blank
+    leading = opener & np.append((name & close)[1:], False) & ~_among(words, _OPENER_HASHES)
+    goes_on = close & (name & np.append(False, (name | leading)[:-1]) | spelled & np.append(False, spelled[:-1]))
+    starts = np.flatnonzero(~goes_on)
+    size = np.diff(np.append(starts, len(words)))
+    place = np.arange(len(words)) - np.repeat(starts, size)
+    joined = np.add.reduceat(mix(words + place.astype(np.uint64) * U(0x9E3779B97F4A7C15)), starts)
+    filler = np.where(size > 1, joined, words[starts]) | _SLOT
+    kind = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name | leading, _NAME, words)))[starts]
+    held = (slot | leading)[starts]
+    return Template(words, ~slot & ~opener, slot, bounds, kind, np.where(held, filler, U(0)), (opener & ~leading)[starts], np.searchsorted(s[starts], offsets))
 
 
 def template_windows(tokens: np.ndarray, fillers: np.ndarray, opener: np.ndarray, bounds: np.ndarray, width: int) \
@@ -120,26 +204,31 @@ def _rows(wanted: np.ndarray | None, exact_widths: Iterable[int] = ()):
         for batch in batches:
             buf, offsets = text_bytes(batch.column(1))
             for i, j in row_slices(offsets):
-                words, tokens, fillers, opener, bounds = template(buf[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
-                sizes = np.diff(bounds)
-                plain = np.concatenate([[0], np.cumsum((fillers == 0) & ~opener)])
+                t = template(buf[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+                plain = np.concatenate([[0], np.cumsum(t.plain)])
                 widths = exact_widths if wanted is not None else (*WINDOWS, *range(1, min(WINDOWS)))
-                parts = chain(((width, False, part) for width in WINDOWS for part in template_windows(tokens, fillers, opener, bounds, width)),
-                              ((width, True, exact_windows(words, bounds, width)) for width in widths))
+                parts = chain(((width, False, part) for width in WINDOWS for part in template_windows(t.tokens, t.fillers, t.opener, t.bounds, width)),
+                              ((width, True, exact_windows(t.words, t.word_bounds, width)) for width in widths))
                 for width, exact, (h, at, taken) in parts:
+                    bounds = t.word_bounds if exact else t.bounds
+                    sizes = np.diff(bounds)
                     row = np.searchsorted(bounds, at, "right") - 1
                     if wanted is not None:
                         bit = (h & U((1 << FILTER_BITS) - 1)).astype(np.int64)
                         ok = (wanted[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
                     else:  # a benchmark item goes by its widest window
                         ok = width == np.where(sizes[row] >= WINDOWS[0], WINDOWS[0], np.minimum(sizes[row], WINDOWS[1]))
-                        ok &= (not exact) | (width < min(WINDOWS)) | (plain[at + width] - plain[at] < MIN_LITERALS)
+                        if exact and width >= min(WINDOWS):
+                            ok &= plain[at + width] - plain[at] < MIN_LITERALS
                     h, at, row, taken = h[ok], at[ok], row[ok], taken[ok]
                     spread = at[:, None] + np.arange(width)
-                    named = (taken[:, None] >> np.arange(width)) & 1 > 0
-                    slots = np.where(named, (tokens[spread] | _SLOT) ^ U(1), fillers[spread])
                     if exact and wanted is not None:  # what is a name there may be written small here
-                        slots = words[spread] | _SLOT
+                        slots = t.words[spread] | _SLOT
+                    elif exact:
+                        slots = np.where(t.slot[spread], t.words[spread] | _SLOT, U(0))
+                    else:
+                        named = (taken[:, None] >> np.arange(width)) & 1 > 0
+                        slots = np.where(named, (t.tokens[spread] | _SLOT) ^ U(1), t.fillers[spread])
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * width), signed(slots.ravel()))
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(pa.array(row + i)), pa.array((at - bounds[row]).astype(np.int64)), signed(h),
