@@ -1,10 +1,12 @@
-"""Quality rules as weak supervision: rules vote or abstain, expectation-maximisation estimates how often each rule
-votes on good and on bad texts, and the posterior probability of quality decides. DataFrame functions only.
+"""Quality rules as weak supervision: rules vote good, bad or abstain, expectation-maximisation estimates how often each
+rule votes so on good and on bad texts, and the posterior probability of quality decides. DataFrame functions only.
+
+Rules overlap: what one takes for junk another one sees as well, from another side, and most vote good where they see none.
+So a rule whose bad votes the others contradict weighs little, and a lone wrong vote is overruled.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -26,21 +28,24 @@ class Rule:
     good: str
 
 
-BELIEVED = 0.9  # share of a rule's votes that is taken to be right before anything is seen, as heavy as the votes themselves
-
-#: Most rules know one kind of junk and abstain on everything else; two see signs of running text.
+#: Each rule knows a range that is sure to be junk or prose, and abstains in between.
 RULES = (
-    Rule("symbols", "10 * n_symbols > n_words", "FALSE"),
-    Rule("marks", "10 * n_marks > n_words", "FALSE"),
-    Rule("capitals", "2 * n_upper > n_letters", "FALSE"),
-    Rule("letters", "2 * n_letters < word_chars", "FALSE"),
-    Rule("lines", "10 * n_dup_lines > 6 * n_lines", "FALSE"),
-    Rule("repeats", "10 * n_repeat_words > 3 * n_words", "FALSE"),
-    Rule("length", "FALSE", "n_words >= 80"),
-    Rule("plain", "FALSE", "n_symbols = 0 AND n_marks = 0 AND 5 * n_upper <= n_letters"),
-    Rule("words", "word_chars > 15 * n_words OR word_chars < 2 * n_words", "FALSE"),
+    Rule("symbols", "10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
+    Rule("letters", "100 * n_letters < 90 * word_chars", "100 * n_letters >= 95 * word_chars"),
+    Rule("words", "word_chars > 7 * n_words OR word_chars < 4 * n_words", "10 * word_chars >= 45 * n_words AND 10 * word_chars <= 65 * n_words"),
+    Rule("marks", "10 * n_marks > n_words", "25 * n_marks <= n_words"),
+    Rule("capitals", "2 * n_upper > n_letters", "5 * n_upper <= n_letters"),
+    Rule("lines", "10 * n_dup_lines > 2 * n_lines", "n_dup_lines = 0"),
+    Rule("repeats", "10 * n_repeat_words > n_words", "50 * n_repeat_words <= n_words"),
+    Rule("length", "n_words < 80", "n_words >= 100"),
 )
 
+#: Where the estimation starts: odds of a good text, of a good vote and of a bad vote.
+START = (9.0, 1.25, 10.0)
+#: Pseudo-votes of every rule among ten pseudo-texts of each class: good votes on good and bad texts, bad votes on bad and good
+#: texts. They keep a rule from turning around and weigh nothing against thousands of texts.
+PSEUDO = (5.0, 4.0, 4.0, 0.4)
+
 
 def _without(text: Column, characters: str) -> Column:
     return F.translate(text, characters, "")
@@ -106,42 +111,55 @@ def vote(rule: Rule) -> Column:
     return F.expr(f"CASE WHEN {rule.bad} THEN -1 WHEN {rule.good} THEN 1 ELSE 0 END").cast("byte").alias(f"vote_{rule.name}")
 
 
-def fit_rules(patterns: DataFrame, names: list[str], steps: int = STEPS) -> tuple[float, dict[str, tuple[float, float]]]:
-    """(prior of quality, {rule: (weight of a good vote, weight of a bad vote)}) from counted vote patterns.
+def _posterior(weights: Column, votes: Column) -> Column:
+    """Probability of quality: ``weights`` are the log odds of a good text, then of each rule's good vote, then of its bad vote;
+    ``votes`` has 1 for every good vote cast, then -1 for every bad vote cast, else 0."""
+    cast = F.zip_with(votes, F.slice(weights, 2, F.size(votes)), lambda v, w: v * w)
+    return 1 / (1 + F.exp(-F.aggregate(cast, F.get(weights, 0), lambda s, x: s + x)))
+
+
+def cast_votes(names: list[str]) -> Column:
+    sides = [(n, side) for side in (1, -1) for n in names]
+    return F.array(*[F.when(F.col(f"vote_{n}") == side, float(side)).otherwise(0.0) for n, side in sides])
+
 
-    A weight is how much likelier the vote is on texts of its side than on the others, at least 1, so a rule never turns
-    around; an abstention weighs nothing. The start believes every bad vote, and its share of good texts stays the prior:
-    rules that fail on different texts would otherwise let the classes drift. A step re-estimates the vote rates from the
-    posteriors, with each bad vote also counted once at BELIEVED, and one pseudo-vote of each kind. Only 4 sums per rule reach the driver; the pattern table has at most
-    3 ** rules rows.
+def _reestimated(sums: Column, all_: Column, rules: int) -> Column:
+    """New weights from ``sums`` (good texts, then good texts by vote) and ``all_`` (the same of all texts)."""
+    good, bad = F.get(sums, 0), F.get(all_, 0) - F.get(sums, 0)
+    weights = [F.log((good + 1) / (bad + 1))]
+    for j in range(1, 2 * rules + 1):
+        with_good, with_bad = F.get(sums, j), F.get(all_, j) - F.get(sums, j)
+        if j <= rules:
+            odds = ((with_good + PSEUDO[0]) / (good + 10)) / ((with_bad + PSEUDO[1]) / (bad + 10))
+        else:
+            odds = ((with_bad + PSEUDO[2]) / (bad + 10)) / ((with_good + PSEUDO[3]) / (good + 10))
+        weights.append(F.log(odds))
+    return F.array(*weights)
+
+
+def fit_rules(voted: DataFrame, names: list[str], steps: int = STEPS) -> DataFrame:
+    """One row ``weights`` (see ``_posterior``) from the votes on texts.
+
+    The votes are counted by pattern, at most 3 ** rules of them whatever the number of texts, and the steps are a fold over
+    that short list, so all of them are one job. A step takes the posterior of every pattern, counts the votes on
+    texts of each class by it and re-estimates the share of good texts and every rule's two vote rates.
     """
-    votes = [F.col(f"vote_{n}") for n in names]
-    posterior = F.when(F.least(*votes) < 0, 0.1).otherwise(0.9)
-    prior, weights = 0.5, {n: (1.0, 1.0) for n in names}
-    for step in range(steps):
-        q = patterns.withColumn("q", posterior)
-        sums = q.agg(F.sum(F.col("n") * F.col("q")).alias("good"), F.sum(F.col("n") * (1 - F.col("q"))).alias("bad"), *[
-            F.sum(F.when(v == side, F.col("n") * (F.col("q") if y else 1 - F.col("q"))).otherwise(0.0)).alias(f"{name}_{side}_{y}")
-            for name, v in zip(names, votes) for side in (1, -1) for y in (1, 0)]).first()
-        if sums["good"] is None:
-            return prior, weights
-        good, bad = sums["good"], sums["bad"]
-        prior = min(0.999, max(0.001, good / (good + bad))) if step == 0 else prior
-
-        def rate(name: str, side: int, y: int) -> float:
-            believed = (sums[f"{name}_-1_1"] + sums[f"{name}_-1_0"]) * (1 - BELIEVED if y else BELIEVED) if side < 0 else 0.0
-            return (sums[f"{name}_{side}_{y}"] + believed + 1) / ((good if y else bad) + 3)
-        weights = {n: (max(1.0, rate(n, 1, 1) / rate(n, 1, 0)), max(1.0, rate(n, -1, 0) / rate(n, -1, 1))) for n in names}
-        posterior = quality_probability(prior, weights)
-    return prior, weights
-
-
-def quality_probability(prior: float, weights: dict[str, tuple[float, float]]) -> Column:
-    odds = F.lit(math.log(prior / (1 - prior)))
-    for name, (for_good, for_bad) in weights.items():
-        v = F.col(f"vote_{name}")
-        odds = odds + F.when(v == 1, math.log(for_good)).when(v == -1, -math.log(for_bad)).otherwise(0.0)
-    return 1 / (1 + F.exp(-odds))
+    rules = len(names)
+    counted = voted.groupBy(*[f"vote_{n}" for n in names]).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    patterns = counted.agg(F.sort_array(F.collect_list(F.struct(cast_votes(names).alias("votes"), "n"))).alias("patterns"))
+    zero = F.array(*[F.lit(0.0)] * (2 * rules + 1))
+
+    def added(rows: Column, weight) -> Column:
+        return F.aggregate(rows, zero, lambda s, r: F.zip_with(
+            s, F.concat(F.array(F.lit(1.0)), F.transform(r["votes"], F.abs)), lambda a, b: a + b * weight(r)))
+
+    def step(weights: Column) -> Column:
+        judged = F.transform("patterns", lambda r: F.struct(r["votes"].alias("votes"), (r["n"] * _posterior(weights, r["votes"])).alias("n")))
+        return F.get(F.transform(F.array(added(judged, lambda r: r["n"])), lambda sums: _reestimated(sums, F.col("all"), rules)), 0)
+
+    start = [F.log(F.lit(x)) for x in (START[0], *[START[1]] * rules, *[START[2]] * rules)]
+    whole = patterns.select("patterns", added(F.col("patterns"), lambda r: r["n"]).alias("all"))
+    return whole.select(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.array(*start), lambda w, i: step(w)).alias("weights"))
 
 
 def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES,
@@ -156,10 +174,8 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", rule
     measured = with_measures(docs.select(F.col(key), F.col(text).alias("__body")), "__body").drop("__body")
     voted = staged(measured.select("*", *[vote(r) for r in rules]), "quality-votes")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    judged = voted.filter(~failed)  # rules are only asked about texts that pass the base
-    patterns = staged(judged.groupBy(*[f"vote_{n}" for n in names]).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "quality-patterns")
-    prior, weights = fit_rules(patterns, names, steps)
-    quality = quality_probability(prior, weights)
-    return voted.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-                        (~failed & (quality >= threshold)).alias("kept"), F.round(quality, 4).alias("quality"),
-                        *[f"vote_{n}" for n in names])
+    weights = fit_rules(voted.filter(~failed), names, steps).scalar()  # rules are only asked about texts that pass the base
+    judged = voted.withColumn("__weights", weights).withColumn("__quality", _posterior(F.col("__weights"), cast_votes(names)))
+    return judged.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+                         (~failed & (F.col("__quality") >= threshold)).alias("kept"), F.round("__quality", 4).alias("quality"),
+                         *[f"vote_{n}" for n in names])

@@ -39,20 +39,21 @@ def _quality_sql(steps: int = quality.STEPS) -> str:
     names = [r.name for r in quality.RULES]
     votes = ", ".join(f"CASE WHEN {r.bad} THEN -1 WHEN {r.good} THEN 1 ELSE 0 END AS vote_{r.name}" for r in quality.RULES)
     counted = ", ".join(f"vote_{n}" for n in names)
-    least = ", ".join(f"vote_{n}" for n in names)
-    weight, total = {1: "q", 0: "(1 - q)"}, {1: "sum(n * q)", 0: "sum(n * (1 - q))"}
+    good_good, good_bad, bad_bad, bad_good = quality.PSEUDO
 
-    def rate(n, side, y):
-        believed = f"{1 - quality.BELIEVED if y else quality.BELIEVED} * sum(CASE WHEN vote_{n} = -1 THEN n ELSE 0 END)" if side < 0 else "0"
-        return f"((sum(CASE WHEN vote_{n} = {side} THEN n * {weight[y]} ELSE 0 END) + {believed} + 1) / ({total[y]} + 3))"
-    parts = [f"q0 AS MATERIALIZED (SELECT *, CASE WHEN least({least}) < 0 THEN 0.1 ELSE 0.9 END AS q FROM patterns)"]
-    odds = "ln(prior / (1 - prior)) + " + " + ".join(
-        f"CASE vote_{n} WHEN 1 THEN ln(s_{n}) WHEN -1 THEN -ln(t_{n}) ELSE 0 END" for n in names)
+    def tally(n, side, q):
+        return f"coalesce(sum(n * {q}) FILTER (vote_{n} = {side}), 0)"
+
+    def posterior(table):
+        odds = f"{table}.l0 + " + " + ".join(f"CASE vote_{n} WHEN 1 THEN {table}.s_{n} WHEN -1 THEN -{table}.t_{n} ELSE 0 END" for n in names)
+        return f"1 / (1 + exp(-({odds})))"
+    parts = ["f0 AS (SELECT " + ", ".join([f"ln({quality.START[0]}) AS l0", *[f"ln({quality.START[1]}) AS s_{n}, ln({quality.START[2]}) AS t_{n}" for n in names]]) + ")"]
     for k in range(steps):
-        parts.append(f"f{k} AS MATERIALIZED (SELECT " + (f"least(0.999, greatest(0.001, {total[1]} / ({total[1]} + {total[0]})))" if k == 0 else "(SELECT prior FROM f0)") + " AS prior, " + ", ".join(
-            f"greatest(1.0, {rate(n, 1, 1)} / {rate(n, 1, 0)}) AS s_{n}, greatest(1.0, {rate(n, -1, 0)} / {rate(n, -1, 1)}) AS t_{n}"
+        parts.append(f"q{k} AS MATERIALIZED (SELECT patterns.*, {posterior(f'f{k}')} AS q FROM patterns CROSS JOIN f{k})")
+        parts.append(f"f{k + 1} AS MATERIALIZED (SELECT ln((coalesce(sum(n * q), 0) + 1) / (coalesce(sum(n * (1 - q)), 0) + 1)) AS l0, " + ", ".join(
+            f"ln((({tally(n, 1, 'q')} + {good_good}) / (coalesce(sum(n * q), 0) + 10)) / (({tally(n, 1, '(1 - q)')} + {good_bad}) / (coalesce(sum(n * (1 - q)), 0) + 10))) AS s_{n}, "
+            f"ln((({tally(n, -1, '(1 - q)')} + {bad_bad}) / (coalesce(sum(n * (1 - q)), 0) + 10)) / (({tally(n, -1, 'q')} + {bad_good}) / (coalesce(sum(n * q), 0) + 10))) AS t_{n}"
             for n in names) + f" FROM q{k})")
-        parts.append(f"q{k + 1} AS MATERIALIZED (SELECT patterns.*, 1 / (1 + exp(-({odds}))) AS q FROM patterns CROSS JOIN f{k})")
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
@@ -74,7 +75,7 @@ b AS MATERIALIZED (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words
 patterns AS MATERIALIZED (SELECT {counted}, CAST(count(*) AS DOUBLE) AS n FROM b WHERE NOT failed GROUP BY ALL),
 {", ".join(parts)}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed, NOT failed AND q >= 0.5 AS kept,
-  round(q, 4) AS quality FROM (SELECT *, 1 / (1 + exp(-({odds}))) AS q FROM b CROSS JOIN f{steps - 1})
+  round(q, 4) AS quality FROM (SELECT b.*, {posterior(f'f{steps}')} AS q FROM b CROSS JOIN f{steps})
 """
 
 
