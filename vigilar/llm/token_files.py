@@ -24,16 +24,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import new_folder, staged
-from .textbytes import BYTE_CODE, mix, powers, text_bytes
+from .textbytes import text_bytes
 
 MAGIC = b"VGTOK1\0\0"
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = "byte_bpe_50k.json"  # of public_tokenizers; a path of its own goes as it is
 END_ID = 2
 CHUNK = 1 << 22  # ids
 BLOCKS = 1024  # of a full chunk
 MIN_BLOCK = 1024  # ids; smaller chunks have fewer blocks
 ENCODE_BYTES = 1 << 22  # text bytes whose pieces are told apart at once
 PIECES_AT_ONCE = 1 << 14  # handed to the tokenizer together; its results take far more room than ids
+JOINED_BYTES = 1 << 16  # of pieces that go through the tokenizer as one string
 KNOWN_PIECES = 2_000_000  # whose ids a Python worker remembers; beyond that it starts anew
 K1, K2 = 10, 11  # bits of the tables of order 1 and 2, for each block
 MIX_BITS, ZERO_BITS = 11, 17
@@ -220,65 +221,118 @@ def cut_places(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of whole texts from the tokenizers library. Pieces are told apart by hash; each is encoded once and remembered."""
+    """Ids of whole texts from the tokenizers library, with its defaults. A piece is encoded once and remembered by its text.
+
+    Pieces that begin with a space and end without one keep their ids next to each other, so new ones go through the library
+    joined to long strings; the bytes that ids stand for tell where a piece ends. Others go alone, and a text that holds the
+    string of an added token goes whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.id_bytes = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.id_bytes[i] = len(token)  # the vocabulary writes every byte as one character
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.at, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self.known: dict[bytes, int] = {}
+        self.at, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        """Encodes new pieces and merges them into the sorted memory."""
-        flat, size = [self.flat], []
+    def _alone(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each piece)."""
+        flat, size = [np.zeros(0, np.uint32)], []
         for i in range(0, len(pieces), PIECES_AT_ONCE):
-            lists = [e.ids for e in self.tokenizer.encode_batch(pieces[i:i + PIECES_AT_ONCE], add_special_tokens=False)]
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces[i:i + PIECES_AT_ONCE]], add_special_tokens=False)]
             size += map(len, lists)
             flat.append(np.fromiter(itertools.chain.from_iterable(lists), np.uint32))
-        size = np.array(size, np.int32)
-        at = len(self.flat) + np.cumsum(size, dtype=np.int64) - size
-        place = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.size = np.insert(self.keys, place, keys), np.insert(self.at, place, at), np.insert(self.size, place, size)
-        self.flat = np.concatenate(flat)
+        return np.concatenate(flat), np.array(size, np.int64)
+
+    def _joined(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        flat, size, ends = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], np.cumsum([len(p) for p in pieces])
+        first = 0
+        while first < len(pieces):
+            behind = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + JOINED_BYTES)))
+            part = pieces[first:behind]
+            ids = np.array(self.tokenizer.encode_batch_fast([b"".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            stop = ends[first:behind] - (ends[first - 1] if first else 0)
+            reached = np.cumsum(self.id_bytes[ids])
+            upto = np.searchsorted(reached, stop) + 1
+            if (reached[np.minimum(upto - 1, len(reached) - 1)] == stop).all():
+                flat.append(ids)
+                size.append(np.diff(upto, prepend=0))
+            else:  # an id reaches over a piece's end
+                alone = self._alone(part)
+                flat.append(alone[0])
+                size.append(alone[1])
+            first = behind
+        return np.concatenate(flat), np.concatenate(size)
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        regular = [len(p) > 1 and p[0] == 32 and _SOLID[p[1]] and (_SOLID[p[-1]] or p[-1] >= 128) for p in pieces]
+        for wanted, encode in ((True, self._joined), (False, self._alone)):
+            mine = [p for p, r in zip(pieces, regular) if r == wanted]
+            if mine:
+                ids, size = encode(mine)
+                self.known.update(zip(mine, range(len(self.at), len(self.at) + len(mine))))
+                self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(size) - size])
+                self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, ids])
 
     def ids(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows one after another, number of ids of each row)."""
         start = cut_places(buf, offsets)
         if not len(start):
             return np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
+        raw = buf.tobytes()
+        for token in self.added:
+            start = _uncut(start, offsets, raw, token)
         stop = np.append(start[1:], len(buf))
-        base, inverse = powers(len(buf) + 1)
-        sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(BYTE_CODE[buf] * base[:len(buf)], out=sums[1:])
-        keys, first, piece = np.unique(mix((sums[stop] - sums[start]) * inverse[start]), return_index=True, return_inverse=True)
-        if len(self.keys) > KNOWN_PIECES:
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(start, len(buf))), pa.py_buffer(raw)]).dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
+        if len(self.known) > KNOWN_PIECES:
             self.forget()
-        place = np.searchsorted(self.keys, keys)
-        new = np.ones(len(keys), bool)
-        inside = place < len(self.keys)
-        new[inside] = self.keys[place[inside]] != keys[inside]
-        if new.any():
-            raw = buf.tobytes()
-            self.learn(keys[new], [raw[a:b].decode() for a, b in zip(start[first[new]].tolist(), stop[first[new]].tolist())])
-            place = np.searchsorted(self.keys, keys)
-        at, size = self.at[place][piece], self.size[place].astype(np.int64)[piece]
+        new = [p for p in distinct if p not in self.known]
+        if new:
+            self._learn(new)
+        slot = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[pieces.indices.to_numpy()]
+        at, size = self.at[slot], self.size[slot]
         ends = np.cumsum(size)
         out = self.flat[np.arange(ends[-1]) - np.repeat(ends - size - at, size)].astype(np.int64)
         bounds = np.concatenate([[0], ends])[np.searchsorted(start, offsets)]
         return out, np.diff(bounds)
 
 
+def _uncut(start: np.ndarray, offsets: np.ndarray, raw: bytes, token: bytes) -> np.ndarray:
+    """The cut places without those inside rows that hold the token."""
+    rows, at = [], raw.find(token)
+    while at >= 0:
+        rows.append(at)
+        at = raw.find(token, at + 1)
+    if not rows:
+        return start
+    row = np.unique(np.searchsorted(offsets, rows, "right") - 1)
+    inside = np.isin(np.searchsorted(offsets, start, "right") - 1, row) & ~np.isin(start, offsets[row])
+    return start[~inside]
+
+
 _encoders: dict[str, Encoder] = {}  # of this Python worker, which serves task after task
 
 
-def _encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def tokenizer_path(name: str) -> str:
+    """A tokenizer file: a path, or the name of one of the public ones."""
+    if os.sep in name:
+        return name
+    import public_tokenizers
+    return str(public_tokenizers.path(name))
+
+
+def _encoder(name: str) -> Encoder:
+    if name not in _encoders:
+        _encoders[name] = Encoder(tokenizer_path(name))
+    return _encoders[name]
 
 
 def _with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
