@@ -5,8 +5,10 @@ import hashlib
 import random
 import zlib
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from vigilar.llm import chat, decontaminate, language, mixing, near_dedup, quality, suffix_dedup, token_files, toxicity, warc
@@ -204,9 +206,16 @@ def test_near_stage_keeps_other_texts_of_an_id(spark):
         assert sorted(map(str, map(tuple, got))) == sorted(map(str, rows[1:4]))
 
 
+def test_near_stage_with_columns_that_have_no_order(spark):
+    docs = spark.sql("SELECT * FROM VALUES (1, 'a b c d e f g', map('x', 1)), (1, 'a b c d e f g', map('x', 2)), (2, 'A b c d e f g', NULL), "
+                     "(3, NULL, map('y', 3)) AS t(doc_id, text, tags)")
+    got = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted((r["doc_id"], r["tags"]) for r in got) == [(1, {"x": 1}), (3, {"y": 3})]
+
+
 def test_token_files(spark, docs, empty, rows, tmp_path):
     got = token_files.token_round_trip(docs).orderBy("start").collect()
-    encoder = token_files.Encoder(token_files.TOKENIZER).tokenizer
+    encoder = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
     want = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is not None, r[0] or 0))
     assert [r["doc_id"] for r in got] == [w[0] for w in want]
     at = 0
@@ -222,6 +231,19 @@ def test_token_files(spark, docs, empty, rows, tmp_path):
     assert token_files.token_round_trip(empty).count() == 0
 
 
+def test_special_strings_and_structured_texts_have_the_tokenizers_ids(spark):
+    """The string of an added token, and two texts whose polynomial hashes agree."""
+    a = "a"
+    while len(a) < 256:
+        a += a.translate(str.maketrans("ab", "ba"))
+    texts = [a, a.translate(str.maketrans("ab", "ba")), "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> y\n<|endoftext|>\nz"]
+    plain = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    got = token_files.token_round_trip(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        ids = [*plain.encode(texts[r["doc_id"]], add_special_tokens=False).ids, token_files.END_ID]
+        assert (r["n_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids)))
+
+
 def test_range_coder(monkeypatch):
     import numpy as np
     rng = np.random.default_rng(0)
@@ -243,7 +265,8 @@ def test_range_coder(monkeypatch):
 
 def test_pieces_have_ids_of_their_own():
     import numpy as np
-    encoder, rng = token_files.Encoder(token_files.TOKENIZER), random.Random(6)
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder, plain, rng = token_files.Encoder(path), Tokenizer.from_file(path), random.Random(6)
     pool = ["a", "é", " ", "\n", "\t", "'s", "7", " ", "　", ".", "<|endoftext|>", "日", "  ", "\r\n", " ", "ß"]
     texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(0, 25))) for _ in range(1500)]
     raw = [t.encode() for t in texts]
@@ -251,7 +274,7 @@ def test_pieces_have_ids_of_their_own():
     ids, counts = encoder.ids(np.frombuffer(b"".join(raw), np.uint8), offsets)
     ends = np.cumsum(counts)
     for t, e, c in zip(texts, ends, counts):
-        assert ids[e - c:e].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+        assert ids[e - c:e].tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 @pytest.mark.parametrize("compression", ["gzip", "none"])

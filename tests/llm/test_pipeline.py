@@ -5,7 +5,9 @@ import zlib
 
 import brute
 import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 from vigilar.llm import token_files
 from vigilar.llm.queries import QUERIES
 from vigilar.llm.shared import documents
@@ -54,7 +56,7 @@ def test_pipeline_equals_its_stages(spark):
     near = brute.near_components({r["doc_id"]: r["text"] for r in docs.collect()})
     assert {r["doc_id"] for r in rows} <= {k for k, v in near.items() if v[2]}
     out = corpus_pipeline.run(spark, SF).orderBy("start").collect()
-    encoder = token_files.Encoder(token_files.TOKENIZER).tokenizer
+    encoder = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
     at = 0
     for r, o in zip(sorted(rows, key=lambda r: r["doc_id"]), out, strict=True):
         ids = encoder.encode(r["text"] or "", add_special_tokens=False).ids + [token_files.END_ID]
@@ -63,7 +65,7 @@ def test_pipeline_equals_its_stages(spark):
 
 
 def test_op6_equals_plain_encoding(spark):
-    encoder = token_files.Encoder(token_files.TOKENIZER).tokenizer
+    encoder = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
     got = {r["doc_id"]: r for r in QUERIES["op6_token_ids"](spark, SF).collect()}
     at = 0
     for r in documents(spark, SF).orderBy(F.col("doc_id")).collect():

@@ -30,8 +30,8 @@ MAGIC = b"VGTOK1\0\0"
 TOKENIZER = "byte_bpe_50k.json"  # of public_tokenizers; a path of its own goes as it is
 END_ID = 2
 CHUNK = 1 << 22  # ids
-BLOCKS = 1024  # of a full chunk
-MIN_BLOCK = 1024  # ids; smaller chunks have fewer blocks
+BLOCKS = 4096  # of a full chunk
+MIN_BLOCK = 512  # ids; smaller chunks have fewer blocks
 ENCODE_BYTES = 1 << 22  # text bytes whose pieces are told apart at once
 PIECES_AT_ONCE = 1 << 14  # handed to the tokenizer together; its results take far more room than ids
 JOINED_BYTES = 1 << 16  # of pieces that go through the tokenizer as one string
@@ -46,33 +46,34 @@ class _Model:
     """Predictions and mixing weights of ``n`` blocks side by side."""
 
     def __init__(self, n: int):
-        self.lane = np.arange(n)
-        self.one, self.two = np.zeros(n << K1, np.int64), np.zeros(n << K2, np.int64)  # id * 4 + how sure
-        self.hit2, self.hit1 = np.full(n * 16, 1024, np.int64), np.full(n * 16, 1024, np.int64)  # of 4096
-        self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        lane = np.arange(n)
+        self.lane1, self.lane2, self.lane0 = lane << K1, lane << K2, lane << 4
+        self.one, self.two = np.zeros(n << K1, np.int32), np.zeros(n << K2, np.int32)  # id * 4 + how sure
+        self.hits = np.full(n * 16, 1024 << 12 | 1024, np.int32)  # how often order 2, order 1 were right, of 4096
+        self.last, self.before = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
 
     def predict(self, n: int) -> None:
         """For the first ``n`` blocks: both predicted ids and the mix, f2 + f1 + f0 = 2 ** MIX_BITS, none of them 0."""
-        lane, last = self.lane[:n], self.last[:n]
-        spread = last * 0x9E3779B1 & 0xFFFFFFFF
-        self.at1 = (lane << K1) + (spread >> 32 - K1)
-        self.at2 = (lane << K2) + ((spread + self.before[:n] * 0x85EBCA6B & 0xFFFFFFFF) >> 32 - K2)
-        self.v1, self.v2 = self.one[self.at1], self.two[self.at2]
+        spread = self.last[:n] * np.uint32(0x9E3779B1)
+        self.at1 = (spread >> np.uint32(32 - K1)) + self.lane1[:n]
+        self.at2 = ((spread + self.before[:n] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - K2)) + self.lane2[:n]
+        self.v1, self.v2 = self.one.take(self.at1), self.two.take(self.at2)
         self.p1, self.p2 = self.v1 >> 2, self.v2 >> 2
-        self.ctx = (lane << 4) + ((self.v2 & 3) << 2) + (self.v1 & 3)
-        self.a2, self.a1 = self.hit2[self.ctx], self.hit1[self.ctx]
-        self.f2 = 1 + (self.a2 * 2045 >> 12)
-        rest = (1 << MIX_BITS) - self.f2
-        self.f1 = 1 + (self.a1 * (rest - 2) >> 12)
-        self.f0 = rest - self.f1
-
-    def update(self, ids: np.ndarray, is2: np.ndarray, is1: np.ndarray) -> None:
-        n = len(ids)
-        self.hit2[self.ctx] = self.a2 + ((is2 * 4096 - self.a2) >> 5)
-        self.hit1[self.ctx] = self.a1 + (((is1 * 4096 - self.a1) >> 5) * ~is2)
+        self.ctx = ((self.v2 & 3) << 2 | self.v1 & 3) + self.lane0[:n]
+        hits = self.hits.take(self.ctx)
+        self.a2, self.a1 = hits >> 12, hits & 4095
+        self.f2 = (self.a2 * 2045 >> 12) + 1
+        self.f1 = (self.a1 * (2046 - self.f2) >> 12) + 1
+        self.f0 = (1 << MIX_BITS) - self.f2 - self.f1
+
+    def update(self, ids: np.ndarray, is2: np.ndarray, hit1: np.ndarray) -> None:
+        n, full = len(ids), np.int32(4095)
+        a2 = self.a2 + ((is2 * full - self.a2) >> 5)
+        a1 = np.where(is2, self.a1, self.a1 + ((hit1 * full - self.a1) >> 5))
+        self.hits[self.ctx] = a2 << 12 | a1
         new = ids << 2  # the latest id is predicted next, the surer the more often it came in a row
-        for table, at, v, hit in ((self.one, self.at1, self.v1, self.p1 == ids), (self.two, self.at2, self.v2, is2)):
-            table[at] = new + hit * np.minimum((v & 3) + 1, 3)
+        self.one[self.at1] = new + hit1 * np.minimum((self.v1 & 3) + 1, 3)
+        self.two[self.at2] = new + is2 * np.minimum((self.v2 & 3) + 1, 3)
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
 
@@ -94,50 +95,52 @@ def _block_sizes(n: int) -> np.ndarray:
     return np.full(k, n // k) + (np.arange(k) < n % k)
 
 
-def _interval(is2, is1, is0, f2, f1, f0, start0, freq0) -> tuple[np.ndarray, np.ndarray]:
-    """(start, size) of the ids' intervals, of 2 ** TOTAL_BITS: order 2 first, then order 1, then order 0 by its frequencies."""
-    start = (f2 * ~is2 + f1 * is0 << ZERO_BITS) + is0 * f0 * start0
-    size = (f2 * is2 + f1 * is1 << ZERO_BITS) + is0 * f0 * freq0
-    return start, size
+def _cut_back(low: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """An interval across a word's edge is cut back to the edge, so words never change later."""
+    cross = (low ^ (low + span - U(1))) >= _TOP
+    return np.where(cross, _TOP - (low & (_TOP - U(1))), span)
+
+
+_TOP = U(1 << 32)
 
 
 def encode_chunk(ids: np.ndarray) -> bytes:
     """One chunk: sizes, frequencies, then the blocks' words, each block with the checksum of its ids."""
     sizes = _block_sizes(len(ids))
     symbols, freq = _zero_order(ids)
-    starts0 = np.cumsum(freq) - freq
-    rank = np.searchsorted(symbols, ids)
+    order0 = np.zeros(int(symbols[-1]) + 1, np.int64)
+    order0[symbols] = (np.cumsum(freq) - freq) << 32 | freq
     begin = np.cumsum(sizes) - sizes
-    k, steps = len(sizes), int(sizes[0])
+    k, steps, least = len(sizes), int(sizes[0]), int(sizes[-1])
+    longer = int((sizes > least).sum())
+    grid = ids[begin + np.arange(least)[:, None]].astype(np.int32)  # one row a step
     low, span = np.zeros(k, U), np.full(k, ~U(0))
     words, filled = np.zeros((k, steps + 4), np.uint32), np.zeros(k, np.int64)
-    model, top = _Model(k), U(1 << 32)
+    model = _Model(k)
     for t in range(steps):
-        n = k if t < sizes[-1] else int(np.searchsorted(-sizes, -t, "left"))
-        at = begin[:n] + t
-        x, z = ids[at], rank[at]
+        x = grid[t] if t < least else ids[begin[:longer] + t].astype(np.int32)
+        n = len(x)
         model.predict(n)
-        is2 = model.p2 == x
-        is1 = (model.p1 == x) & ~is2
-        is0 = ~(is2 | is1)
+        is2, hit1 = model.p2 == x, model.p1 == x
         f2, f1, f0 = model.f2, model.f1, model.f0
-        start, size = _interval(is2, is1, is0, f2, f1, f0, starts0[z], freq[z])
-        r = span[:n] >> U(TOTAL_BITS)
-        low[:n] += r * start.astype(U)
-        span[:n] = r * size.astype(U)
-        short = np.flatnonzero(span[:n] < top)
+        z = order0.take(x)
+        # the interval of an id: order 2 first, then order 1, then order 0 by its frequencies
+        start = np.where(is2, 0, np.where(hit1, f2 << ZERO_BITS, (f2 + f1 << ZERO_BITS) + f0 * (z >> 32)))
+        size = np.where(is2, f2 << ZERO_BITS, np.where(hit1, f1 << ZERO_BITS, f0 * (z & 0xFFFFFFFF)))
+        lo, sp = low[:n], span[:n]
+        r = sp >> U(TOTAL_BITS)
+        lo += r * start.view(U)
+        np.multiply(r, size.view(U), out=sp)
+        short = np.flatnonzero(sp < _TOP)
         if len(short):
-            lo, sp = low[short], span[short]
-            # an interval across a word's edge is cut back to the edge, so words never change later
-            cross = (lo ^ (lo + sp - U(1))) >= top
-            sp = np.where(cross, top - (lo & (top - U(1))), sp)
-            words[short, filled[short]] = lo >> U(32)
+            a, b = lo[short], sp[short]
+            words[short, filled[short]] = a >> U(32)
             filled[short] += 1
-            low[short], span[short] = lo << U(32), sp << U(32)
-        model.update(x, is2, is1)
+            lo[short], sp[short] = a << U(32), _cut_back(a, b) << U(32)
+        model.update(x, is2, hit1)
     rows = np.arange(k)
     for shift in (32, 0):  # the rest of the interval
-        words[rows, filled] = (low >> U(shift)) & (top - U(1))
+        words[rows, filled] = (low >> U(shift)) & (_TOP - U(1))
         filled += 1
     checks = [zlib.crc32(ids[b:b + s].astype("<u4").tobytes()) for b, s in zip(begin, sizes)]
     table = zlib.compress(np.diff(symbols, prepend=0).astype("<u4").tobytes() + freq.astype("<u4").tobytes(), 6)
@@ -159,40 +162,43 @@ def decode_chunk(raw: bytes, at: int = 0) -> tuple[np.ndarray, int]:
         raise ValueError("the header of a chunk is damaged")
     stream = np.concatenate([np.frombuffer(raw, "<u4", int(filled.sum()), p + 4), np.zeros(2, np.uint32)]).astype(U)
     behind = p + 4 + 4 * int(filled.sum())
-    starts0 = np.cumsum(freq) - freq
-    lookup = np.repeat(np.arange(n_symbols), freq)
+    slots = np.repeat(symbols << 40 | (np.cumsum(freq) - freq) << 20 | freq, freq)  # what stands at a place of order 0
     sizes = _block_sizes(n_ids)
-    begin, steps = np.cumsum(sizes) - sizes, int(sizes[0])
+    begin, steps, least = np.cumsum(sizes) - sizes, int(sizes[0]), int(sizes[-1])
+    longer = int((sizes > least).sum())
     read = np.cumsum(filled) - filled
-    low, span, top = np.zeros(k, U), np.full(k, ~U(0)), U(1 << 32)
+    low, span = np.zeros(k, U), np.full(k, ~U(0))
     code = (stream[read] << U(32)) | stream[read + 1]
     read = read + 2
-    out, model = np.zeros(n_ids, np.int64), _Model(k)
+    out, grid, model = np.zeros(n_ids, np.int64), np.zeros((least, k), np.int32), _Model(k)
     for t in range(steps):
-        n = k if t < sizes[-1] else int(np.searchsorted(-sizes, -t, "left"))
+        n = k if t < least else longer
         model.predict(n)
         f2, f1, f0 = model.f2, model.f1, model.f0
-        r = span[:n] >> U(TOTAL_BITS)
-        slot = np.minimum((code[:n] - low[:n]) // r, U((1 << TOTAL_BITS) - 1)).astype(np.int64)
-        part = slot >> ZERO_BITS
-        is2 = part < f2
-        is0 = part >= f2 + f1
-        is1 = ~(is2 | is0)
-        z = lookup[np.where(is0, slot - (f2 + f1 << ZERO_BITS), 0) // f0]
-        x = np.where(is2, model.p2, np.where(is1, model.p1, symbols[z]))
-        start, size = _interval(is2, is1, is0, f2, f1, f0, starts0[z], freq[z])
-        out[begin[:n] + t] = x
-        low[:n] += r * start.astype(U)
-        span[:n] = r * size.astype(U)
-        short = np.flatnonzero(span[:n] < top)
+        lo, sp = low[:n], span[:n]
+        r = sp >> U(TOTAL_BITS)
+        slot = np.minimum((code[:n] - lo) // r, U((1 << TOTAL_BITS) - 1)).astype(np.int32)
+        end2 = f2 << ZERO_BITS
+        end1 = end2 + (f1 << ZERO_BITS)
+        is2, known = slot < end2, slot < end1
+        z = slots.take(np.where(known, 0, slot - end1) // f0)
+        x = np.where(is2, model.p2, np.where(known, model.p1, z >> 40)).astype(np.int32)
+        start = np.where(is2, 0, np.where(known, end2, end1 + f0 * (z >> 20 & 0xFFFFF)))
+        size = np.where(is2, end2, np.where(known, f1 << ZERO_BITS, f0 * (z & 0xFFFFF)))
+        if t < least:
+            grid[t] = x
+        else:
+            out[begin[:longer] + t] = x
+        lo += r * start.view(U)
+        np.multiply(r, size.view(U), out=sp)
+        short = np.flatnonzero(sp < _TOP)
         if len(short):
-            lo, sp = low[short], span[short]
-            cross = (lo ^ (lo + sp - U(1))) >= top
-            sp = np.where(cross, top - (lo & (top - U(1))), sp)
-            low[short], span[short] = lo << U(32), sp << U(32)
+            a, b = lo[short], sp[short]
+            lo[short], sp[short] = a << U(32), _cut_back(a, b) << U(32)
             code[short] = (code[short] << U(32)) | stream[np.minimum(read[short], len(stream) - 1)]
             read[short] += 1
-        model.update(x, is2, is1)
+        model.update(x, is2, model.p1 == x)
+    out[begin + np.arange(least)[:, None]] = grid
     for i, (b, s) in enumerate(zip(begin, sizes)):
         if zlib.crc32(out[b:b + s].astype("<u4").tobytes()) != checks[i]:
             raise ValueError(f"block {i} is damaged")
