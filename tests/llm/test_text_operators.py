@@ -106,3 +106,32 @@ def test_suffix_dedup_edge_rows(spark):
     assert sorted((r["doc_id"] or 0, r["n_removed"], r["kept_text"]) for r in got) == \
         [(0, len(t), ""), (1, len(t), ""), (1, len(t), ""), (2, 500, ""), (3, 0, "")]
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_suffix_dedup_on_texts_whose_polynomial_hashes_agree(spark):
+    """Two different texts of 400 bytes around a word and its complement, for several pairs of letters."""
+    def twins(x, y, n):
+        a = x
+        while len(a) < n:
+            a += a.translate(str.maketrans(x + y, y + x))
+        return a, a.translate(str.maketrans(x + y, y + x))
+    rng = random.Random(12)
+    texts = []
+    for pair in ("ab", "cd", "eg", "xz", "12", "AZ"):
+        head, tail = ("".join(rng.choice("pqrst") for _ in range(72)) for _ in range(2))
+        texts += [head + t + tail for t in twins(*pair, 256)] + [head + t + tail for t in twins(*pair, 1024)]
+    rows = dict(enumerate(texts))
+    got = by_id(suffix_dedup.remove_repeats(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), with_text=False).drop("kept_text"))
+    assert got == brute.removed_repeats(rows)
+
+
+def test_slice_hashes_modulo_a_prime():
+    import numpy as np
+    s = np.frombuffer(("abc" * 500).encode(), np.uint8)
+    h = suffix_dedup._Prefixes61(s)
+    assert h.of(np.array([0, 3, 6]), 300).tolist() == [h.of(np.array([0]), 300)[0]] * 3
+    assert len(set(h.of(np.array([0, 1, 2]), 300).tolist())) == 3
+    p = int(suffix_dedup.P61)
+    rng = random.Random(1)
+    a, b = [[rng.randrange(p) for _ in range(200)] for _ in range(2)]
+    assert suffix_dedup._times61(np.array(a, np.uint64), np.array(b, np.uint64)).tolist() == [x * y % p for x, y in zip(a, b)]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -12,23 +11,14 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir`` with its scheme, as Spark resolves it; a local session without one gets its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        if spark not in _own_folders:
-            _own_folders[spark] = tempfile.mkdtemp(prefix="vigilar-shared-")
-        folder = _own_folders[spark]
+    """The folder of ``spark.checkpoint.dir`` with its scheme, as Spark resolves it; where it is unset, one in the warehouse, which
+    all executors share as well."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/vigilar-shared"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return re.sub("^file:/+", "file:///", full)
 
 
-_own_folders: dict[SparkSession, str] = {}
-
-
 def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 

@@ -40,6 +40,53 @@ def _prefix_sums(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, inverse
 
 
+P61 = U((1 << 61) - 1)
+_RNG = np.random.default_rng(61)
+_CODE61 = _RNG.integers(1, 1 << 60, 256, dtype=np.uint64)
+_BASE61 = int(_RNG.integers(1 << 59, 1 << 60))
+_powers61: dict[str, np.ndarray] = {}
+
+
+def _times61(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo 2 ** 61 - 1."""
+    ah, al, bh, bl = a >> U(31), a & U(0x7FFFFFFF), b >> U(31), b & U(0x7FFFFFFF)
+    mid = al * bh + ah * bl
+    out = (ah * bh << U(1)) + (mid >> U(30)) + ((mid & U(0x3FFFFFFF)) << U(31)) + al * bl
+    return _rest61(out)
+
+
+def _rest61(x: np.ndarray) -> np.ndarray:
+    x = (x & P61) + (x >> U(61))
+    return np.where(x >= P61, x - P61, x)
+
+
+def _table61(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0..n-1 of the base and their inverses."""
+    if "power" not in _powers61 or len(_powers61["power"]) < n:
+        size = 1 << max(20, int(n).bit_length())
+        for name, base in (("power", _BASE61), ("inverse", pow(_BASE61, -1, int(P61)))):
+            out = np.ones(1, np.uint64)
+            while len(out) < size:
+                out = np.concatenate([out, _times61(out, np.full(1, pow(base, len(out), int(P61)), np.uint64))])
+            _powers61[name] = out
+    return _powers61["power"], _powers61["inverse"]
+
+
+class _Prefixes61:
+    """Hashes of any slice of some bytes: polynomials modulo the prime 2 ** 61 - 1 at a random base, so two different slices
+    agree with a probability below their length over 2 ** 61, whatever they hold."""
+
+    def __init__(self, s: np.ndarray):
+        power, self.inverse = _table61(len(s) + 1)
+        terms = _times61(_CODE61[s], power[:len(s)])
+        high, low = np.cumsum(terms >> U(31)), np.cumsum(terms & U(0x7FFFFFFF))
+        sums = _rest61((high >> U(30)) + ((high & U(0x3FFFFFFF)) << U(31)) + _rest61(low))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), sums])
+
+    def of(self, start: np.ndarray, size) -> np.ndarray:
+        return _times61(_rest61(self.sums[start + size] + P61 - self.sums[start]), self.inverse[start])
+
+
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of every w consecutive values, from running minima of blocks of w in both directions."""
     n = len(x)
@@ -69,7 +116,8 @@ def anchored_segments(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -
         stop = np.append(start[1:], len(place))
         whole = (sums[stop + length - 1] - sums[start]) * inverse[start]
         size = (stop - start).astype(np.uint64)
-        parts.append((start + lo, stop - start, grams[place[start]], mix(whole + size), mix((whole ^ U(0x9E3779B97F4A7C15)) - size)))
+        sound = _Prefixes61(part).of(start, stop - start + length - 1)
+        parts.append((start + lo, stop - start, grams[place[start]], mix(whole + size), sound))
     if not parts:
         none = np.zeros(0, np.int64)
         return none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint64)
@@ -137,14 +185,17 @@ def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def _common_prefix(sums: np.ndarray, inverse: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    """Bytes, up to ``depth``, that the suffixes at a and b share: binary search over prefix hashes."""
+def _common_prefix(s: np.ndarray, sums: np.ndarray, inverse: np.ndarray, sound: _Prefixes61, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """Bytes, up to ``depth``, that the suffixes at a and b share: binary search over prefix hashes, the result confirmed by sound ones."""
     low = np.zeros(len(a), np.int64)
     high = np.minimum(depth, len(sums) - 1 - np.maximum(a, b))
     while (low < high).any():
         mid = (low + high + 1) >> 1
         same = (sums[a + mid] - sums[a]) * inverse[a] == (sums[b + mid] - sums[b]) * inverse[b]
         low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+    for i in np.flatnonzero(sound.of(a, low) != sound.of(b, low)):  # the hashes of two different prefixes agreed
+        n = int(low[i])
+        low[i] = np.flatnonzero(s[a[i]:a[i] + n] != s[b[i]:b[i] + n])[0]
     return low
 
 
@@ -165,9 +216,10 @@ def _sorted_directly(s: np.ndarray, places: np.ndarray, depth: int) -> np.ndarra
     group = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
     rows = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
     sums, inverse = _prefix_sums(s)
+    sound = _Prefixes61(s) if len(rows) else None
     while len(rows):
         pivot, mine, g = order[group[rows]], order[rows], group[rows]
-        shared = _common_prefix(sums, inverse, pivot, mine, depth)
+        shared = _common_prefix(s, sums, inverse, sound, pivot, mine, depth)
         less = symbols[mine + shared] < symbols[pivot + shared]
         rank = np.where((shared >= depth) | (mine == pivot), depth, np.where(less, shared, 2 * depth - shared))
         by = np.lexsort((rank, g))
@@ -246,7 +298,7 @@ def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             n = len(s) - LENGTH + 1
             value = (sums[LENGTH:] - sums[:n]) * inverse[:n]
             yield pd.DataFrame({"anchor": r.anchor, "content1": r.content1, "content2": r.content2, "place": np.arange(n),
-                                "w1": mix(value).view(np.int64), "w2": mix(value ^ U(0x1234567)).view(np.int64)})
+                                "w1": mix(value).view(np.int64), "w2": _Prefixes61(s).of(np.arange(n), LENGTH).view(np.int64)})
 
 
 def _bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
