@@ -33,12 +33,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the least id. Rows without an id stay. Rows that share an id
-    stay or go together; of those that also share the text one stays, the least by its other columns in their order.
+    stay or go together; of those that also share the text one stays, the least by its other columns as JSON text, so columns
+    of any type may be there.
     """
     kept = near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     named = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    named = named.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("__rest")).select("doc_id", "text", "__rest.*")
+    named = named.groupBy("doc_id", "text").agg(F.min_by(F.struct(*rest), F.to_json(F.struct(*rest))).alias("__rest")) \
+        .select("doc_id", "text", "__rest.*")
     return named.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
 
 
