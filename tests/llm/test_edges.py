@@ -53,6 +53,22 @@ def test_quality_rules(docs, empty, rows):
     assert quality.quality_rules(empty).count() == 0
 
 
+def test_a_lone_wrong_vote_is_overruled_and_accuracies_are_learned(spark):
+    """Rules a and b see the junk; c calls as many good texts bad as junk."""
+    patterns = [((1, 1, 1), 900), ((1, 1, -1), 70), ((-1, -1, 1), 75), ((-1, -1, -1), 6), ((-1, 0, 1), 4), ((0, 1, 1), 30)]
+    rows = [p for p, n in patterns for _ in range(n)]
+    names = ["a", "b", "c"]
+    voted = spark.createDataFrame(rows, ", ".join(f"vote_{n} byte" for n in names))
+    weights = quality.fit_rules(voted, names).first()["weights"]
+    for_good, for_bad = weights[1:4], weights[4:]
+    assert min(for_bad[0], for_bad[1]) > 3 > 1 > abs(for_bad[2]) and min(for_good[0], for_good[1]) > for_good[2]
+    judged = spark.createDataFrame([p for p, _ in patterns], voted.schema).select(
+        "*", quality._posterior(F.array(*[F.lit(w) for w in weights]), quality.cast_votes(names)).alias("q")).collect()
+    kept = {tuple(r)[:3]: r["q"] >= 0.5 for r in judged}
+    assert kept[1, 1, -1] and kept[0, 1, 1] and not kept[-1, -1, 1] and not kept[-1, -1, -1]
+    assert quality.fit_rules(voted.limit(0), names).count() == 1
+
+
 def test_repeated_windows_are_counted(spark):
     def plain(text):
         w = text.split()
@@ -125,6 +141,14 @@ def test_nearest_examples_are_exact(spark):
     assert np.allclose((q[:, None] * v[where]).sum(2), cosine, atol=1e-5)
 
 
+def test_a_soiled_language_column_stays_bounded(spark, monkeypatch):
+    rows = [(i, f"text {i} with some words", f"v{i}" if i % 3 else "en") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 5)
+    sample = language.labelled_windows(df, F.lit(True), "doc_id", "text", "lang", 50)
+    assert len(set(sample["lang"])) == 5 and (sample["lang"] == "en").sum() < 100
+
+
 def test_decontamination(spark, docs, empty, rows):
     item = "Alice has 12 apples and gives Bob 5 apples, so how many apples does Alice have after 3 days of walking 7 km?"
     same = item.replace("Alice", "Zoe").replace("12", "40").replace("Bob", "Max")

@@ -19,6 +19,8 @@ WINDOW = 256  # bytes
 WIDTHS = (2, 3, 4)
 FILTERS = 16  # of each width
 SAMPLE_DOCS = 1200  # labelled documents per language that the fit looks at, on average
+MAX_LANGUAGES = 500  # the most frequent ones are learned, so a soiled language column makes no endless network
+SAMPLE_TOTAL = 20_000  # labelled documents of all languages that the fit looks at, on average
 SAMPLE_WINDOWS = 3  # windows of each of them, spread evenly
 EPOCHS = 14
 BATCH = 128
@@ -127,13 +129,15 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], seed: int = 5) ->
 
 
 def labelled_windows(docs: DataFrame, learn: Column, key: str, text: str, lang: str, per_language: int) -> pd.DataFrame:
-    """(lang, window bytes) of a bounded sample: about ``per_language`` documents of each language, chosen by a hash of
-    their key at a rate that follows the language's count, and up to SAMPLE_WINDOWS windows of each."""
+    """(lang, window bytes) of a bounded sample: about ``per_language`` documents of each of the MAX_LANGUAGES most frequent
+    languages, SAMPLE_TOTAL at most, chosen by a hash of their key at a rate that follows the language's count, and up to
+    SAMPLE_WINDOWS windows of each."""
     usable = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0)) \
         .select(F.col(key), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    rates = usable.groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("rate"))
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    wanted = min(per_language, SAMPLE_TOTAL / max(1, len(counts)))
+    rates = docs.sparkSession.createDataFrame([(r["lang"], wanted / r["n"]) for r in counts], "lang string, rate double")
     place = F.pmod(F.xxhash64(key, "text"), F.lit(1_000_000)) / 1e6
-    # one row per language, no more than the network has outputs
     chosen = usable.join(F.broadcast(rates), "lang").filter(place < F.col("rate")).select("lang", "text")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
