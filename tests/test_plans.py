@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from vigilar.operators import aggregate, joins, windows
+from vigilar.operators import aggregate, joins, ordering, windows
 
 SF = "/root/testdata/sf0.001"
 QUERIES = contract.queries()
@@ -16,7 +16,7 @@ def physical(df):
 
 @pytest.mark.parametrize("name", [
     "freq_table", "proportions", "specimen_groups", "mic_distribution", "chi_square", "association", "fisher_exact", "describe", "describe_by",
-    "profile_of_resistant", "value_census", "group_size"])
+    "profile_of_resistant", "value_census", "group_size", "univariate_logit"])
 def test_totals_need_no_window(spark, name):
     assert "Window" not in physical(QUERIES[name](spark, SF))
 
@@ -29,6 +29,17 @@ def test_census_of_wide_measures_exchanges_levels_once(spark):
     assert aggregate.long_counts(df, df.columns).agg(F.sum("n")).first()[0] == 11_000
 
 
+def test_numbers_in_order_spread_a_group_over_ranges(spark):
+    rows = [("a" if i % 10 else None, i * 7919 % 5000, i) for i in range(5000)]
+    df = spark.createDataFrame(rows, "g string, x int, id int").repartition(6)
+    out = ordering.number_in_order(df, ["g"], ["x"], "nr")
+    want = {}
+    for g in ("a", None):
+        want |= {r[2]: k for k, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: r[1]), 1)}
+    assert {r["id"]: r["nr"] for r in out.collect()} == want
+    assert "Window" not in physical(out)
+
+
 def test_hot_keys_are_split_by_their_count(spark):
     rows = [(i, "hot" if i % 4 else None if i % 8 else f"k{i}") for i in range(4000)]
     df = spark.createDataFrame(rows, "id long, k string")
