@@ -132,18 +132,16 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
         .withColumn("place", F.col("n") - F.col("shared") + F.row_number().over(w))
     prefix = placed.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) \
         .select("node", "component", "n", "s", "place")
-    # a shingle pairs components first, so that sets of one component never meet
-    groups = prefix.select("s", "component").distinct()
-    x, y = groups.alias("x"), groups.alias("y")
-    meeting = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.component") < F.col("y.component"))) \
-        .select(F.col("x.s").alias("s"), F.col("x.component").alias("cx"), F.col("y.component").alias("cy"))
-    left = prefix.select("s", F.col("component").alias("cx"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"))
-    right = prefix.select("s", F.col("component").alias("cy"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+    # a shingle whose sets are all of one component has nothing to pair
+    mixed = prefix.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("s")
+    prefix = prefix.join(mixed, "s", "left_semi")
+    x, y = prefix.alias("x"), prefix.alias("y")
     # at the first shingle that a pair shares, what is left behind both places bounds the rest of the intersection
-    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1
-    both = meeting.join(left, ["s", "cx"]).join(right, ["s", "cy"])
-    return both.filter(_close_sizes(F.col("na"), F.col("nb"), percent) & ((100 + percent) * room >= percent * (F.col("na") + F.col("nb")))) \
-        .select("a", "b").distinct()
+    room = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + 1
+    return x.join(y, F.col("x.s") == F.col("y.s")).filter(
+        (F.col("x.component") < F.col("y.component")) & _close_sizes(F.col("x.n"), F.col("y.n"), percent)
+        & ((100 + percent) * room >= percent * (F.col("x.n") + F.col("y.n")))) \
+        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
