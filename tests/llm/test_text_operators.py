@@ -135,3 +135,41 @@ def test_slice_hashes_modulo_a_prime():
     rng = random.Random(1)
     a, b = [[rng.randrange(p) for _ in range(200)] for _ in range(2)]
     assert suffix_dedup._times61(np.array(a, np.uint64), np.array(b, np.uint64)).tolist() == [x * y % p for x, y in zip(a, b)]
+
+
+def test_suffix_dedup_compares_bytes_that_pairs_share_once():
+    """Common prefixes by plain loops; ranges of one distance overlap, end at the text's end and hold zero bytes."""
+    import numpy as np
+    rng = random.Random(3)
+    part = bytes(rng.choice(b"ab\0") for _ in range(900))
+    other = bytearray(part)
+    for at in (40, 300, 301, 650):
+        other[at] = 122
+    s = np.frombuffer(part + b"\xff" + bytes(other) + b"\xff" + b"a" * 500 + b"\0" * 9, np.uint8)
+
+    def plain(x, y, depth):
+        n = 0
+        while n < depth and max(x, y) + n < len(s) and s[x + n] == s[y + n]:
+            n += 1
+        return n
+    pairs = [(x, x + 901) for x in range(0, 900, 2)] + [(x, x + 1) for x in range(1800, 2310)] + \
+        [tuple(sorted(rng.sample(range(len(s)), 2))) for _ in range(500)]
+    rng.shuffle(pairs)
+    a, b = np.array(pairs).T
+    for depth in (5, 64, 400):
+        want = np.array([plain(x, y, depth) for x, y in pairs])
+        known = np.array([rng.randint(0, w) for w in want])
+        assert suffix_dedup._common_prefix(s, suffix_dedup._words(s), a, b, known, depth).tolist() == want.tolist()
+        order = np.array(sorted(range(len(s)), key=lambda i: s[i:i + depth].tobytes()))
+        assert [s[i:i + depth].tobytes() for i in suffix_dedup.suffix_array(s, depth)] == [s[i:i + depth].tobytes() for i in order]
+        assert suffix_dedup.adjacent_prefixes(s, order, depth).tolist() == [plain(x, y, depth) == depth for x, y in zip(order[:-1], order[1:])]
+    read = []
+
+    class Counted(np.ndarray):
+        def __getitem__(self, at):
+            read.append(np.size(at))
+            return np.asarray(super().__getitem__(at))
+    at = np.arange(850)
+    found = suffix_dedup._next_difference(s.view(Counted), at, at + 400, np.full(850, 901))
+    assert found.tolist() == [plain(x, x + 901, 400) for x in range(850)]
+    assert sum(read) <= 2 * (850 + 400)  # 400 bytes and more for each pair, if each is compared on its own
