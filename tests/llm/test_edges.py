@@ -300,6 +300,26 @@ def test_pieces_have_ids_of_their_own():
     for t, e, c in zip(texts, ends, counts):
         assert ids[e - c:e].tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
 
+def test_a_word_is_one_piece_whatever_sign_follows():
+    """Pieces end between an ASCII letter and a sign, and before words that begin with a wider letter; ids stay the tokenizer's."""
+    import random
+    import numpy as np
+    from tokenizers import Tokenizer
+    path = token_files.tokenizer_path(token_files.TOKENIZER)
+    encoder, plain, rng = token_files.Encoder(path), Tokenizer.from_file(path), random.Random(8)
+
+    def ids(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return encoder.ids(raw, np.array([0, len(raw)]))[0].tolist()
+    text = "a lorem, lorem. lorem; (lorem) lorem- \u00e9lan \u00e8re \u00e9lan"
+    assert ids(text) == plain.encode(text, add_special_tokens=False).ids
+    assert {b" lorem", b",", b" \xc3\xa8re", b" \xc3\xa9lan"} <= set(encoder.known)
+    assert not any(b"lorem" in p and p[-1:] in b",.;)-" for p in encoder.known)
+    for _ in range(400):
+        text = "".join(rng.choices("ab'st,._-\"1 \n  \u00e9\u00d7\u00f7\u00a0\u0378\u2003\u00b2\u0301\u07ff\t", k=rng.randrange(1, 60)))
+        encoder.forget()
+        assert ids(text) == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
 
 @pytest.mark.parametrize("compression", ["gzip", "none"])
 def test_warc(spark, tmp_path, compression):

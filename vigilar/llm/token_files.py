@@ -32,9 +32,9 @@ END_ID = 2
 CHUNK = 1 << 22  # ids
 BLOCKS = 4096  # of a full chunk
 MIN_BLOCK = 512  # ids; smaller chunks have fewer blocks
-ENCODE_BYTES = 1 << 22  # text bytes whose pieces are told apart at once
+ENCODE_BYTES = 1 << 23  # text bytes whose pieces are told apart at once
 PIECES_AT_ONCE = 1 << 14  # handed to the tokenizer together; its results take far more room than ids
-JOINED_BYTES = 1 << 16  # of pieces that go through the tokenizer as one string
+JOINED_BYTES = 1 << 12  # of pieces that go through the tokenizer as one string
 KNOWN_PIECES = 2_000_000  # whose ids a Python worker remembers; beyond that it starts anew
 K1, K2 = 10, 11  # bits of the tables of order 1 and 2, for each block
 MIX_BITS, ZERO_BITS = 11, 17
@@ -209,20 +209,30 @@ def decode_chunk(raw: bytes, at: int = 0) -> tuple[np.ndarray, int]:
 
 _SOLID = np.zeros(256, bool)
 _SOLID[33:127] = True
+_FILLED = _SOLID.copy()
+_FILLED[0xC3:0xE0] = True  # first bytes of U+00C0 to U+07FF, where no character is a blank
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_BEGINS, _ENDS = frozenset(np.flatnonzero(_FILLED).tolist()), frozenset([*range(33, 127), *range(128, 256)])
+_SIGN = _SOLID & ~_LETTER
+_SIGN[48:58] = _SIGN[39] = False  # an apostrophe may go on with letters
 
 
 def cut_places(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Starts of the pieces that texts are cut into: before a single space and on both sides of a single line end, between
-    characters that are no blanks. The tokenizer's own pattern ends a token there in any case, so pieces have ids of their own."""
+    characters that are no blanks, and between an ASCII letter and a sign. The tokenizer's own pattern ends a token there in any
+    case, so pieces have ids of their own, and a word is one piece whatever sign follows."""
     n = len(buf)
     first = np.zeros(n + 1, bool)
     first[offsets] = True
     if n > 2:
-        solid, high = _SOLID[buf], buf >= 128
-        inner = (solid[:-2] & (solid[2:] | high[2:])) | (high[:-2] & solid[2:])
+        solid, filled, high = _SOLID[buf], _FILLED[buf], buf >= 128
+        inner = (solid[:-2] & (solid[2:] | high[2:])) | (high[:-2] & filled[2:])
         space, line = inner & (buf[1:-1] == 32), inner & (buf[1:-1] == 10)
         first[1:n - 1] |= space | line
-        first[2:n] |= line & solid[2:]  # a wider character may be a blank that goes with the line end
+        first[2:n] |= line & filled[2:]  # a wider character may be a blank that goes with the line end
+    if n > 1:
+        first[1:n] |= _LETTER[buf[:-1]] & _SIGN[buf[1:]]
     return np.flatnonzero(first[:n])
 
 
@@ -278,7 +288,7 @@ class Encoder:
         return np.concatenate(flat), np.concatenate(size)
 
     def _learn(self, pieces: list[bytes]) -> None:
-        regular = [len(p) > 1 and p[0] == 32 and _SOLID[p[1]] and (_SOLID[p[-1]] or p[-1] >= 128) for p in pieces]
+        regular = [len(p) > 1 and p[0] == 32 and p[1] in _BEGINS and p[-1] in _ENDS for p in pieces]
         for wanted, encode in ((True, self._joined), (False, self._alone)):
             mine = [p for p, r in zip(pieces, regular) if r == wanted]
             if mine:
@@ -297,13 +307,16 @@ class Encoder:
             start = _uncut(start, offsets, raw, token)
         stop = np.append(start[1:], len(buf))
         pieces = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(start, len(buf))), pa.py_buffer(raw)]).dictionary_encode()
-        distinct = pieces.dictionary.to_pylist()
+        distinct = _byte_strings(pieces.dictionary)
         if len(self.known) > KNOWN_PIECES:
             self.forget()
-        new = [p for p in distinct if p not in self.known]
-        if new:
+        slots = np.fromiter(map(self.known.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
+        unknown = np.flatnonzero(slots < 0)
+        if len(unknown):
+            new = [distinct[i] for i in unknown.tolist()]
             self._learn(new)
-        slot = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[pieces.indices.to_numpy()]
+            slots[unknown] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        slot = slots[pieces.indices.to_numpy()]
         at, size = self.at[slot], self.size[slot]
         ends = np.cumsum(size)
         out = self.flat[np.arange(ends[-1]) - np.repeat(ends - size - at, size)].astype(np.int64)
@@ -311,6 +324,13 @@ class Encoder:
         return out, np.diff(bounds)
 
 
+def _byte_strings(column: pa.Array) -> list[bytes]:
+    """The values of a large_binary column of its own buffers, without nulls."""
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1].tolist()
+    raw = column.buffers()[2].to_pybytes()
+    return [raw[i:j] for i, j in itertools.pairwise(at)]
+
+
 def _uncut(start: np.ndarray, offsets: np.ndarray, raw: bytes, token: bytes) -> np.ndarray:
     """The cut places without those inside rows that hold the token."""
     rows, at = [], raw.find(token)
