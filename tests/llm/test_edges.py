@@ -321,6 +321,41 @@ def test_a_word_is_one_piece_whatever_sign_follows():
         assert ids(text) == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_a_worker_keeps_its_encoder_from_task_to_task(spark):
+    import os
+    import uuid
+    import pandas as pd
+    encoder_of, name = token_files._encoder, token_files.TOKENIZER
+
+    def one(batches):
+        for _ in batches:
+            pass
+        yield pd.DataFrame({"pid": [os.getpid()], "mark": [vars(encoder_of(name)).setdefault("mark", uuid.uuid4().hex)]})
+    got = spark.range(0, 32, 1, 32).mapInPandas(one, "pid long, mark string").collect()
+    assert len(got) == 32
+    assert len({r["mark"] for r in got}) <= len({r["pid"] for r in got})
+
+
+def test_words_of_letters_and_forgotten_pieces_keep_the_tokenizers_ids(monkeypatch):
+    """Words of letters are split at spaces by the library; letters and signs of all kinds beside them change no id, nor does
+    what the encoder forgets."""
+    import numpy as np
+    path = token_files.tokenizer_path(token_files.TOKENIZER)
+    encoder, plain, rng = token_files.Encoder(path), Tokenizer.from_file(path), random.Random(9)
+    monkeypatch.setattr(token_files, "KNOWN_PIECES", 300)
+    assert encoder._kinds([b" word", " \u00e9lan\u027f".encode(), " a\u00d7".encode(), " a\u00f7b".encode(), " \u0391".encode(), b" a1", b"word",
+                           b" ", "\u00e9".encode(), b" it's", b" a "]).tolist() == [2, 3, 1, 1, 1, 1, 0, 0, 0, 1, 0]
+    letters = "abcdeXYZ\u00e9\u00c0\u0120\u0142\u024f\u027f\u00d7\u00f7\u0391\u0301\u00aa1'."
+    words = ["".join(rng.choices(letters[:rng.choice([8, 14, len(letters)])], k=rng.randrange(1, 9))) for _ in range(900)]
+    for _ in range(25):
+        texts = [" ".join(rng.choices(words, k=rng.randrange(0, 25))) for _ in range(12)]
+        raw = [t.encode() for t in texts]
+        ids, counts = encoder.ids(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+        assert len(encoder.known) <= 300 + sum(len(t.split(" ")) for t in texts) * 3
+        for t, e, c in zip(texts, np.cumsum(counts), counts):
+            assert ids[e - c:e].tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 @pytest.mark.parametrize("compression", ["gzip", "none"])
 def test_warc(spark, tmp_path, compression):
     big = "<p>" + "é" * 900 + "</p>"

@@ -10,6 +10,7 @@ together, one id each per step, as numpy vectors.
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import struct
 import uuid
@@ -23,7 +24,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import new_folder, staged
+from .shared import kept_by_worker, new_folder, staged
 from .textbytes import text_bytes
 
 MAGIC = b"VGTOK1\0\0"
@@ -34,8 +35,8 @@ BLOCKS = 4096  # of a full chunk
 MIN_BLOCK = 512  # ids; smaller chunks have fewer blocks
 ENCODE_BYTES = 1 << 23  # text bytes whose pieces are told apart at once
 PIECES_AT_ONCE = 1 << 14  # handed to the tokenizer together; its results take far more room than ids
-JOINED_BYTES = 1 << 12  # of pieces that go through the tokenizer as one string
-KNOWN_PIECES = 2_000_000  # whose ids a Python worker remembers; beyond that it starts anew
+JOINED_BYTES = 1 << 10  # of pieces that go through the tokenizer as one string
+KNOWN_PIECES = 500_000  # whose ids a Python worker remembers from slice to slice; beyond that it keeps the more frequent half
 K1, K2 = 10, 11  # bits of the tables of order 1 and 2, for each block
 MIX_BITS, ZERO_BITS = 11, 17
 TOTAL_BITS = MIX_BITS + ZERO_BITS
@@ -213,9 +214,14 @@ _FILLED = _SOLID.copy()
 _FILLED[0xC3:0xE0] = True  # first bytes of U+00C0 to U+07FF, where no character is a blank
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
-_BEGINS, _ENDS = frozenset(np.flatnonzero(_FILLED).tolist()), frozenset([*range(33, 127), *range(128, 256)])
+_CLOSES = _SOLID | (np.arange(256) >= 128)
+_WORD_RANK = np.full(256, 2, np.int8)  # 0: ASCII letter, 1: byte of U+00C0 to U+027F, letters but for two signs
+_WORD_RANK[_LETTER], _WORD_RANK[0x80:0xC0], _WORD_RANK[0xC3:0xCA] = 0, 1, 1
 _SIGN = _SOLID & ~_LETTER
 _SIGN[48:58] = _SIGN[39] = False  # an apostrophe may go on with letters
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies write as themselves
+_AS_CHARACTERS = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PLAIN)))}
 
 
 def cut_places(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -240,23 +246,42 @@ class Encoder:
     """Ids of whole texts from the tokenizers library, with its defaults. A piece is encoded once and remembered by its text.
 
     Pieces that begin with a space and end without one keep their ids next to each other, so new ones go through the library
-    joined to long strings; the bytes that ids stand for tell where a piece ends. Others go alone, and a text that holds the
-    string of an added token goes whole.
+    joined to long strings; the bytes that ids stand for tell where a piece ends. Those of a space and letters are one token of
+    the byte-level pattern each, so for them the library splits at spaces instead of matching the pattern. Others go alone, and a
+    text that holds the string of an added token goes whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import Metaspace
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.id_bytes = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.id_bytes[i] = len(token)  # the vocabulary writes every byte as one character
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        self.of_words = None
+        if said.get("normalizer") is None and {k: v for k, v in (said.get("pre_tokenizer") or {}).items() if k != "trim_offsets"} == _BYTE_LEVEL:
+            self.of_words = Tokenizer.from_file(path)
+            self.of_words.pre_tokenizer = Metaspace(replacement=_AS_CHARACTERS[32], prepend_scheme="never")
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.at, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.seen = np.zeros(0, np.int32)  # slices that held the piece
+
+    def _forget_rare(self) -> None:
+        """Keeps the half of the pieces that most slices held."""
+        pieces, slots = list(self.known), np.fromiter(self.known.values(), np.int64, len(self.known))
+        kept = np.sort(np.argsort(-self.seen[slots], kind="stable")[:KNOWN_PIECES // 2])
+        self.known = dict(zip([pieces[i] for i in kept.tolist()], range(len(kept))))
+        at, self.size, self.seen = self.at[slots[kept]], self.size[slots[kept]], self.seen[slots[kept]] >> 1
+        ends = np.cumsum(self.size)
+        self.flat = self.flat[np.arange(self.size.sum()) + np.repeat(at + self.size - ends, self.size)]
+        self.at = ends - self.size
 
     def _alone(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each piece)."""
@@ -267,35 +292,54 @@ class Encoder:
             flat.append(np.fromiter(itertools.chain.from_iterable(lists), np.uint32))
         return np.concatenate(flat), np.array(size, np.int64)
 
-    def _joined(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        flat, size, ends = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], np.cumsum([len(p) for p in pieces])
-        first = 0
-        while first < len(pieces):
-            behind = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + JOINED_BYTES)))
-            part = pieces[first:behind]
-            ids = np.array(self.tokenizer.encode_batch_fast([b"".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
-            stop = ends[first:behind] - (ends[first - 1] if first else 0)
+    def _joined(self, pieces: list[bytes], tokenizer, written) -> tuple[np.ndarray, np.ndarray]:
+        """The same from strings of many pieces; ``written`` turns their bytes into what this tokenizer reads."""
+        flat, size = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(pieces), PIECES_AT_ONCE):
+            part = pieces[i:i + PIECES_AT_ONCE]
+            stop = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)))
+            cuts = [0, *(np.flatnonzero(np.diff(stop // JOINED_BYTES)) + 1).tolist(), len(part)]
+            strings = [written(b"".join(part[a:b])) for a, b in itertools.pairwise(cuts)]
+            lists = [e.ids for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+            ids = np.fromiter(itertools.chain.from_iterable(lists), np.uint32)
             reached = np.cumsum(self.id_bytes[ids])
             upto = np.searchsorted(reached, stop) + 1
-            if (reached[np.minimum(upto - 1, len(reached) - 1)] == stop).all():
+            if len(ids) and (reached[np.minimum(upto - 1, len(reached) - 1)] == stop).all():
                 flat.append(ids)
                 size.append(np.diff(upto, prepend=0))
             else:  # an id reaches over a piece's end
                 alone = self._alone(part)
                 flat.append(alone[0])
                 size.append(alone[1])
-            first = behind
         return np.concatenate(flat), np.concatenate(size)
 
+    def _kinds(self, pieces: list[bytes]) -> np.ndarray:
+        """Of each piece: 0 goes alone, 1 goes joined, 2 is a space and ASCII letters, 3 a space and letters up to U+027F."""
+        raw = np.frombuffer(b"".join(pieces) + b"\0", np.uint8)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        first = np.cumsum(size) - size
+        second, last = raw[np.minimum(first + 1, len(raw) - 1)], raw[first + size - 1]
+        joined = (size > 1) & (raw[first] == 32) & _FILLED[second] & _CLOSES[last]
+        if self.of_words is None:
+            return joined.astype(np.int8)
+        rank = _WORD_RANK[raw[:-1]]
+        rank[(raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7))] = 2  # the signs for times and divided by
+        rank[first[joined]] = 0
+        worst = np.maximum.reduceat(rank, first)
+        return np.where(joined, np.array([2, 3, 1], np.int8)[worst], 0)
+
     def _learn(self, pieces: list[bytes]) -> None:
-        regular = [len(p) > 1 and p[0] == 32 and p[1] in _BEGINS and p[-1] in _ENDS for p in pieces]
-        for wanted, encode in ((True, self._joined), (False, self._alone)):
-            mine = [p for p, r in zip(pieces, regular) if r == wanted]
+        kinds = self._kinds(pieces)
+        for kind, encode in ((0, self._alone), (1, lambda p: self._joined(p, self.tokenizer, bytes.decode)),
+                             (2, lambda p: self._joined(p, self.of_words, bytes.decode)),
+                             (3, lambda p: self._joined(p, self.of_words, lambda b: b.decode("latin-1").translate(_AS_CHARACTERS)))):
+            mine = [pieces[i] for i in np.flatnonzero(kinds == kind).tolist()]
             if mine:
                 ids, size = encode(mine)
                 self.known.update(zip(mine, range(len(self.at), len(self.at) + len(mine))))
                 self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(size) - size])
                 self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, ids])
+                self.seen = np.concatenate([self.seen, np.zeros(len(mine), np.int32)])
 
     def ids(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows one after another, number of ids of each row)."""
@@ -309,13 +353,14 @@ class Encoder:
         pieces = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(start, len(buf))), pa.py_buffer(raw)]).dictionary_encode()
         distinct = _byte_strings(pieces.dictionary)
         if len(self.known) > KNOWN_PIECES:
-            self.forget()
+            self._forget_rare()
         slots = np.fromiter(map(self.known.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
         unknown = np.flatnonzero(slots < 0)
         if len(unknown):
             new = [distinct[i] for i in unknown.tolist()]
             self._learn(new)
             slots[unknown] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        self.seen[slots] += 1
         slot = slots[pieces.indices.to_numpy()]
         at, size = self.at[slot], self.size[slot]
         ends = np.cumsum(size)
@@ -344,9 +389,6 @@ def _uncut(start: np.ndarray, offsets: np.ndarray, raw: bytes, token: bytes) ->
     return start[~inside]
 
 
-_encoders: dict[str, Encoder] = {}  # of this Python worker, which serves task after task
-
-
 def tokenizer_path(name: str) -> str:
     """A tokenizer file: a path, or the name of one of the public ones."""
     if os.sep in name:
@@ -356,9 +398,10 @@ def tokenizer_path(name: str) -> str:
 
 
 def _encoder(name: str) -> Encoder:
-    if name not in _encoders:
-        _encoders[name] = Encoder(tokenizer_path(name))
-    return _encoders[name]
+    encoders = kept_by_worker("encoders")  # with the pieces they know
+    if name not in encoders:
+        encoders[name] = Encoder(tokenizer_path(name))
+    return encoders[name]
 
 
 def _with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
