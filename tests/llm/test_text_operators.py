@@ -173,3 +173,19 @@ def test_suffix_dedup_compares_bytes_that_pairs_share_once():
     found = suffix_dedup._next_difference(s.view(Counted), at, at + 400, np.full(850, 901))
     assert found.tolist() == [plain(x, x + 901, 400) for x in range(850)]
     assert sum(read) <= 2 * (850 + 400)  # 400 bytes and more for each pair, if each is compared on its own
+
+
+def test_suffix_dedup_takes_short_rows_together(monkeypatch):
+    """Segments of many rows at once are those of each row alone, and short rows share a pass."""
+    import numpy as np
+    import pyarrow as pa
+    rng, passes, plain = random.Random(12), [], suffix_dedup._sliding_min
+    sizes = [0, 1, 399, 400, 401, 0, 70_000, 400, 399, 2000] + [rng.randrange(0, 900) for _ in range(200)]
+    texts = ["".join(rng.choices("ab é", k=n)) if n % 3 else "a" * n for n in sizes]
+    want = [(r, *map(int, x)) for r, t in enumerate(texts)
+            for x in zip(*[np.asarray(c).view(np.int64) for c in suffix_dedup.anchored_segments(np.frombuffer(t.encode(), np.uint8))])]
+    monkeypatch.setattr(suffix_dedup, "_sliding_min", lambda x, w: passes.append(len(x)) or plain(x, w))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["row", "text"])
+    got = [tuple(r.values()) for b in suffix_dedup._segments(iter([batch])) for r in b.to_pylist()]
+    assert sorted(got) == sorted(want)
+    assert len(passes) <= 20
