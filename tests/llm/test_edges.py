@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from vigilar.llm import chat, decontaminate, language, mixing, near_dedup, quality, suffix_dedup, token_files, toxicity, warc
+from vigilar.llm import chat, components, decontaminate, language, mixing, near_dedup, quality, suffix_dedup, token_files, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, row string, node string, label int"
 
@@ -420,3 +420,42 @@ def test_pipeline_stages(spark, docs, empty, at, tmp_path):
         assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()
     assert out.count() > 0
     assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def least_reachable(edges):
+    least = {}
+
+    def root(x):
+        while least.setdefault(x, x) != x:
+            x = least[x]
+        return x
+    for a, b in edges:
+        lo, hi = sorted((root(a), root(b)))
+        least[hi] = lo
+    return {x: root(x) for x in least if root(x) != x}
+
+
+def test_components_take_few_small_plans(spark, monkeypatch):
+    shuffles = []
+
+    def watched(df, label):
+        shuffles.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return staged(df, label)
+    staged = components.staged
+    monkeypatch.setattr(components, "staged", watched)
+
+    def labels(edges):
+        shuffles.clear()
+        got = components.component_labels(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert len(got) == len({r["node"] for r in got})
+        return {r["node"]: r["label"] for r in got}
+    rng = random.Random(8)
+    stars = [(7 * i + j, 7 * i) for i in range(40) for j in range(1, 7)]
+    assert labels(stars) == least_reachable(stars)
+    assert len(shuffles) == 1  # nothing is left to do, and no step is needed to see it
+    hub = 5000
+    mixed = [(hub, i) for i in range(100, 4000)] + [(i, i + 1) for i in range(6000, 6060)] + [(rng.randrange(7000, 7400), rng.randrange(7000, 7400)) for _ in range(300)]
+    mixed += [(3, hub), (2, 100), mixed[0], mixed[0][::-1], (9, 9)]
+    assert labels(mixed) == least_reachable(mixed)
+    assert max(shuffles) <= 5  # a half step; both halves in one plan had more than twice as many
+    assert labels(stars[:0]) == {}
