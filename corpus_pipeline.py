@@ -26,9 +26,9 @@ ORACLE_SQL = None
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; texts without a letter go."""
     net = fit_languages(docs, ~held_out("doc_id", 4, 2))
-    held = docs.select(F.struct(*docs.columns).alias("document"), "text")
+    held = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("document"), "text")
     found = identify_languages(held, net)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select("document.*")
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select("document.*", "text").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

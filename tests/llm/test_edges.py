@@ -111,6 +111,21 @@ def test_language(docs, empty, rows):
     assert none is None and {r["lang_pred"] for r in language.identify_languages(docs, none).collect()} == {"und"}
 
 
+def test_language_sends_a_text_to_the_workers_once(spark, docs, monkeypatch):
+    """Texts beside themselves in a batch are that many times the memory of an executor."""
+    kind, sent = type(docs), []
+    whole = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda df, f, schema, *more, **named: sent.append(df.schema) or whole(df, f, schema, *more, **named))
+    got = corpus_pipeline.language_id(spark, docs, "")
+    assert got.columns == docs.columns and got.schema["text"].dataType.simpleString() == "string"
+    assert [s.json().count('"name":"text"') for s in sent] == [1]
+    sent.clear()
+    only = docs.select("text", "score")
+    found = language.identify_languages(only, language.fit_languages(docs, F.lit(True)))
+    assert found.columns == ["text", "lang_pred", "score"] and found.count() == docs.count()
+    assert [s.json().count('"name":"text"') for s in sent] == [1]
+
+
 def test_toxicity(spark, docs, empty, rows):
     rng = random.Random(2)
     train = [(i, words(rng, 40) + (" nasty brute " if i % 4 == 0 else "")) for i in range(200)]
@@ -336,6 +351,31 @@ def test_a_worker_keeps_its_encoder_from_task_to_task(spark):
     assert len({r["mark"] for r in got}) <= len({r["pid"] for r in got})
 
 
+def test_a_worker_gives_back_what_its_task_freed(spark, tmp_path):
+    import ctypes
+    from pathlib import Path
+    import pandas as pd
+    import pyarrow as pa
+    folder, name = f"{tmp_path}/tokens", token_files.TOKENIZER
+
+    def one(batches):
+        def resident():
+            return int(Path("/proc/self/statm").read_text().split()[1]) * 4096 >> 20
+        for _ in batches:
+            pass
+        rng = random.Random(2)
+        texts = [" ".join(f"{rng.randrange(10 ** 6):x}" for _ in range(5000)) for _ in range(350)]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(350), pa.int64()), pa.array(texts)], ["doc", "text"])
+        del texts
+        made = [m.num_rows for m in token_files._writer(folder, name, 2)(iter([batch]))]
+        left = resident()
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
+        yield pd.DataFrame({"files": made, "kept": [left - resident()]})
+    got = spark.range(0, 1, 1, 1).mapInPandas(one, "files long, kept long").collect()
+    assert got[0]["files"] == 1 and got[0]["kept"] < 30
+
+
 def test_words_of_letters_and_forgotten_pieces_keep_the_tokenizers_ids(monkeypatch):
     """Words of letters are split at spaces by the library; letters and signs of all kinds beside them change no id, nor does
     what the encoder forgets."""

@@ -192,26 +192,24 @@ def identify_languages(docs: DataFrame, net: Network | None, key: str = "doc_id"
     learn from. Rows are judged one by one, whole; repeated rows get equal results. An empty table gives an empty result.
     """
     docs = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
-    rest = docs.columns
-    held = docs.select(F.struct(*rest).alias("row"), F.when(F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)), F.col(text)).alias("text"))
+    lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    rest = docs.drop(text)  # a text goes to the workers once, and comes back in small batches
+    schema = docs.select(*rest.columns, text).schema.add("lang_pred", "string").add("score", "double")
+    at, names = len(rest.columns), schema.names
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.pair_tables()
         for batch in batches:
-            names, scores = [], []
-            buf, offsets = text_bytes(batch.column(1))
-            missing = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            buf, offsets = text_bytes(batch.column(at))
+            has_letters = batch.column(at + 1).to_numpy(zero_copy_only=False)
             for i, j in row_slices(offsets, 1 << 18):
                 p = _row_scores(net, tables, buf[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
-                names += [net.languages[k] for k in p.argmax(axis=1)]
-                scores.append(p.max(axis=1))
-            scores = np.where(missing, 0.0, np.concatenate(scores)) if scores else np.zeros(0)
-            names = [unknown if m else n for m, n in zip(missing, names)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores)], ["row", "lang_pred", "score"])
+                found = [net.languages[k] if m else unknown for m, k in zip(has_letters[i:j], p.argmax(axis=1))]
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns[:at + 1], pa.array(found, pa.string()),
+                                                  pa.array(np.where(has_letters[i:j], p.max(axis=1), 0.0))], names)
     if net is None:
         return docs.select("*", F.lit(unknown).alias("lang_pred"), F.lit(0.0).alias("score"))
-    schema = held.select("row").schema.add("lang_pred", "string").add("score", "double")
-    return held.mapInArrow(classify, schema).select("row.*", "lang_pred", "score")
+    return docs.select(*rest.columns, text, lettered).mapInArrow(classify, schema).select(*docs.columns, "lang_pred", "score")
 
 
 def held_out(key: str, modulus: int, remainder: int) -> Column:

@@ -24,7 +24,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import kept_by_worker, new_folder, staged
+from .shared import give_back_memory, kept_by_worker, new_folder, staged
 from .textbytes import text_bytes
 
 MAGIC = b"VGTOK1\0\0"
@@ -33,7 +33,7 @@ END_ID = 2
 CHUNK = 1 << 22  # ids
 BLOCKS = 4096  # of a full chunk
 MIN_BLOCK = 512  # ids; smaller chunks have fewer blocks
-ENCODE_BYTES = 1 << 23  # text bytes whose pieces are told apart at once
+ENCODE_BYTES = 1 << 21  # text bytes whose pieces are told apart at once
 PIECES_AT_ONCE = 1 << 14  # handed to the tokenizer together; its results take far more room than ids
 JOINED_BYTES = 1 << 10  # of pieces that go through the tokenizer as one string
 KNOWN_PIECES = 500_000  # whose ids a Python worker remembers from slice to slice; beyond that it keeps the more frequent half
@@ -418,6 +418,14 @@ def _byte_slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
+def _then_give_back(work):
+    """``work`` on a task's batches; once its arrays are gone the worker gives back their memory."""
+    def task(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        give_back_memory()
+    return task
+
+
 MANIFEST = "part int, file string, docs long, tokens long"
 
 
@@ -462,7 +470,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         out.close()
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([len(lengths)]), pa.array([int(lengths.sum())])],
                                          [f.split()[0] for f in MANIFEST.split(", ")])
-    return write
+    return _then_give_back(write)
 
 
 def _put(out, chunk: bytes) -> None:
@@ -510,7 +518,7 @@ def _reader(folder: str):
                 if doc != len(n):
                     raise ValueError(f"{name} ends early")
                 yield pd.DataFrame({"doc_id": keys, "start": start, "n_tokens": n, "ids_crc32": checks})
-    return read
+    return _then_give_back(read)
 
 
 def write_token_files(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER,
